@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import token_store, transducer, tree_bpe
+from . import kneser_ney, token_store, transducer, tree_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,11 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_output(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts scored by a Kneser-Ney bigram model of the documents that are not held out."""
+    return kneser_ney.score(table(spark, sf_dir, "documents"), kneser_ney.crc32_remainder(F.col("doc_id"), 7) == 2)
+
+
 def op5_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE by monoid tree reduction, decoded again."""
     return tree_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), digest=True)
@@ -32,6 +38,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_output": op2_token_output,
+        "op4_kneser_ney": op4_kneser_ney,
         "op5_tree_bpe": op5_tree_bpe,
         "op9_token_counts": op9_token_counts,
     }
