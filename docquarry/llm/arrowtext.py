@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text is taken alone.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 22
 
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))

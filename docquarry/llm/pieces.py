@@ -86,7 +86,7 @@ class PieceCoder:
     encode(list of bytes) -> list of little-endian uint32 ids as bytes.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 200_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 500_000):
         self.encode, self.most, self.known, self.old = encode, most, {}, {}
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
