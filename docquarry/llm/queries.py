@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, token_store, transducer, tree_bpe
+from . import kneser_ney, pu_toxicity, token_store, transducer, tree_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,13 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_output(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all texts, learned from the rows that are not held out."""
+    documents, held_out = table(spark, sf_dir, "documents"), lambda c: kneser_ney.crc32_remainder(c, 3) == 1
+    classifier = pu_toxicity.train(documents, table(spark, sf_dir, "labels"), lambda c: ~held_out(c))
+    return pu_toxicity.score(documents, classifier).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts scored by a Kneser-Ney bigram model of the documents that are not held out."""
     return kneser_ney.score(table(spark, sf_dir, "documents"), kneser_ney.crc32_remainder(F.col("doc_id"), 7) == 2)
@@ -38,6 +45,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_output": op2_token_output,
+        "op3_toxicity": op3_toxicity,
         "op4_kneser_ney": op4_kneser_ney,
         "op5_tree_bpe": op5_tree_bpe,
         "op9_token_counts": op9_token_counts,
