@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, pu_toxicity, token_store, transducer, tree_bpe
+from . import divergence, kneser_ney, pu_toxicity, token_store, transducer, tree_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,12 @@ def op5_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), digest=True)
 
 
+def op7_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict by divergence from the languages' references."""
+    documents = table(spark, sf_dir, "documents")
+    return divergence.judge(documents, divergence.learn(documents))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts by a compiled transducer."""
     return transducer.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -48,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_kneser_ney": op4_kneser_ney,
         "op5_tree_bpe": op5_tree_bpe,
+        "op7_divergence": op7_divergence,
         "op9_token_counts": op9_token_counts,
     }
 
