@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, kneser_ney, pu_toxicity, token_store, transducer, tree_bpe
+from . import divergence, kneser_ney, pu_toxicity, templates, token_store, transducer, tree_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in documents, by templates."""
+    return templates.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_output": op2_token_output,
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_tree_bpe": op5_tree_bpe,
         "op7_divergence": op7_divergence,
         "op9_token_counts": op9_token_counts,
+        "op10_templates": op10_templates,
     }
 
 
