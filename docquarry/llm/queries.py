@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, kneser_ney, pu_toxicity, templates, token_store, transducer, tree_bpe
+from . import crf_html, divergence, kneser_ney, pu_toxicity, templates, token_store, transducer, tree_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op7_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(documents, divergence.learn(documents))
 
 
+def op8_crf_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of pages by a linear-chain conditional random field."""
+    return crf_html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts by a compiled transducer."""
     return transducer.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_kneser_ney": op4_kneser_ney,
         "op5_tree_bpe": op5_tree_bpe,
         "op7_divergence": op7_divergence,
+        "op8_crf_html": op8_crf_html,
         "op9_token_counts": op9_token_counts,
         "op10_templates": op10_templates,
     }
