@@ -8,13 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_html, divergence, kneser_ney, pu_toxicity, templates, token_store, transducer, tree_bpe
+from . import crf_html, divergence, kneser_ney, ngram_join, pu_toxicity, templates, token_store, transducer, tree_bpe
+
+from .scratch import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that link by their 3-word shingles at 90 per cent."""
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"), 3, 90, Scratch(spark, "ngrams"))
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids in patched frame-of-reference files, read back."""
     return token_store.token_output(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -60,6 +67,7 @@ def op10_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_token_output": op2_token_output,
         "op3_toxicity": op3_toxicity,
         "op4_kneser_ney": op4_kneser_ney,
