@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_html, divergence, kneser_ney, ngram_join, pu_toxicity, templates, token_store, transducer, tree_bpe
+from . import crf_html, divergence, kneser_ney, line_dedup, ngram_join, pu_toxicity, templates, token_store, transducer, tree_bpe
 
 from .scratch import Scratch
 
@@ -44,6 +44,11 @@ def op5_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), digest=True)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that repeat or nearly repeat an earlier line, with the line that is kept."""
+    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"), Scratch(spark, "lines")).drop("row")
+
+
 def op7_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict by divergence from the languages' references."""
     documents = table(spark, sf_dir, "documents")
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_kneser_ney": op4_kneser_ney,
         "op5_tree_bpe": op5_tree_bpe,
+        "op6_line_dedup": op6_line_dedup,
         "op7_divergence": op7_divergence,
         "op8_crf_html": op8_crf_html,
         "op9_token_counts": op9_token_counts,
