@@ -18,7 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import distinct_sorted, find_words, mix, offsets_of, row_slices, shingles, span_hashes, text_buffer
@@ -171,6 +171,21 @@ def link_documents(documents: DataFrame, n: int, percent: int, scratch: Scratch,
     return sets.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(documents: DataFrame, n: int, percent: int, scratch: Scratch, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of documents, with all their columns, of which one stays for each component: the first by id.
+
+    A row without id goes by a hash of its text. Rows with the same id are one document, of which one row stays.
+    """
+    named = documents.withColumn("_id", F.coalesce(F.col(id_column).cast("long"), F.xxhash64(F.col(text_column).cast("string"))))
+    linked = link_documents(named, n, percent, scratch, "_id", text_column)
+    first = linked.filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    kept = named.join(first, F.col("_id") == F.col("_first"), "left_semi")
+    if named.agg(F.count("*").alias("n"), F.count_distinct("_id").alias("k")).filter("n != k").isEmpty():
+        return kept.select(*documents.columns)
+    order = Window.partitionBy("_id").orderBy(F.xxhash64(F.col(text_column).cast("string")))
+    return kept.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(*documents.columns)
+
+
 def _needed_sets(own: DataFrame, needed: DataFrame, read_sets: SetReader) -> DataFrame:
     """node, members of the rows whose id is needed: they are found by a map of bits, so that texts are not shuffled."""
 
