@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text is taken alone.
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 20
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -51,6 +54,14 @@ def row_slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> I
         stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield batch.slice(at, stop - at)
         at = stop
+    release_memory()
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system, which else stays with a worker that Spark keeps for later tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

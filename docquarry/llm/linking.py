@@ -44,14 +44,16 @@ def _state(edges: DataFrame) -> tuple:
     return r.n, r.h
 
 
-def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, name: str, fits: Callable[[Column, Column], Column]) -> DataFrame:
+def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, name: str, may_link: Callable[..., Column], pairs: DataFrame | None = None) -> DataFrame:
     """Components (node, c) of the nodes that verified links join, over all pairs of nodes with a token in common.
 
-    postings: tok, node, n (a size), ix (whether the node may be the smaller one of a pair that this token finds), each
-    (tok, node) once. verify: pairs (a, b) -> those that are linked. fits(n of the smaller, n of the larger): whether sizes
-    allow a link. Two nodes of the same component need not be compared any more. So each group is first compared with its
-    smallest member, round by round: a group of copies then is one component after as many comparisons as it has members.
-    All pairs that may be linked and are of different components by then are compared in the end; none is left out.
+    postings: tok, node, n (the node's size), pos (the token's place in the node's order), each (tok, node) once. verify:
+    pairs (a, b) -> those that are linked. may_link(n, pos, other n, other pos): whether a token that stands there may be
+    the first one that two linked nodes have in common. Two nodes of the same component need not be compared any more. So
+    each group is first compared with the member in which the token comes first, which differs least from the others,
+    round by round: a group of copies then is one component after as many comparisons as it has members. All pairs that
+    may be linked and are of different components by then are compared in the end; none is left out. Pairs (a, b) that
+    were found in another way are compared before.
     """
     links: list[DataFrame] = []
     tested: list[DataFrame] = []
@@ -60,7 +62,7 @@ def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     def joined(p: DataFrame) -> DataFrame:
         if comp is None:
             return p.withColumn("c", F.col("node"))
-        return p.join(comp, "node", "left").select("tok", "node", "n", "ix", F.coalesce("c", "node").alias("c"))
+        return p.join(comp, "node", "left").select("tok", "node", "n", "pos", F.coalesce("c", "node").alias("c"))
 
     def compare(pairs: DataFrame, step: str) -> bool:
         nonlocal comp
@@ -71,19 +73,22 @@ def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], s
         if pairs.isEmpty():
             return False
         tested.append(pairs)
-        links.append(scratch.table(verify(pairs), f"{name}-links-{step}"))
+        links.append(scratch.table(verify(pairs), f"{name}-links-{step}", 500))
         comp = components(reduce(DataFrame.unionByName, links), scratch, f"{name}-comp-{step}")
         return True
 
+    if pairs is not None:
+        compare(pairs, "given")
     p = postings
     for k in range(STAR_ROUNDS):
         j = joined(p)
         if k:
             j = scratch.table(j, f"{name}-joined-{k}")
-        groups = j.groupBy("tok").agg(F.min(F.when(F.col("ix"), F.struct("n", "node", "c"))).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lead is not null and lo != hi").select("tok", "lead")
+        groups = j.groupBy("tok").agg(F.min(F.struct("pos", "n", "node", "c")).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("tok", "lead")
         met = j.join(groups, "tok").filter("node != lead.node")
-        compare(met.filter((F.col("c") != F.col("lead.c")) & (F.col("n") >= F.col("lead.n")) & fits(F.col("lead.n"), F.col("n"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b")), f"star{k}")
-        p = scratch.table(met.select("tok", "node", "n", "ix"), f"{name}-left-{k}")
+        may = may_link(F.col("lead.n"), F.col("lead.pos"), F.col("n"), F.col("pos"))
+        compare(met.filter((F.col("c") != F.col("lead.c")) & may).select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")), f"star{k}")
+        p = scratch.table(met.select("tok", "node", "n", "pos"), f"{name}-left-{k}")
         if k:
             scratch.drop(f"{name}-left-{k - 1}", f"{name}-joined-{k}")
         if p.isEmpty():
@@ -92,10 +97,9 @@ def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], s
         j = scratch.table(joined(p), f"{name}-joined")
         open_groups = j.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("tok")
         j = j.join(open_groups, "tok", "left_semi")
-        a = j.filter("ix").select("tok", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        b = j.select("tok", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-        pairs = a.join(b, "tok").filter((F.struct("na", "a") < F.struct(F.col("nb").alias("na"), F.col("b").alias("a"))) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")))
-        compare(pairs.select("a", "b"), "rest")
+        a, b = (j.select("tok", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "c"))) for x in "ab")
+        left = a.join(b, "tok").filter((F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & may_link(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b")))
+        compare(left.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "rest")
     if comp is None:
         return postings.sparkSession.createDataFrame([], "node long, c long")
     return comp

@@ -5,11 +5,14 @@ transpose counts the n-grams that two rows have in common; it is made in blocks
 sizes leave a chance. N-grams are in one order for all rows, rare ones first (by counts over all documents in a fixed
 number of buckets). For a threshold t and a set of n:
 
-    two linked sets have one of their first n - ceil(t n) + 1 n-grams in common, and for the smaller one it is among its
-    first n - ceil(2 t n / (1 + t)) + 1; the larger one is of at most n / t.
-
-So the blocks hold these first columns only, and yield pairs. For each pair that sizes allow, the overlap is then counted
-over all columns, and pairs below t (|a| + |b|) / (1 + t) are discarded. Pairs of one component need not be counted.
+    two linked sets have k of their first n - ceil(t n) + k n-grams in common (or all they must have, if that is less),
+    and for the smaller one these are among its first n - ceil(2 t n / (1 + t)) + k; the larger one is of at most n / t.
+
+So the blocks hold these first columns only. Columns of few rows yield pairs, whose overlaps are accumulated over the
+blocks; pairs of fewer than k are discarded. Columns of many rows, as copies make, yield all pairs of their rows that are
+not of one component by then (linking.py) and whose sizes allow a link if this is the first n-gram that they have in
+common. For the pairs that are left, the overlap over all columns is counted, and pairs below t (|a| + |b|) / (1 + t) are
+discarded.
 """
 
 from __future__ import annotations
@@ -18,14 +21,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import distinct_sorted, find_words, mix, offsets_of, row_slices, shingles, span_hashes, text_buffer
 from .linking import link_groups
 from .scratch import Scratch
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
+#: N-grams that two linked sets must have in common among their first ones.
+IN_COMMON = 3
+#: Rows of a column whose pairs are all counted.
+FEW_ROWS = 24
 #: Bits of the map of the ids whose sets are needed; a foreign id that falls on one costs time only.
 MAP_BITS = 1 << 24
 _SLICES = 16
@@ -100,7 +107,7 @@ def link_documents(documents: DataFrame, n: int, percent: int, scratch: Scratch,
         for batch in batches:
             for rows in row_slices(batch, "text"):
                 flat, sizes, names = read_sets(rows.column("text"))
-                counts += np.bincount((flat >> _U(46)).astype(np.int64), minlength=BUCKETS)
+                counts += np.bincount((flat >> _U(44)).astype(np.int64), minlength=BUCKETS)
                 m = len(sizes)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names.astype(np.int64), mask=sizes == 0), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["doc_id", "n_shingles", "node", "slice", "part"])
         width = BUCKETS // _SLICES
@@ -121,10 +128,10 @@ def link_documents(documents: DataFrame, n: int, percent: int, scratch: Scratch,
                 _, once = np.unique(names, return_index=True)
                 once = np.sort(once[sizes[once] > 0])
                 at = offsets_of(sizes)
-                key = (counts[(flat >> _U(46)).astype(np.int64)] << _U(48)) | (flat >> _U(16))
+                key = (counts[(flat >> _U(44)).astype(np.int64)] << _U(48)) | (flat >> _U(16))
                 size = sizes[once]
-                probe = size - _ceil_share(size, low, high) + 1
-                index = size - _ceil_share(size, 2 * low, low + high) + 1
+                probe = np.minimum(size, size - _ceil_share(size, low, high) + IN_COMMON)
+                index = size - _ceil_share(size, 2 * low, low + high) + IN_COMMON
                 columns = [], []
                 for i, p in zip(once.tolist(), probe.tolist()):
                     a, b = at[i], at[i + 1]
@@ -135,17 +142,36 @@ def link_documents(documents: DataFrame, n: int, percent: int, scratch: Scratch,
                 if once.size:
                     lengths = np.array([len(x) for x in columns[0]])
                     place = np.concatenate(columns[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(columns[0]).astype(np.int64)), pa.array(np.repeat(names[once], lengths).astype(np.int64)), pa.array(np.repeat(size, lengths).astype(np.int32)), pa.array(place < np.repeat(index, lengths))], names=["tok", "node", "n", "ix"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(columns[0]).astype(np.int64)), pa.array(np.repeat(names[once], lengths).astype(np.int64)), pa.array(np.repeat(size, lengths).astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(place < np.repeat(index, lengths))], names=["tok", "node", "n", "pos", "ix"])
 
-    postings = scratch.table(own.mapInArrow(second_pass, "tok long, node long, n int, ix boolean"), "postings")
+    postings = scratch.table(own.mapInArrow(second_pass, "tok long, node long, n int, pos int, ix boolean"), "postings")
     # columns that can yield no pair are most of them, as rare n-grams come first
     shared = postings.groupBy("tok").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("ix").alias("ix")).filter("lo != hi and ix").select("tok")
     postings = scratch.table(postings.join(shared, "tok", "left_semi").distinct(), "shared")
     scratch.drop("postings")
 
+    sizes = postings.groupBy("tok").agg(F.count("*").alias("rows"))
+    few = postings.join(sizes.filter(F.col("rows") <= FEW_ROWS).select("tok"), "tok", "left_semi")
+    many = scratch.table(postings.join(sizes.filter(F.col("rows") > FEW_ROWS).select("tok"), "tok", "left_semi"), "many")
+    in_many = many.groupBy("node").agg(F.count("*").alias("g"))
+    a = few.filter("ix").select("tok", F.col("node").alias("a"), F.col("n").alias("na"))
+    b = few.select("tok", F.col("node").alias("b"), F.col("n").alias("nb"))
+    product = a.join(b, "tok").filter(((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("nb") * low <= F.col("na") * high))
+    overlaps = product.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"))
+    # what a pair may have in common in columns of many rows is not counted, so it is taken as if it were there
+    overlaps = overlaps.join(in_many.select(F.col("node").alias("a"), F.col("g").alias("ga")), "a", "left").join(in_many.select(F.col("node").alias("b"), F.col("g").alias("gb")), "b", "left")
+    k = F.col("k") + F.least(F.coalesce("ga", F.lit(0)), F.coalesce("gb", F.lit(0)))
+    pairs = scratch.table(overlaps.filter((k >= IN_COMMON) | (k >= F.ceil(F.col("na") * low / high))).select("a", "b"), "pairs")
+    many = many.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * low / high)).select("tok", "node", "n", "pos")
+
+    def may_link(n: Column, pos: Column, m: Column, other: Column) -> Column:
+        overlap = F.ceil((n + m) * low / (low + high))
+        return (n - pos >= overlap) & (m - other >= overlap)
+
     names = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    needed = names.join(postings.select("node").distinct(), "node", "left_semi").select("first_id")
-    rows = scratch.table(_needed_sets(own, needed, read_sets), "rows")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(many.select("node")).distinct()
+    needed = names.join(wanted, "node", "left_semi").select("first_id")
+    rows = scratch.table(_needed_sets(own, needed, read_sets), "rows", 2000)
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = rows.select(F.col("node").alias("a"), F.col("members").alias("ma"))
@@ -163,7 +189,7 @@ def link_documents(documents: DataFrame, n: int, percent: int, scratch: Scratch,
 
         return pairs.join(a, "a").join(b, "b").select("a", "b", "ma", "mb").mapInArrow(count, "a long, b long")
 
-    comp = link_groups(postings, verify, scratch, "links", lambda x, y: y * low <= x * high)
+    comp = link_groups(many, verify, scratch, "links", may_link, pairs)
     comp = scratch.table(comp, "components")
     named = names.join(comp, "node", "left").select("node", "first_id", F.coalesce("c", "node").alias("c"))
     least = named.groupBy("c").agg(F.min("first_id").alias("component_id"))

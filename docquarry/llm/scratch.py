@@ -37,9 +37,16 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and returns what is read again."""
-        df.write.mode("overwrite").parquet(self.path(name))
+    def table(self, df: DataFrame, name: str, rows_per_batch: int | None = None) -> DataFrame:
+        """Writes df and returns what is read again. Python workers get at most so many rows at once."""
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        if rows_per_batch:
+            self.spark.conf.set(key, rows_per_batch)
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(key, before)
         return self.read(name, df.schema)
 
     def read(self, name: str, schema) -> DataFrame:
