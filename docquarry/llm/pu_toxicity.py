@@ -143,25 +143,29 @@ def train(documents: DataFrame, labels: DataFrame, may_learn, most_positive: int
     own = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     if not counts.k:
         return Classifier(np.zeros(0, np.uint64), np.zeros(0), -6.0)
-    positive = ids.filter("toxic = 1").orderBy(order, "doc_id").limit(most_positive).select("doc_id", F.lit(1).alias("p"), F.lit(0).alias("u"))
-    others = own.filter(F.col("doc_id").isNotNull() & may_learn(F.col("doc_id"))).select("doc_id").orderBy(order, "doc_id").limit(most_unlabelled).select("doc_id", F.lit(0).alias("p"), F.lit(1).alias("u"))
-    # at most most_positive + most_unlabelled ids, so they can be broadcast; a text may be in both parts
-    sample = F.broadcast(others.unionByName(positive).groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u")))
-
-    def words(batches):
-        for batch in batches:
-            for rows in row_slices(batch, "text"):
-                hashes, n = text_features(rows)
-                flat, sizes = distinct_sorted(hashes, n)
-                at = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-                yield pa.RecordBatch.from_arrays([rows.column("p"), rows.column("u"), pa.array([flat[a:b].astype("<u8").tobytes() for a, b in zip(at, at[1:])], pa.binary())], names=["p", "u", "words"])
-
-    toxic, any_kind = [], []
-    for r in own.join(sample, "doc_id").select("p", "u", "text").mapInArrow(words, "p int, u int, words binary").toLocalIterator():
-        made = np.frombuffer(r.words, "<u8").astype(np.uint64)
-        for wanted, known, most in ((r.p, toxic, most_positive), (r.u, any_kind, most_unlabelled)):
-            if wanted and len(known) < most:  # there may be more rows of the same id
-                known.append(made)
+    # at most so many ids of either kind, so they can be broadcast; a text may be of both
+    positive = ids.filter("toxic = 1").orderBy(order, "doc_id").limit(most_positive).select("doc_id")
+    others = own.filter(F.col("doc_id").isNotNull() & may_learn(F.col("doc_id"))).select("doc_id").orderBy(order, "doc_id").limit(most_unlabelled).distinct()
+
+    def features(sample: DataFrame, most: int, wanted: np.ndarray | None) -> list[np.ndarray]:
+        """The features of the sampled texts, or those of them that are wanted."""
+        def words(batches):
+            for batch in batches:
+                for rows in row_slices(batch, "text"):
+                    flat, sizes = distinct_sorted(*text_features(rows))
+                    at = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+                    parts = [flat[a:b] for a, b in zip(at, at[1:])]
+                    if wanted is not None:
+                        parts = [x[np.isin(x, wanted, assume_unique=True)] for x in parts]
+                    yield pa.RecordBatch.from_arrays([pa.array([x.astype("<u8").tobytes() for x in parts], pa.binary())], names=["words"])
+
+        # there may be more rows than ids
+        rows = own.join(F.broadcast(sample), "doc_id", "left_semi").select("text").mapInArrow(words, "words binary").limit(most).collect()
+        return [np.frombuffer(r.words, "<u8").astype(np.uint64) for r in rows]
+
+    toxic = features(positive, most_positive, None)
+    found, times = np.unique(np.concatenate(toxic), return_counts=True) if toxic else (np.zeros(0, np.uint64), np.zeros(0))
+    any_kind = features(others, most_unlabelled, found[times >= max(LEAST_TEXTS, LEAST_SHARE * len(toxic))])
     return fit(toxic, any_kind, counts.k / counts.n)
 
 
