@@ -27,6 +27,12 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 # Letters that some exports of one font show in place of ligatures.
 BROKEN_LIGATURES = {"Ɵ": "ti", "Ō": "ft", "ƞ": "tf", "Ʃ": "tt"}
 
+# Private-use code points, those of them that are bullets, and characters without ink.
+PRIVATE_USE = r"[\uE000-\uF8FF]"
+ICON_BULLETS = "\uf0a7\uf0b7"
+ZERO_WIDTH = r"[\u200B-\u200D\u2060\uFEFF\u00AD]"
+SPACE_LIKE = r"[\u00A0\u2000-\u200A\u202F\u205F\u3000\t]"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with the value made once for each row: a lambda would else make it for each element."""
@@ -61,12 +67,10 @@ def repaired(text: Column) -> Column:
     for bad, good in LIGATURES.items():
         notes.append(F.when(F.contains(text, F.lit(bad)), F.lit(f"ligature:{bad}->{good}")))
         out = F.replace(out, F.lit(bad), F.lit(good))
-    bulleted = F.translate(out, "", "••")
-    notes.append(F.when(bulleted.rlike("[-]"), F.lit("private_use_glyphs_removed")))
-    plain = F.regexp_replace(bulleted, "[-]", "")
-    plain = F.regexp_replace(plain, "[​-‍⁠﻿­]", "")
-    plain = F.regexp_replace(plain, "[  -   　\t]", " ")
-    plain = F.trim(F.regexp_replace(plain, " {2,}", " "))
+    bulleted = F.translate(out, ICON_BULLETS, "••")
+    notes.append(F.when(bulleted.rlike(PRIVATE_USE), F.lit("private_use_glyphs_removed")))
+    plain = F.regexp_replace(F.regexp_replace(bulleted, PRIVATE_USE, ""), ZERO_WIDTH, "")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(plain, SPACE_LIKE, " "), " {2,}", " "))
     return F.struct(plain.alias("text"), F.array_compact(F.array(*notes)).alias("repairs"))
 
 
