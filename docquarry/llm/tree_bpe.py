@@ -102,7 +102,7 @@ class TreeText:
     """Pieces of a text by halves. An element is its pieces' byte starts; pieces are encoded once they are final."""
 
     def __init__(self, leaf: int = LEAF_TEXT):
-        self.leaf = leaf
+        self.leaf = max(leaf, 8)  # a cut is moved by at most three bytes
 
     def starts(self, data: np.ndarray) -> np.ndarray:
         """Where the matches of the pattern begin in one text."""
