@@ -304,7 +304,7 @@ class PageWriter:
         r, out = self.r, []
         if r.random() < 0.9:
             out.append(f"<h1>{self.sentence(2, 9)}</h1>")
-        for _ in range(r.randint(1, 14)):
+        for _ in range(r.choice([1, 1, 2, 3, 5, 8, 11, 14])):
             kind = r.random()
             if kind < 0.62:
                 out.append(r.choice(["<p>{}</p>"] * 6 + ["<p>{}", "<p><b>{}<br>", "<div>{}</div>", "<p>{}<br></p>"]).format(self.inline(self.prose())))
@@ -328,11 +328,14 @@ class PageWriter:
         parts = [(f"<!DOCTYPE html><html lang=\"en\"><head><meta charset=\"utf-8\"><title>{self.sentence()}</title><style>p{{margin:0}}</style><script>var t=\"</p>\";</script></head><body>", 0)]
         before = [k for k, p in (("notice", 0.2), ("header", 0.5), ("nav", 0.8), ("form", 0.15), ("ad", 0.4), ("junk", 0.2), ("side", 0.15)) if r.random() < p]
         after = [k for k, p in (("side", 0.4), ("ad", 0.2), ("comments", 0.4), ("form", 0.2), ("nav", 0.15), ("notice", 0.2), ("footer", 0.8), ("junk", 0.2)) if r.random() < p]
+        if r.random() < 0.2:  # an article by itself, cut off or without a head
+            before, after = [], []
+            parts = [(r.choice(["", "<html><body>", parts[0][0]]), 0)]
         parts += [(self.noise(k), 0) for k in before]
         shell = r.choice(["article"] * 5 + ["main", "main", '<div class="{}">'.format(r.choice(["content", "post", "entry", "article-body", "story", "main-content", "post-content"])), '<div id="{}">'.format(r.choice(["content", "main", "article"])), ""])
         opened, closed = (f"<{shell}>", f"</{shell}>") if shell in ("article", "main") else (shell, "</div>" if shell else "")
         parts.append((opened, 0))
-        body = self.article()
+        body = self.article() if before or after or r.random() < 0.5 else f"<p>{self.prose()}</p>"
         if r.random() < 0.25:  # noise inside the article
             halves = body.split("<p>", 2)
             parts.append((halves[0], 1))

@@ -44,7 +44,7 @@ def _state(edges: DataFrame) -> tuple:
     return r.n, r.h
 
 
-def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, name: str, may_link: Callable[..., Column], pairs: DataFrame | None = None) -> DataFrame:
+def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, name: str, may_link: Callable[..., Column], pairs: DataFrame | None = None, details: DataFrame | None = None, alike: Callable[[str, str], Column] | None = None) -> DataFrame:
     """Components (node, c) of the nodes that verified links join, over all pairs of nodes with a token in common.
 
     postings: tok, node, n (the node's size), pos (the token's place in the node's order), each (tok, node) once. verify:
@@ -53,7 +53,8 @@ def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     each group is first compared with the member in which the token comes first, which differs least from the others,
     round by round: a group of copies then is one component after as many comparisons as it has members. All pairs that
     may be linked and are of different components by then are compared in the end; none is left out. Pairs (a, b) that
-    were found in another way are compared before.
+    were found in another way are compared before. details (node and more columns) and alike(suffix, suffix), a condition
+    on them, keep pairs that are not alike from being made in the end.
     """
     links: list[DataFrame] = []
     tested: list[DataFrame] = []
@@ -97,8 +98,10 @@ def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], s
         j = scratch.table(joined(p), f"{name}-joined")
         open_groups = j.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("tok")
         j = j.join(open_groups, "tok", "left_semi")
-        a, b = (j.select("tok", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "c"))) for x in "ab")
-        left = a.join(b, "tok").filter((F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & may_link(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b")))
+        if details is not None:
+            j = j.join(details, "node")
+        a, b = (j.select("tok", *(F.col(c).alias(f"{c}_{x}") for c in j.columns if c != "tok")) for x in "ab")
+        left = a.join(b, "tok").filter((F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & may_link(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b")) & (alike("a", "b") if alike else F.lit(True)))
         compare(left.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "rest")
     if comp is None:
         return postings.sparkSession.createDataFrame([], "node long, c long")

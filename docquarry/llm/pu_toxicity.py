@@ -20,17 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import distinct_sorted, find_words, mix, row_slices, span_hashes, text_buffer
+from .arrowtext import distinct_sorted, find_words, mix, release_memory, row_slices, span_hashes, text_buffer
 
-MOST_POSITIVE = 4_000
-MOST_UNLABELLED = 16_000
+MOST_POSITIVE = 2_000
+MOST_UNLABELLED = 10_000
 #: A word is a feature if it is in so many of the sampled toxic texts, at least this share of them, and more frequent
 #: there than in any texts by so many standard errors for each root of a toxic text, within the bounds.
 LEAST_TEXTS = 4
 LEAST_SHARE = 0.02
 Z_PER_ROOT, LEAST_Z, MOST_Z = 0.35, 4.0, 12.0
-#: The prior is taken a little too small, as the risk of too large a one has its least value where all texts are toxic.
-PRIOR_MARGIN = 0.9
 #: Bytes of the beginnings of words that are features beside the words.
 PREFIXES = (4, 6)
 
@@ -73,6 +71,11 @@ _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[ord(c) for c in ".,;:!?\"'()[]{}*#%&$|<>-_~"]] = True
 
 
+def least_texts(n: int) -> float:
+    """Of n toxic texts, those that must have a feature."""
+    return max(LEAST_TEXTS, LEAST_SHARE * n)
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
@@ -85,6 +88,10 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     if not positive or not unlabelled:
         return empty
     words, in_positive = np.unique(np.concatenate(positive), return_counts=True)
+    enough = in_positive >= least_texts(len(positive))
+    words, in_positive = words[enough], in_positive[enough]
+    if not len(words):
+        return empty
     some, times = np.unique(np.concatenate(unlabelled), return_counts=True)
     in_unlabelled = np.zeros(len(words), np.int64)
     if len(some):
@@ -96,9 +103,9 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     least_z = min(max(Z_PER_ROOT * np.sqrt(len(positive)), LEAST_Z), MOST_Z)
     # the words that tell most are in any texts as often as toxic texts are; what labels say bounds the prior from above
     best = np.argsort(-z)[:10]
-    prior = PRIOR_MARGIN * min(prior, max(1e-3, u[best].sum() / p[best].sum()))
+    prior = min(prior, max(1e-3, u[best].sum() / p[best].sum()))
     bias = float(np.log(prior / (1 - prior)))
-    words = words[(in_positive >= max(LEAST_TEXTS, LEAST_SHARE * len(positive))) & (z >= least_z)]
+    words = words[z >= least_z]
     if not len(words):
         return empty
 
@@ -160,13 +167,17 @@ def train(documents: DataFrame, labels: DataFrame, may_learn, most_positive: int
                     yield pa.RecordBatch.from_arrays([pa.array([x.astype("<u8").tobytes() for x in parts], pa.binary())], names=["words"])
 
         # there may be more rows than ids
+        release_memory()
         rows = own.join(F.broadcast(sample), "doc_id", "left_semi").select("text").mapInArrow(words, "words binary").limit(most).collect()
         return [np.frombuffer(r.words, "<u8").astype(np.uint64) for r in rows]
 
     toxic = features(positive, most_positive, None)
     found, times = np.unique(np.concatenate(toxic), return_counts=True) if toxic else (np.zeros(0, np.uint64), np.zeros(0))
-    any_kind = features(others, most_unlabelled, found[times >= max(LEAST_TEXTS, LEAST_SHARE * len(toxic))])
-    return fit(toxic, any_kind, counts.k / counts.n)
+    any_kind = features(others, most_unlabelled, found[times >= least_texts(len(toxic))])
+    model = fit(toxic, any_kind, counts.k / counts.n)
+    del toxic, any_kind
+    release_memory()
+    return model
 
 
 def score(documents: DataFrame, classifier: Classifier, threshold: float = 0.7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
