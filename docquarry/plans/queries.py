@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docquarry.functions import dates
 from docquarry.functions import text as T
 from docquarry.functions.stemming import stemmed
-from docquarry.operators import catalog, chunking, context, evaluate, fusion, jobs, layout, lexical, session, temporal
+from docquarry.operators import catalog, chunking, context, evaluate, fusion, jobs, layout, lexical, multi, session, temporal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -641,3 +642,79 @@ def metrics_by_type(spark, d):
 @query("SELECT o_custkey AS case_id, count(DISTINCT o_orderkey) AS n_runs, count(DISTINCT o_orderstatus) = 1 AS same FROM orders GROUP BY o_custkey")
 def run_agreement(spark, d):
     return evaluate.agreement(table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("value")))
+
+
+# --- numbers, warnings, sections, intents ---------------------------------------------------------------------------
+
+
+@query(r"""WITH t AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN (l_orderkey % 3000) || '.' || l_linenumber || '.0' WHEN 1 THEN 'PR' || (l_orderkey % 300) || '.' || l_linenumber WHEN 2 THEN (l_orderkey % 300) || '.' ELSE (l_orderkey % 3000) || '.51' || l_linenumber END AS number FROM lineitem)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'decimal' WHEN 1 THEN 'prefixed' WHEN 2 THEN 'integer' END AS kind,
+CASE l_linenumber % 4 WHEN 0 THEN (l_orderkey % 3000) || '/' || l_linenumber WHEN 1 THEN 'PR' || (l_orderkey % 300) || '/' || l_linenumber WHEN 2 THEN (l_orderkey % 300)::VARCHAR END AS parts FROM t""")
+def clause_numbers(spark, d):
+    key, line = F.col("l_orderkey"), F.col("l_linenumber").cast("string")
+    number = F.when(F.col("l_linenumber") % 4 == 0, F.concat((key % 3000).cast("string"), F.lit("."), line, F.lit(".0"))).when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit("PR"), (key % 300).cast("string"), F.lit("."), line)).when(F.col("l_linenumber") % 4 == 2, F.concat((key % 300).cast("string"), F.lit("."))).otherwise(F.concat((key % 3000).cast("string"), F.lit(".51"), line))
+    parsed = table(spark, d, "lineitem").select("l_orderkey", long(F.col("l_linenumber")).alias("l_linenumber"), T.clause_number(number).alias("c"))
+    return parsed.select("l_orderkey", "l_linenumber", F.col("c.kind").alias("kind"), F.array_join("c.parts", "/").alias("parts"))
+
+
+@query(f"""SELECT item_id, array_to_string(list_filter(list_transform(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: regexp_replace(regexp_replace(w, '^["''“”‘’(\\[]+', ''), '["''“”‘’)\\],.;:?!]+$', '')), lambda w: w <> '' AND lower(w) NOT IN ({', '.join(f"'{w}'" for w in T.KEYWORD_STOP_WORDS)})), ' ') AS keywords FROM benchmark""")
+def keyword_queries(spark, d):
+    return table(spark, d, "benchmark").select("item_id", T.keyword_query(F.col("text")).alias("keywords"))
+
+
+@query("SELECT doc_id, sha256(replace(text, chr(10), chr(10) || chr(10))) AS content_hash, len(string_split(text, chr(10))) AS n_blocks, CASE WHEN trim(text) = '' THEN 'blank' WHEN length(text) < 40 THEN 'near_empty' END AS warning FROM documents")
+def document_hashes(spark, d):
+    blocks = F.split("text", "\n", -1)
+    warning = F.when(F.trim("text") == "", "blank").when(F.length("text") < 40, "near_empty")
+    return docs_of(spark, d).select("doc_id", T.content_hash(F.array_join(blocks, "\n\n")).alias("content_hash"), long(F.size(blocks)).alias("n_blocks"), warning.alias("warning"))
+
+
+@query("SELECT count(*) AS n_documents, count(DISTINCT source) AS n_organizations, count(DISTINCT lang) AS n_kinds, sum(n_chars)::BIGINT AS n_chars FROM documents")
+def corpus_info(spark, d):
+    return table(spark, d, "documents").agg(F.count("*").alias("n_documents"), F.count_distinct("source").alias("n_organizations"), F.count_distinct("lang").alias("n_kinds"), F.sum("n_chars").alias("n_chars"))
+
+
+@query("""WITH s AS (SELECT o_custkey AS series_id, o_orderkey AS doc_id, string_agg(DISTINCT l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS hashes FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT series_id, count(*) AS n_versions, count(DISTINCT hashes) > 1 AS differ FROM s GROUP BY series_id""")
+def version_eligibility(spark, d):
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat("l_returnflag", "l_linestatus").alias("h"))
+    per = table(spark, d, "orders").join(lines, "o_orderkey").groupBy("o_custkey", "o_orderkey").agg(F.array_join(F.array_sort(F.collect_set("h")), ",").alias("hashes"))
+    return per.groupBy(F.col("o_custkey").alias("series_id")).agg(F.count("*").alias("n_versions"), (F.count_distinct("hashes") > 1).alias("differ"))
+
+
+@query("""WITH o AS (SELECT o_custkey % 500 AS query_id, o_orderkey AS intent, CASE WHEN o_orderkey % 3 = 0 THEN 'org' || (o_custkey % 2) ELSE NULL END AS org FROM orders WHERE o_orderkey % 5 = 0),
+n AS (SELECT query_id, count(DISTINCT org) AS n, min(org) AS sole FROM o GROUP BY query_id) SELECT query_id, intent, CASE WHEN org IS NULL AND n = 1 THEN sole ELSE '' END AS carried, org IS NULL AND n > 1 AS ambiguous FROM o JOIN n USING (query_id)""")
+def organization_carry(spark, d):
+    o = table(spark, d, "orders").filter("o_orderkey % 5 = 0")
+    named = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.concat(F.lit("org"), (F.col("o_custkey") % 2).cast("string")))).otherwise(F.array().cast("array<string>"))
+    i = o.select((F.col("o_custkey") % 500).alias("query_id"), F.col("o_orderkey").alias("intent"), named.alias("organizations"))
+    return multi.carry(i).select("query_id", "intent", F.array_join("carried", ",").alias("carried"), "ambiguous")
+
+
+@query("""WITH f AS (SELECT o_custkey % 300 AS query_id, o_orderkey AS intent, o_totalprice > 150000 AS admissible, o_orderstatus = 'F' AS covered FROM orders WHERE o_orderkey % 20 = 0),
+g AS (SELECT query_id, count(*) AS n, count(*) FILTER (admissible) AS ok, count(*) FILTER (admissible AND covered) AS covered FROM f GROUP BY query_id)
+SELECT query_id, CASE WHEN n = 1 THEN 'delegate' WHEN ok = 0 THEN 'no_supported_intent' WHEN ok = n AND covered = n THEN 'delegate' WHEN ok = n THEN 'fused' ELSE 'per_intent' END AS strategy FROM g""")
+def intent_strategy(spark, d):
+    f = table(spark, d, "orders").filter("o_orderkey % 20 = 0").select((F.col("o_custkey") % 300).alias("query_id"), F.col("o_orderkey").alias("intent"), (F.col("o_totalprice") > 150000).alias("admissible"), (F.col("o_orderstatus") == "F").alias("covered"))
+    return multi.strategy(f)
+
+
+@query()
+def temporal_intents(spark, d):
+    i = table(spark, d, "conversations").select("conv_id", "turn", dates.temporal_intent("text").alias("i"))
+    return i.select("conv_id", "turn", F.col("i.kind").alias("kind"), long(F.size("i.dates")).alias("n_dates"))
+
+
+@query()
+def decomposed_questions(spark, d):
+    return multi.decompose(table(spark, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), "text"))
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, string_split(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), ' ') AS w, role FROM conversations), h AS (SELECT conv_id, turn, role, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM t),
+c AS (SELECT *, sum(len(list_filter(regexp_extract_all(replace(lower(word), '’', ''''), '[a-z0-9'']+'), lambda x: x NOT IN ({_LEFT_OUT}) AND NOT regexp_full_match(x, '\\d+')))) OVER (PARTITION BY conv_id, turn ORDER BY place) AS so_far FROM h),
+e AS (SELECT conv_id, turn, role, count(*) AS n, min(place) FILTER (so_far >= 2) AS trigger FROM c GROUP BY ALL)
+SELECT role, count(*) AS n, round(avg((trigger < n)::INT), 6) AS early, round(avg(400 * (n - trigger)), 6) AS mean_lead_ms FROM e GROUP BY role""")
+def early_retrieval(spark, d):
+    e = session.first_trigger(table(spark, d, "conversations"), ["conv_id", "turn", "role"], _LEAVE_OUT)
+    early = F.avg((F.col("trigger") < F.col("n_words")).cast("int"))
+    return e.groupBy("role").agg(F.count("*").alias("n"), F.round(early, 6).alias("early"), F.round(F.avg(400 * (F.col("n_words") - F.col("trigger"))), 6).alias("mean_lead_ms"))
