@@ -21,7 +21,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     neighbours under the smallest one, until every component is one star; the steps follow the logarithm of its size.
     Each step is a written table. A node with very many neighbours is a join of rows with one key, which Spark splits.
     """
-    now = scratch.table(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u != v").distinct(), f"{name}-0")
+    now = scratch.table(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u != v").distinct(), f"{name}-0", small=True)
     state, step = _state(now), 0
     while state[0]:
         step += 1
@@ -30,7 +30,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("m").alias("v"), F.col("v").alias("u")).filter("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.least("v", "m").alias("v"), F.greatest("v", "m").alias("u")).unionByName(least.select(F.col("m").alias("v"), "u")).distinct()
-        now = scratch.table(small, f"{name}-{step}")
+        now = scratch.table(small, f"{name}-{step}", small=True)
         scratch.drop(f"{name}-{step - 1}")
         after = _state(now)
         if after == state:
@@ -70,11 +70,11 @@ def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], s
         pairs = pairs.distinct()
         for t in tested:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, f"{name}-pairs-{step}")
+        pairs = scratch.table(pairs, f"{name}-pairs-{step}", small=True)
         if pairs.isEmpty():
             return False
         tested.append(pairs)
-        links.append(scratch.table(verify(pairs), f"{name}-links-{step}", 500))
+        links.append(scratch.table(verify(pairs), f"{name}-links-{step}", 500, small=True))
         comp = components(reduce(DataFrame.unionByName, links), scratch, f"{name}-comp-{step}")
         return True
 
@@ -84,18 +84,18 @@ def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     for k in range(STAR_ROUNDS):
         j = joined(p)
         if k:
-            j = scratch.table(j, f"{name}-joined-{k}")
+            j = scratch.table(j, f"{name}-joined-{k}", small=True)
         groups = j.groupBy("tok").agg(F.min(F.struct("pos", "n", "node", "c")).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("tok", "lead")
         met = j.join(groups, "tok").filter("node != lead.node")
         may = may_link(F.col("lead.n"), F.col("lead.pos"), F.col("n"), F.col("pos"))
         compare(met.filter((F.col("c") != F.col("lead.c")) & may).select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")), f"star{k}")
-        p = scratch.table(met.select("tok", "node", "n", "pos"), f"{name}-left-{k}")
+        p = scratch.table(met.select("tok", "node", "n", "pos"), f"{name}-left-{k}", small=True)
         if k:
             scratch.drop(f"{name}-left-{k - 1}", f"{name}-joined-{k}")
         if p.isEmpty():
             break
     else:
-        j = scratch.table(joined(p), f"{name}-joined")
+        j = scratch.table(joined(p), f"{name}-joined", small=True)
         open_groups = j.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("tok")
         j = j.join(open_groups, "tok", "left_semi")
         if details is not None:

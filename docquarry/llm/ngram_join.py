@@ -115,7 +115,7 @@ def link_documents(documents: DataFrame, n: int, percent: int, scratch: Scratch,
             b = _slice_batch(k, np.minimum(counts[k * width : (k + 1) * width], 0xFFFFFFFF))
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), b.column("slice"), b.column("part")], names=["doc_id", "n_shingles", "node", "slice", "part"])
 
-    made = scratch.table(own.mapInArrow(first_pass, "doc_id long, n_shingles long, node long, slice int, part binary"), "sets")
+    made = scratch.table(own.mapInArrow(first_pass, "doc_id long, n_shingles long, node long, slice int, part binary"), "sets", 2000)
     order = own.sparkSession.sparkContext.broadcast(fixed_sums(made.filter("part is not null").select("slice", "part"), BUCKETS))
     sets = made.filter("part is null").select("doc_id", "n_shingles", "node")
 
@@ -144,15 +144,15 @@ def link_documents(documents: DataFrame, n: int, percent: int, scratch: Scratch,
                     place = np.concatenate(columns[1])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(columns[0]).astype(np.int64)), pa.array(np.repeat(names[once], lengths).astype(np.int64)), pa.array(np.repeat(size, lengths).astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(place < np.repeat(index, lengths))], names=["tok", "node", "n", "pos", "ix"])
 
-    postings = scratch.table(own.mapInArrow(second_pass, "tok long, node long, n int, pos int, ix boolean"), "postings")
+    postings = scratch.table(own.mapInArrow(second_pass, "tok long, node long, n int, pos int, ix boolean"), "postings", 2000)
     # columns that can yield no pair are most of them, as rare n-grams come first
     shared = postings.groupBy("tok").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("ix").alias("ix")).filter("lo != hi and ix").select("tok")
-    postings = scratch.table(postings.join(shared, "tok", "left_semi").distinct(), "shared")
+    postings = scratch.table(postings.join(shared, "tok", "left_semi").distinct(), "shared", small=True)
     scratch.drop("postings")
 
     sizes = postings.groupBy("tok").agg(F.count("*").alias("rows"))
     few = postings.join(sizes.filter(F.col("rows") <= FEW_ROWS).select("tok"), "tok", "left_semi")
-    many = scratch.table(postings.join(sizes.filter(F.col("rows") > FEW_ROWS).select("tok"), "tok", "left_semi"), "many")
+    many = scratch.table(postings.join(sizes.filter(F.col("rows") > FEW_ROWS).select("tok"), "tok", "left_semi"), "many", small=True)
     in_many = many.groupBy("node").agg(F.count("*").alias("g"))
     a = few.filter("ix").select("tok", F.col("node").alias("a"), F.col("n").alias("na"))
     b = few.select("tok", F.col("node").alias("b"), F.col("n").alias("nb"))
@@ -161,7 +161,7 @@ def link_documents(documents: DataFrame, n: int, percent: int, scratch: Scratch,
     # what a pair may have in common in columns of many rows is not counted, so it is taken as if it were there
     overlaps = overlaps.join(in_many.select(F.col("node").alias("a"), F.col("g").alias("ga")), "a", "left").join(in_many.select(F.col("node").alias("b"), F.col("g").alias("gb")), "b", "left")
     k = F.col("k") + F.least(F.coalesce("ga", F.lit(0)), F.coalesce("gb", F.lit(0)))
-    pairs = scratch.table(overlaps.filter((k >= IN_COMMON) | (k >= F.ceil(F.col("na") * low / high))).select("a", "b"), "pairs")
+    pairs = scratch.table(overlaps.filter((k >= IN_COMMON) | (k >= F.ceil(F.col("na") * low / high))).select("a", "b"), "pairs", small=True)
     many = many.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * low / high)).select("tok", "node", "n", "pos")
 
     def may_link(n: Column, pos: Column, m: Column, other: Column) -> Column:
@@ -171,7 +171,7 @@ def link_documents(documents: DataFrame, n: int, percent: int, scratch: Scratch,
     names = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(many.select("node")).distinct()
     needed = names.join(wanted, "node", "left_semi").select("first_id")
-    rows = scratch.table(_needed_sets(own, needed, read_sets), "rows", 2000)
+    rows = scratch.table(_needed_sets(own, needed, read_sets, scratch), "rows", 2000, small=True)
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = rows.select(F.col("node").alias("a"), F.col("members").alias("ma"))
@@ -190,10 +190,10 @@ def link_documents(documents: DataFrame, n: int, percent: int, scratch: Scratch,
         return pairs.join(a, "a").join(b, "b").select("a", "b", "ma", "mb").mapInArrow(count, "a long, b long")
 
     comp = link_groups(many, verify, scratch, "links", may_link, pairs)
-    comp = scratch.table(comp, "components")
+    comp = scratch.table(comp, "components", small=True)
     named = names.join(comp, "node", "left").select("node", "first_id", F.coalesce("c", "node").alias("c"))
     least = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
-    of_node = scratch.table(named.join(least, "c").select("node", "component_id"), "of_node")
+    of_node = scratch.table(named.join(least, "c").select("node", "component_id"), "of_node", small=True)
     return sets.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -212,7 +212,7 @@ def one_of_each(documents: DataFrame, n: int, percent: int, scratch: Scratch, id
     return kept.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(*documents.columns)
 
 
-def _needed_sets(own: DataFrame, needed: DataFrame, read_sets: SetReader) -> DataFrame:
+def _needed_sets(own: DataFrame, needed: DataFrame, read_sets: SetReader, scratch: Scratch) -> DataFrame:
     """node, members of the rows whose id is needed: they are found by a map of bits, so that texts are not shuffled."""
 
     def bits(batches):
@@ -230,7 +230,9 @@ def _needed_sets(own: DataFrame, needed: DataFrame, read_sets: SetReader) -> Dat
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(held.tobytes(), 1)], pa.binary())], names=["part"])
 
     total = np.zeros(MAP_BITS // 32, np.uint32)
-    for r in needed.mapInArrow(bits, "part binary").coalesce(4).mapInArrow(either, "part binary").collect():
+    # written between, so that no task holds two Python workers
+    made = scratch.table(needed.mapInArrow(bits, "part binary"), "bits", small=True)
+    for r in made.coalesce(4).mapInArrow(either, "part binary").collect():
         total |= np.frombuffer(zlib.decompress(r.part), np.uint32)
     sent = own.sparkSession.sparkContext.broadcast(total)
 

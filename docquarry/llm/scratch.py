@@ -37,8 +37,14 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str, rows_per_batch: int | None = None) -> DataFrame:
-        """Writes df and returns what is read again. Python workers get at most so many rows at once."""
+    def table(self, df: DataFrame, name: str, rows_per_batch: int | None = None, small: bool = False) -> DataFrame:
+        """Writes df and returns what is read again. Python workers get at most so many rows at once.
+
+        A table that is a small part of the input is written by an eighth of the usual tasks, so that it is not a great
+        many files of a few rows where adaptive execution does not put partitions together.
+        """
+        if small:
+            df = df.coalesce(max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
         key = "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = self.spark.conf.get(key)
         if rows_per_batch:

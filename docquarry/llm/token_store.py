@@ -37,6 +37,8 @@ BLOCK = 256
 #: Of a block's values, this share must fit the width.
 FITTING = 0.9
 CHUNK_IDS = 1 << 19
+#: Bytes of text that are encoded at once: of more text, fewer pieces are distinct.
+ENCODED_BYTES = 1 << 22
 MAGIC = b"QPFR0001"
 _FOOTER = struct.Struct("<7Q8s")
 _HEAD = 7
@@ -263,7 +265,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int
             with written(uri) as out:
                 writer = TokenFileWriter(out)
                 for batch in chain([first], batches):
-                    for rows in row_slices(batch, "text"):
+                    for rows in row_slices(batch, "text", ENCODED_BYTES):
                         writer.add(rows.column("doc_id"), *encode_slice(rows, "text", tokenizer, end_id))
                 made = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "uri": [uri], "n_docs": pa.array([made["n_docs"]], pa.int64()), "n_tokens": pa.array([made["n_tokens"]], pa.int64())})
