@@ -202,14 +202,17 @@ def one_of_each(documents: DataFrame, n: int, percent: int, scratch: Scratch, id
 
     A row without id goes by a hash of its text. Rows with the same id are one document, of which one row stays.
     """
-    named = documents.withColumn("_id", F.coalesce(F.col(id_column).cast("long"), F.xxhash64(F.col(text_column).cast("string"))))
-    linked = link_documents(named, n, percent, scratch, "_id", text_column)
-    first = linked.filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = named.join(first, F.col("_id") == F.col("_first"), "left_semi")
-    if named.agg(F.count("*").alias("n"), F.count_distinct("_id").alias("k")).filter("n != k").isEmpty():
-        return kept.select(*documents.columns)
-    order = Window.partitionBy("_id").orderBy(F.xxhash64(F.col(text_column).cast("string")))
-    return kept.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(*documents.columns)
+    # a row is one value, so that its columns may have any names
+    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("whole")
+    text = F.col(text_column).cast("string")
+    keyed = documents.select(whole, F.coalesce(F.col(id_column).cast("long"), F.xxhash64(text)).alias("key"), text.alias("text"))
+    linked = link_documents(keyed, n, percent, scratch, "key", "text")
+    first = linked.filter("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    kept = keyed.join(first, "key", "left_semi")
+    if not keyed.groupBy("key").count().filter("count > 1").isEmpty():
+        order = Window.partitionBy("key").orderBy(F.xxhash64("text"))
+        kept = kept.withColumn("nth", F.row_number().over(order)).filter("nth = 1")
+    return kept.select(*(F.col("whole").getField(c).alias(c) for c in documents.columns))
 
 
 def _needed_sets(own: DataFrame, needed: DataFrame, read_sets: SetReader, scratch: Scratch) -> DataFrame:

@@ -65,8 +65,9 @@ def test_components_equal_brute_force(spark, corpus, n, percent):
 def test_one_of_each_keeps_clean_rows(spark):
     rows = [(5, "a b c d e f g", "x"), (3, "a b c d e f g", "y"), (9, "something else entirely different here now", "z"), (1, None, "n"), (2, "", "e"), (None, "no id", "q"), (None, "no id", "q"), (7, "same id", "1"), (7, "same id other", "2")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _id string")
-    got = ngram_join.one_of_each(docs.withColumnRenamed("_id", "extra"), 5, 80, Scratch(spark, "t"))
-    assert got.columns == ["doc_id", "text", "extra"]
+    docs = docs.withColumns({"key": docs._id, "whole": docs._id, "nth": docs.doc_id, "node": docs.doc_id})
+    got = ngram_join.one_of_each(docs, 5, 80, Scratch(spark, "t"))
+    assert got.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 2, 3, 7, 9]
 
 
@@ -120,7 +121,7 @@ def test_dedup_keeps_first_lines_and_every_row(spark):
     long = "this is a line that is long enough to be looked at"
     rows = [(2, f"{long}\nonly here, and it is long enough too", "b"), (1, f"head\n{long}", "a"), (3, None, "c"), (4, f"{long}!", "d"), (5, "head\nhead", "e"), (6, "", "f")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, removed string")
-    got = {r.doc_id: (r.text, r.removed) for r in line_dedup.dedup_lines(docs.withColumnRenamed("removed", "note"), Scratch(spark, "t")).withColumnRenamed("note", "removed").collect()}
+    got = {r.doc_id: (r.text, r.removed) for r in line_dedup.dedup_lines(docs.withColumns({"key": docs.removed, "row": docs.removed, "gone": docs.doc_id, "whole": docs.doc_id, "was": docs.text, "line": docs.text}), Scratch(spark, "t")).collect()}
     assert got == {1: (f"head\n{long}", "a"), 2: ("only here, and it is long enough too", "b"), 3: (None, "c"), 4: ("", "d"), 5: ("head\nhead", "e"), 6: ("", "f")}
 
 
