@@ -107,6 +107,7 @@ def numbers(text: Column) -> Column:
 def keyword_query(text: Column) -> Column:
     """Words without punctuation at their edges and without function words."""
     words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    # fixed values: punctuation at the edges of words
     bare = F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(w, r"^[\"'“”‘’(\[]+", ""), r"[\"'“”‘’)\],.;:?!]+$", ""))
     return F.array_join(F.filter(bare, lambda w: (w != "") & ~F.lower(w).isin(KEYWORD_STOP_WORDS)), " ")
 
@@ -120,12 +121,14 @@ def slug(text: Column, most: int = 48) -> Column:
 
 def list_marker(text: Column) -> Column:
     """bullet, ordered or null: how a line begins, if something follows the marker."""
+    # fixed values: bullets, and enumerators
     rest = [r"^([•◦▪▫●○■□‣⁃∙·*]|[-–](?=\s))\s*(?=.)", r"^(\d{1,4}(\.\d{1,3})+\.?)\s+(?=.)|^\d{1,3}[.)]\s+(?=.)|^\(\d{1,3}\)\s*(?=.)|^\(?[ivxlc]{1,5}[.)]\s+(?=.)|^\(?[a-z][.)]\s+(?=.)|^[A-Z]{1,3}\d{1,3}(\.\d{1,3})*\.?\s+(?=.)"]
     return F.when(text.rlike(rest[0]), "bullet").when(text.rlike(rest[1]), "ordered")
 
 
 def clause_number(number: Column) -> Column:
     """struct(parts, kind) of an enumerator: decimal, integer or prefixed; null for anything else. A trailing .0 goes."""
+    # fixed values: patterns of clause numbers
     n = F.regexp_replace(number, r"\.+$", "")
     parts = F.split(F.regexp_replace(n, r"(\.0)+$", ""), r"\.")
     decimal, prefixed, integer = n.rlike(r"^\d{1,4}(\.([1-9]\d?|0))+$"), n.rlike(r"^[A-Z]{1,3}\d{1,3}(\.[1-9]\d?)*$"), n.rlike(r"^\d{1,4}$")

@@ -13,6 +13,7 @@ BROWSER_TOP, BROWSER_BOTTOM, BROWSER_SIZE = 28.0, 35.0, 9.0
 NUMBER_MARGIN = 0.15
 REPEAT_PAGES, REPEAT_SHARE, REPEAT_BUCKET, REPEAT_TOP, REPEAT_BOTTOM = 3, 0.5, 4.0, 0.12, 0.20
 HEADING_RATIO = 1.15
+# Fixed value: how page numbers are written.
 PAGE_NUMBER = r"(?i)^(page\s*)?\d{1,4}(\s*(of|/)\s*\d{1,4})?$"
 # What a heading may be, at most.
 HEADING_LINES, HEADING_CHARS, HEADING_WORDS = 3, 160, 25

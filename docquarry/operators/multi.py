@@ -17,6 +17,7 @@ ASKING = "what when how who whom whose which where why whether".split()
 AUXILIARY = "is are was were does do did can could must should will would may has have".split()
 REFERRING = frozenset("it its they them their this that these those such".split())
 
+# Fixed value: how institutions are named.
 _ORGANIZATION = re.compile(r"\b(?:[A-Z][\w&.'’-]*\s+)+(?:University|College|Institute)\b|\b(?:University|College|Institute) of (?:the )?[A-Z][\w&.'’-]*")
 
 

@@ -22,6 +22,9 @@ REQUEST = (
     "those these in as into to a an of with using just now only instead form bullet bullets bulleted point points numbered "
     "number one two three four five six seven eight nine ten"
 ).split()
+# Phrases that close a conversation, and how an utterance ends that is not finished or is.
+CLOSING = r"\bgot it\b|\bthat(?:'s| is| will be| would be)? all\b|\bno (?:more|further) questions?\b|\bnothing (?:else|more|further)\b|\ball (?:good|set|clear)\b"
+TRAILS_OFF, CLOSED, OPEN_MARK, POSSESSIVE = r"(?:\.{2,}|…)\s*$", r"[.?!][\"'”’)\]]*\s*$", r"[,;:(/&\-–—]\s*$", r"['’]s\s*$"
 MOST_OPENER, MOST_ACKNOWLEDGE, MOST_REQUEST, EARLY_WORDS = 3, 10, 14, 2
 
 
@@ -33,13 +36,12 @@ def turn_kind(text: Column) -> Column:
     """suppress (thanks and the like), presentation (another layout), wait (unfinished) or retrieve, in this order."""
     plain = F.trim(F.regexp_replace(text, r"\s+", " "))
     w = words(plain)
-    phrase = r"\bgot it\b|\bthat(?:'s| is| will be| would be)? all\b|\bno (?:more|further) questions?\b|\bnothing (?:else|more|further)\b|\ball (?:good|set|clear)\b"
-    thanks = ~F.contains(plain, F.lit("?")) & F.size(w).between(1, MOST_ACKNOWLEDGE) & F.forall(w, lambda x: x.isin(SMALL_TALK)) & (F.exists(w, lambda x: x.isin(ACKNOWLEDGE)) | F.array_join(w, " ").rlike(phrase))
+    thanks = ~F.contains(plain, F.lit("?")) & F.size(w).between(1, MOST_ACKNOWLEDGE) & F.forall(w, lambda x: x.isin(SMALL_TALK)) & (F.exists(w, lambda x: x.isin(ACKNOWLEDGE)) | F.array_join(w, " ").rlike(CLOSING))
     number = r"(?:\d+|one|two|three|four|five|six|seven|eight|nine|ten)"
     layout = rf"\b(?:bullet(?:ed)?|bullets|numbered)\b|\b(?!0+\s){number}\s+points\b"
     present = F.size(w).between(1, MOST_REQUEST) & F.forall(w, lambda x: x.isin(REQUEST) | x.rlike(r"^\d+$")) & F.array_join(w, " ").rlike(layout)
     last = F.try_element_at(w, F.lit(-1))
-    opened = plain.rlike(r"(?:\.{2,}|…)\s*$") | (~plain.rlike(r"[.?!][\"'”’)\]]*\s*$") & (plain.rlike(r"[,;:(/&\-–—]\s*$") | plain.rlike(r"['’]s\s*$") | F.coalesce(last.isin(CANNOT_END) | ((F.size(w) <= MOST_OPENER) & last.isin(OPENER)), F.lit(False))))
+    opened = plain.rlike(TRAILS_OFF) | (~plain.rlike(CLOSED) & (plain.rlike(OPEN_MARK) | plain.rlike(POSSESSIVE) | F.coalesce(last.isin(CANNOT_END) | ((F.size(w) <= MOST_OPENER) & last.isin(OPENER)), F.lit(False))))
     return F.when(thanks, "suppress").when(present, "presentation").when(opened, "wait").otherwise("retrieve")
 
 

@@ -73,7 +73,7 @@ def test_comparison_form(spark):
     ("What is the limit and the deadline?", ["What is the limit and the deadline?"]),
     ("How much is it for meals; who signs the form?", ["How much is it for meals?", "who signs the form?"]),
     ("What is the fee, and how often is that paid?", ["What is the fee, and how often is that paid?"]),
-    ("Is a card required at UConn, and is a receipt needed there?", ["Is a card required at UConn?", "is a receipt needed there?"]),
+    ("Is a card required at Delft, and is a receipt needed there?", ["Is a card required at Delft?", "is a receipt needed there?"]),
     ("What is the rule? Why?", ["What is the rule? Why?"]),
     ("What is the rule? Which forms do I need?", ["What is the rule?", "Which forms do I need?"]),
     ("How did the rule change from 2024-01-01 to 2025-01-01, and what is the fee?", ["How did the rule change from 2024-01-01 to 2025-01-01, and what is the fee?"]),
@@ -84,11 +84,11 @@ def test_parts(question, parts):
 
 
 def test_mentions(spark):
-    names = spark.createDataFrame([("Rutgers University", "Rutgers University", False), ("UConn", "University of Connecticut", True), ("Penn", "University of Pennsylvania", True)], "name string, organization string, exact boolean")
-    asked = spark.createDataFrame([(1, "At UConn's office and rutgers university?"), (2, "uconn or Pennsylvania"), (3, None)], "query_id long, text string")
+    names = spark.createDataFrame([("Kyoto University", "Kyoto University", False), ("Delft", "University of Delft", True), ("Turin", "University of Turin", True)], "name string, organization string, exact boolean")
+    asked = spark.createDataFrame([(1, "At Delft's office and kyoto university?"), (2, "delft or Turinese"), (3, None)], "query_id long, text string")
     got = {r.query_id: r.organizations for r in multi.mentioned(asked, names).collect()}
-    assert got == {1: ["University of Connecticut", "Rutgers University"], 2: [], 3: []}
-    assert multi.outside("At Harvard University, what is UConn University like?", ["UConn"]) == ["Harvard University"]
+    assert got == {1: ["University of Delft", "Kyoto University"], 2: [], 3: []}
+    assert multi.outside("At Padua University, what is Delft University like?", ["Delft"]) == ["Padua University"]
 
 
 def test_carry_and_strategy(spark):
