@@ -117,6 +117,27 @@ def test_lines_equal_brute_force(spark):
     assert len(missed) <= 0.02 * len(want) and set(got) <= set(want)
 
 
+def test_short_lines_equal_brute_force(spark):
+    r = random.Random(3)
+    bases = ["a", "-", "no", "page 12", "all rights reserved.", "read more here", "これは短い文です。", "subscribe to our news", "-" * 30, "table of contents and notes"]
+    lines = []
+    for _ in range(300):
+        line = r.choice(bases)
+        at = r.choice([0, len(line)])
+        lines.append(r.choice([line, line.upper(), line + " ", line[:at] + r.choice("xyz!") + line[at:], line * 2, line[1:], "\t"]))
+    rows = [(i, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(100)]
+    got = {(x.doc_id, x.line): (x.kept_doc_id, x.kept_line) for x in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()}
+    places = [(divmod(i, 3), line.lower().strip(" ")) for i, line in enumerate(lines) if line.strip()]
+    sets, parent = [char_set(line) for _, line in places], list(range(len(places)))
+    for i in range(len(places)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= line_dedup.SIMILARITY * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(parent, i), find(parent, j)
+                parent[max(a, b)] = min(a, b)
+    assert got == {p: places[find(parent, i)][0] for i, (p, _) in enumerate(places) if find(parent, i) != i}
+
+
 def test_dedup_keeps_first_lines_and_every_row(spark):
     long = "this is a line that is long enough to be looked at"
     rows = [(2, f"{long}\nonly here, and it is long enough too", "b"), (1, f"head\n{long}", "a"), (3, None, "c"), (4, f"{long}!", "d"), (5, "head\nhead", "e"), (6, "", "f")]
