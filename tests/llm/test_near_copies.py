@@ -138,6 +138,27 @@ def test_short_lines_equal_brute_force(spark):
     assert got == {p: places[find(parent, i)][0] for i, (p, _) in enumerate(places) if find(parent, i) != i}
 
 
+def test_scattered_edits_of_long_lines_are_found(spark):
+    r, rows, pairs = random.Random(11), [], 0
+    for size in (200, 400, 1000):
+        for edit in ("change", "delete"):
+            for _ in range(60):
+                one = "".join(r.choices("abcdefghijklmnopqrstuvwxyz     ", k=size)).strip()
+                other, last = one, one
+                while True:
+                    at = r.randrange(len(other))
+                    other = other[:at] + (r.choice("0123456789") if edit == "change" else "") + other[at + 1 :]
+                    x, y = char_set(one), char_set(other.strip())
+                    if len(x & y) < 0.8 * len(x | y):
+                        break
+                    last = other
+                rows += [(2 * pairs, one), (2 * pairs + 1, last)]
+                pairs += 1
+    got = {(x.kept_doc_id, x.doc_id) for x in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()}
+    want = {(2 * k, 2 * k + 1) for k in range(pairs)}
+    assert got <= want and len(want - got) <= 0.01 * pairs
+
+
 def test_dedup_keeps_first_lines_and_every_row(spark):
     long = "this is a line that is long enough to be looked at"
     rows = [(2, f"{long}\nonly here, and it is long enough too", "b"), (1, f"head\n{long}", "a"), (3, None, "c"), (4, f"{long}!", "d"), (5, "head\nhead", "e"), (6, "", "f")]
