@@ -3,15 +3,15 @@
 A text's words become template tokens. Numbers are <num>, units that follow a number <unit>, capitalised words inside a
 sentence <name>; all else is lower-cased without punctuation at its ends. The value behind a placeholder is its slot.
 Windows of WINDOW template tokens of all benchmark items are looked up for all windows of all texts; a window that is
-mostly placeholders is no evidence. Windows of a text that meet an item at the same distance form an alignment. Its slots
-must be consistent: the same benchmark value stands for the same value in the text throughout, and the other way round.
-An alignment that covers enough of the item's windows marks the text.
+mostly placeholders is no evidence. Windows of a text that meet an item at nearby distances form an alignment, so that words
+may be inserted, deleted or changed. Its slots must be consistent: the same benchmark value stands for the same value in
+the text throughout, and the other way round. An alignment whose windows cover enough of the item's words marks the text;
+so does a run of VERBATIM words of the item, whatever share of it they are.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +24,10 @@ from .arrowtext import find_words, mix, offsets_of, row_slices, span_hashes, tex
 WINDOW = 8
 #: Template tokens of a window that must be words.
 LEAST_LITERAL = 4
-#: Share of an item's windows that an alignment must cover, with consistent slots.
+#: Share of an item's words that an alignment must cover, with consistent slots.
 COVERED = 0.5
+#: Words of an item, one after the other, that mark a text by themselves.
+VERBATIM = 13
 #: An item of fewer template tokens than this is one window by itself; of fewer than this many words, it is not looked for.
 LEAST_WORDS = 5
 #: Benchmark text up to this size is held by each task; larger benchmarks are joined by their windows' hashes.
@@ -165,30 +167,65 @@ def leaks(t: Templates, items: Items) -> list[tuple[int, int, int, int, bool, in
         met.append(np.stack([text, item[entry], here - place[entry], place[entry], np.full(len(here), size)], 1))
     if not met:
         return []
-    met = np.concatenate(met)
-    aligned = defaultdict(list)
-    keys, counts = np.unique(met[:, :3], axis=0, return_counts=True)
-    enough = {tuple(k) for k, c in zip(keys.tolist(), counts.tolist()) if c >= COVERED * items.total[k[1]]}
-    for text, item, shift, place, size in met.tolist():
-        if (text, item, shift) in enough:
-            aligned[text, item, shift].append((place, size))
+    met = np.unique(np.concatenate(met), axis=0)
+    # shifts of a text and an item that follow each other closely are one alignment
+    close = (met[1:, 0] == met[:-1, 0]) & (met[1:, 1] == met[:-1, 1]) & (met[1:, 2] - met[:-1, 2] <= WINDOW)
     best: dict[tuple[int, int], tuple] = {}
-    for (text, item, shift), places in aligned.items():
-        places = sorted(set(places))
-        there = np.unique(np.concatenate([np.arange(p, p + s) for p, s in places]))
-        own = there + items.at[item]
-        slot = own[items.templates.is_slot[own]]
-        theirs, ours = items.templates.slots[slot], t.slots[slot - items.at[item] + shift]
-        pairs = set(zip(theirs.tolist(), ours.tolist()))
-        if len(pairs) != len({a for a, _ in pairs}) or len(pairs) != len({b for _, b in pairs}):
-            continue  # one value of the item stands for two in the text, or two for one
-        changed = any(a != b for a, b in pairs)
-        found = (len(places), not changed, -shift)
+    for hits in np.split(met, np.flatnonzero(~close) + 1):
+        text, item = hits[0, :2].tolist()
+        n, start, stop = int(items.templates.counts[item]), items.at[item], (at[text], at[text + 1])
+        verbatim = any(_longest_run(items, t, start, n, shift, stop) >= VERBATIM for shift in np.unique(hits[:, 2]).tolist())
+        kept = _consistent(items, t, start, hits)
+        if not verbatim and _covered(kept, n) < COVERED * n:
+            continue
+        kept = kept if len(kept) else hits
+        shifts, times = np.unique(kept[:, 2], return_counts=True)
+        theirs, ours = _slots(items, t, start, kept)
+        changed = bool((theirs != ours).any())
+        count = len(np.unique(kept[:, 3]))
+        shift = int(shifts[times.argmax()])
+        found = (count, not changed, -shift)
         if (text, item) not in best or found > best[text, item][0]:
-            best[text, item] = found, (text, item, len(places), int(items.total[item]), changed, int(shift - at[text]))
+            best[text, item] = found, (text, item, count, int(items.total[item]), changed, int(shift - at[text]))
     return [v for _, v in sorted(best.values(), key=lambda x: x[1][:2])]
 
 
+def _tokens(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of hits, place in the item, place in the batch) of the tokens of windows."""
+    sizes = hits[:, 4]
+    row = np.repeat(np.arange(len(hits)), sizes)
+    there = hits[row, 3] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return row, there, there + hits[row, 2]
+
+
+def _slots(items: Items, t: Templates, start: int, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The item's and the text's values of the slots in windows."""
+    _, there, here = _tokens(hits)
+    slot = items.templates.is_slot[there + start]
+    return items.templates.slots[there[slot] + start], t.slots[here[slot]]
+
+
+def _covered(hits: np.ndarray, n: int) -> int:
+    """How many of an item's n tokens windows hold."""
+    held = np.zeros(n, bool)
+    held[_tokens(hits)[1]] = True
+    return int(held.sum())
+
+
+def _longest_run(items: Items, t: Templates, start: int, n: int, shift: int, stop: tuple[int, int]) -> int:
+    """Most tokens, one after the other, that an item and a text at this shift have in common, slots included."""
+    low, high = max(0, stop[0] - shift), min(n, stop[1] - shift)
+    differ = np.flatnonzero(items.templates.slots[start + low : start + high] != t.slots[shift + low : shift + high])
+    return int(np.diff(np.concatenate([[-1], differ, [high - low]])).max()) - 1
+
+
+def _consistent(items: Items, t: Templates, start: int, hits: np.ndarray) -> np.ndarray:
+    """The windows of an alignment, or none if one value of the item stands for two in the text, or two for one."""
+    pairs = set(zip(*(x.tolist() for x in _slots(items, t, start, hits))))
+    good = len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    return hits if good else hits[:0]
+
+
 SCHEMA = "doc_id long, item_id long, n_windows long, item_windows long, reparameterised boolean, first_word long"
 
 

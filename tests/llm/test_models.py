@@ -241,6 +241,26 @@ def test_leaks(spark, text, found):
     assert templates.without_leaks(docs, items).count() == (0 if found else 1)
 
 
+def leaked(item, text):
+    return [(x[1], x[4]) for x in templates.leaks(templates.canonical(pa.array([text], pa.string())), templates.Items([1], [item]))]
+
+
+def test_leaks_with_edits():
+    words = [f"plain{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59)]
+    for n in (16, 20, 30, 40):
+        for at in range(n):
+            item = " ".join(words[:n])
+            changed, deleted = words[:n], words[:n]
+            changed[at] = "other"
+            del deleted[at]
+            assert leaked(item, "so " + " ".join(changed) + " ok") == [(0, False)]
+            assert leaked(item, " ".join(words[:at] + ["other"] + words[at:n])) == [(0, False)]
+            if n > 16:
+                assert leaked(item, " ".join(deleted)) == [(0, False)]
+    assert leaked(" ".join(words), "so " + " ".join(words[10:40])) == [(0, False)]
+    assert leaked(" ".join(words), "so " + " ".join(words[10:22])) == []
+
+
 def test_leaks_equal_plain_search(spark):
     r = random.Random(7)
     items = [(i, prose(r, r.randint(12, 40))) for i in range(20)]
