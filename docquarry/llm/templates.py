@@ -4,14 +4,16 @@ A text's words become template tokens. Numbers are <num>, units that follow a nu
 sentence <name>; all else is lower-cased without punctuation at its ends. The value behind a placeholder is its slot.
 Windows of WINDOW template tokens of all benchmark items are looked up for all windows of all texts; a window that is
 mostly placeholders is no evidence. Windows of a text that meet an item at nearby distances form an alignment, so that words
-may be inserted, deleted or changed. Its slots must be consistent: the same benchmark value stands for the same value in
-the text throughout, and the other way round. An alignment whose windows cover enough of the item's words marks the text;
-so does a run of VERBATIM words of the item, whatever share of it they are.
+may be inserted, deleted or changed. Windows whose slots are not consistent with the others do not count: the same benchmark
+value stands for the same value in the text, and different names for different names; different numbers may become equal. A
+value that is unchanged in one place is only misspelt in another. An alignment whose windows cover enough of the item's
+words marks the text; so does a run of VERBATIM words of the item, whatever share of it they are.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -175,9 +177,11 @@ def leaks(t: Templates, items: Items) -> list[tuple[int, int, int, int, bool, in
         text, item = hits[0, :2].tolist()
         n, start, stop = int(items.templates.counts[item]), items.at[item], (at[text], at[text + 1])
         verbatim = any(_longest_run(items, t, start, n, shift, stop) >= VERBATIM for shift in np.unique(hits[:, 2]).tolist())
-        kept = _consistent(items, t, start, hits)
-        if not verbatim and _covered(kept, n) < COVERED * n:
-            continue
+        kept, unchanged, names = _consistent(items, t, start, hits)
+        if not verbatim and _covered(unchanged, n) < COVERED * n:
+            # where names disagree it may be another question: then the share is that of windows, which is less
+            if names and len(np.unique(kept[:, 3])) < COVERED * items.total[item] or _covered(kept, n) < COVERED * n:
+                continue
         kept = kept if len(kept) else hits
         shifts, times = np.unique(kept[:, 2], return_counts=True)
         theirs, ours = _slots(items, t, start, kept)
@@ -219,11 +223,27 @@ def _longest_run(items: Items, t: Templates, start: int, n: int, shift: int, sto
     return int(np.diff(np.concatenate([[-1], differ, [high - low]])).max()) - 1
 
 
-def _consistent(items: Items, t: Templates, start: int, hits: np.ndarray) -> np.ndarray:
-    """The windows of an alignment, or none if one value of the item stands for two in the text, or two for one."""
-    pairs = set(zip(*(x.tolist() for x in _slots(items, t, start, hits))))
-    good = len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
-    return hits if good else hits[:0]
+def _consistent(items: Items, t: Templates, start: int, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The windows of an alignment whose slots agree, those without any changed slot, and whether names disagree."""
+    row, there, here = _tokens(hits)
+    slot = items.templates.is_slot[there + start]
+    row, there, here = row[slot], there[slot], here[slot]
+    theirs, ours = items.templates.slots[there + start].tolist(), t.slots[here].tolist()
+    name = (items.templates.tokens[there + start] == _NAME).tolist()
+    places = dict(zip(zip(there.tolist(), here.tolist()), zip(theirs, ours, name)))
+    stands, named = defaultdict(Counter), defaultdict(Counter)
+    for _, (a, b, is_name) in sorted(places.items()):
+        stands[a][b] += 1
+        if is_name:
+            named[b][a] += 1
+    chosen = {a: a if a in c else c.most_common(1)[0][0] for a, c in stands.items()}
+    owner = {b: b if b in c else c.most_common(1)[0][0] for b, c in named.items()}
+    bad, names = np.zeros(len(row), bool), False
+    for k, (a, b, is_name) in enumerate(zip(theirs, ours, name)):
+        if chosen[a] != a and b != chosen[a] or is_name and owner[b] not in (a, b):
+            bad[k], names = True, names or is_name
+    changed = np.fromiter((a != b for a, b in zip(theirs, ours)), bool, len(theirs))
+    return np.delete(hits, row[bad], 0), np.delete(hits, row[changed], 0), names
 
 
 SCHEMA = "doc_id long, item_id long, n_windows long, item_windows long, reparameterised boolean, first_word long"

@@ -261,6 +261,17 @@ def test_leaks_with_edits():
     assert leaked(" ".join(words), "so " + " ".join(words[10:22])) == []
 
 
+@pytest.mark.parametrize("item, text, found", [
+    ("So Anna gives Bob 12 apples and then Anna asks him for 12 pears", "So Anna gives Bob 12 apples and then Ana asks him for 12 pears", [(0, True)]),
+    ("So Anna gives Bob 12 apples and then Anna asks him for 12 pears", "So Anna gives Bob 12 apples and then Anna asks him for 13 pears", [(0, True)]),
+    (ITEMS[0][1], "If Maria buys 9 apples at 4 dollars and John buys 9 pears how much do they pay in total?", [(0, True)]),
+    ("if 2 apples cost as much as pears for 2 dollars what does one pear cost", "if 5 apples cost as much as pears for 7 dollars what does one pear cost", [(0, True)]),
+    (ITEMS[0][1], "If Maria buys 45 apples at 9 dollars and Maria buys 2 pears how much do they pay in total?", []),
+])
+def test_leaks_with_inconsistent_slots(item, text, found):
+    assert leaked(item, text) == found
+
+
 def test_leaks_equal_plain_search(spark):
     r = random.Random(7)
     items = [(i, prose(r, r.randint(12, 40))) for i in range(20)]
