@@ -3,7 +3,7 @@
 A text's words become template tokens. Numbers are <num>, units that follow a number <unit>, capitalised words inside a
 sentence <name>; all else is lower-cased without punctuation at its ends. The value behind a placeholder is its slot.
 Windows of WINDOW template tokens of all benchmark items are looked up for all windows of all texts; a window that is
-mostly placeholders is no evidence. Windows of a text that meet an item at nearby distances form an alignment, so that words
+mostly placeholders is looked up by its words and slot values instead, so that it meets copies only. Windows of a text that meet an item at nearby distances form an alignment, so that words
 may be inserted, deleted or changed. Windows whose slots are not consistent with the others do not count: the same benchmark
 value stands for the same value in the text, and different names for different names; different numbers may become equal. A
 value that is unchanged in one place is only misspelt in another. An alignment whose windows cover enough of the item's
@@ -115,17 +115,23 @@ def canonical(column: pa.Array) -> Templates:
     return Templates(tokens, slots, is_slot, counts)
 
 
-def windows(t: Templates, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first token, hash) of the windows of so many tokens that lie in one text and have enough words."""
+def windows(t: Templates, size: int, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(first token, hash) of the windows of so many tokens that lie in one text and have enough words.
+
+    plain: of all windows that lie in one text, and the hashes are of words and slot values.
+    """
     n = len(t.tokens)
     if n < size:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     text = np.repeat(np.arange(len(t.counts)), t.counts)
     rolled = np.zeros(n - size + 1, np.uint64)
+    values = t.slots if plain else t.tokens
     for k in range(size):
-        rolled += mix(t.tokens[k : n - size + 1 + k] + _U(k + 1))
+        rolled += mix(values[k : n - size + 1 + k] + _U(k + 1))
     literal = offsets_of(~t.is_slot)
-    good = (text[: n - size + 1] == text[size - 1 :]) & (literal[size:] - literal[: n - size + 1] >= min(LEAST_LITERAL, size))
+    good = text[: n - size + 1] == text[size - 1 :]
+    if not plain:
+        good &= literal[size:] - literal[: n - size + 1] >= min(LEAST_LITERAL, size)
     place = np.flatnonzero(good)
     return place, mix(rolled[place] + _U(size))
 
@@ -138,25 +144,36 @@ class Items:
         self.templates = canonical(pa.array(texts, pa.string()))
         self.at = offsets_of(self.templates.counts)
         self.sizes = np.where(self.templates.counts < LEAST_WORDS, 0, np.minimum(self.templates.counts, WINDOW))
-        self.windows: dict[int, tuple] = {}
+        self.windows: dict[tuple[int, bool], tuple] = {}
         self.total = np.zeros(len(ids), np.int64)
+        held = np.zeros(len(self.templates.tokens) + 1, np.int64)
         for size in np.unique(self.sizes[self.sizes > 0]).tolist():
-            place, hashes = windows(self.templates, size)
-            item = np.searchsorted(self.at, place, side="right") - 1
-            own = self.sizes[item] == size
-            place, hashes, item = place[own], hashes[own], item[own]
-            order = np.argsort(hashes, kind="stable")
-            self.windows[size] = hashes[order], item[order], (place - self.at[item])[order]
-            self.total += np.bincount(item, minlength=len(ids))
+            known = np.zeros(0, np.int64)
+            for plain in (False, True):
+                place, hashes = windows(self.templates, size, plain)
+                item = np.searchsorted(self.at, place, side="right") - 1
+                own = (self.sizes[item] == size) & ~np.isin(place, known)
+                place, hashes, item = place[own], hashes[own], item[own]
+                order = np.argsort(hashes, kind="stable")
+                self.windows[size, plain] = hashes[order], item[order], (place - self.at[item])[order]
+                self.total += np.bincount(item, minlength=len(ids))
+                if not plain:
+                    known = place
+                    for k in range(size):
+                        held[place + k] = 1
+        #: tokens of each item in windows that have enough words
+        self.held = np.diff(offsets_of(held)[self.at])
 
 
 def leaks(t: Templates, items: Items) -> list[tuple[int, int, int, int, bool, int]]:
     """(text, item, windows that meet, windows of the item, whether slots differ, first token) of the alignments that count."""
     at = offsets_of(t.counts)
     met = []
-    for size, (known, item, place) in items.windows.items():
-        here, hashes = windows(t, size)
-        if not len(here) or not len(known):
+    for (size, plain), (known, item, place) in items.windows.items():
+        if not len(known):
+            continue
+        here, hashes = windows(t, size, plain)
+        if not len(here):
             continue
         low, high = np.searchsorted(known, hashes), np.searchsorted(known, hashes, side="right")
         hit = np.flatnonzero(high > low)
@@ -166,7 +183,7 @@ def leaks(t: Templates, items: Items) -> list[tuple[int, int, int, int, bool, in
         entry = np.repeat(low[hit] - (np.cumsum(times) - times), times) + np.arange(times.sum())
         here = np.repeat(here[hit], times)
         text = np.searchsorted(at, here, side="right") - 1
-        met.append(np.stack([text, item[entry], here - place[entry], place[entry], np.full(len(here), size)], 1))
+        met.append(np.stack([text, item[entry], here - place[entry], place[entry], np.full(len(here), size), np.full(len(here), plain)], 1))
     if not met:
         return []
     met = np.unique(np.concatenate(met), axis=0)
@@ -180,7 +197,8 @@ def leaks(t: Templates, items: Items) -> list[tuple[int, int, int, int, bool, in
         kept, unchanged, names = _consistent(items, t, start, hits)
         if not verbatim and _covered(unchanged, n) < COVERED * n:
             # where names disagree it may be another question: then the share is that of windows, which is less
-            if names and len(np.unique(kept[:, 3])) < COVERED * items.total[item] or _covered(kept, n) < COVERED * n:
+            by_words = kept[kept[:, 5] == 0]
+            if names and len(np.unique(kept[:, 3])) < COVERED * items.total[item] or not len(by_words) or _covered(by_words, n) < COVERED * items.held[item]:
                 continue
         kept = kept if len(kept) else hits
         shifts, times = np.unique(kept[:, 2], return_counts=True)

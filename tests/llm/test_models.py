@@ -272,6 +272,12 @@ def test_leaks_with_inconsistent_slots(item, text, found):
     assert leaked(item, text) == found
 
 
+@pytest.mark.parametrize("item", ["Is Paris in northern France?", "Did Anna Lee Smith and Bob Jones come", "1 2 3 5 8 13 21 34 55 89", "Ask Anna Bob Carl Dora Emil Finn Gina Hugo"])
+def test_copies_of_items_of_slots_are_found(item):
+    assert leaked(item, f"here it is. {item} and more") == [(0, False)]
+    assert leaked(item, "here it is. Is Berlin in 4 5 6 and Zoe Young Xaver Weber Victor Unger Tina Stone") == []
+
+
 def test_leaks_equal_plain_search(spark):
     r = random.Random(7)
     items = [(i, prose(r, r.randint(12, 40))) for i in range(20)]
