@@ -146,6 +146,7 @@ class Items:
         self.sizes = np.where(self.templates.counts < LEAST_WORDS, 0, np.minimum(self.templates.counts, WINDOW))
         self.windows: dict[tuple[int, bool], tuple] = {}
         self.total = np.zeros(len(ids), np.int64)
+        self.by_words = np.zeros(len(ids), np.int64)
         held = np.zeros(len(self.templates.tokens) + 1, np.int64)
         for size in np.unique(self.sizes[self.sizes > 0]).tolist():
             known = np.zeros(0, np.int64)
@@ -159,6 +160,7 @@ class Items:
                 self.total += np.bincount(item, minlength=len(ids))
                 if not plain:
                     known = place
+                    self.by_words += np.bincount(item, minlength=len(ids))
                     for k in range(size):
                         held[place + k] = 1
         #: tokens of each item in windows that have enough words
@@ -194,12 +196,13 @@ def leaks(t: Templates, items: Items) -> list[tuple[int, int, int, int, bool, in
         text, item = hits[0, :2].tolist()
         n, start, stop = int(items.templates.counts[item]), items.at[item], (at[text], at[text + 1])
         verbatim = any(_longest_run(items, t, start, n, shift, stop) >= VERBATIM for shift in np.unique(hits[:, 2]).tolist())
-        kept, unchanged, names = _consistent(items, t, start, hits)
-        if not verbatim and _covered(unchanged, n) < COVERED * n:
-            # where names disagree it may be another question: then the share is that of windows, which is less
-            by_words = kept[kept[:, 5] == 0]
-            if names and len(np.unique(kept[:, 3])) < COVERED * items.total[item] or not len(by_words) or _covered(by_words, n) < COVERED * items.held[item]:
-                continue
+        kept = _counting(items, t, start, item, n, hits)
+        # what meets nearby by chance must not take away from a shift that counts by itself
+        for shift in np.unique(hits[:, 2]).tolist() if not len(kept) else []:
+            if len(kept := _counting(items, t, start, item, n, hits[hits[:, 2] == shift])):
+                break
+        if not verbatim and not len(kept):
+            continue
         kept = kept if len(kept) else hits
         shifts, times = np.unique(kept[:, 2], return_counts=True)
         theirs, ours = _slots(items, t, start, kept)
@@ -264,6 +267,18 @@ def _consistent(items: Items, t: Templates, start: int, hits: np.ndarray) -> tup
     return np.delete(hits, row[bad], 0), np.delete(hits, row[changed], 0), names
 
 
+def _counting(items: Items, t: Templates, start: int, item: int, n: int, hits: np.ndarray) -> np.ndarray:
+    """The windows of an alignment that count, or none if they are too few to mark the text."""
+    kept, unchanged, names = _consistent(items, t, start, hits)
+    if _covered(unchanged, n) >= COVERED * n:
+        return kept
+    by_words = kept[kept[:, 5] == 0]
+    # where names disagree it may be another question: then the share is that of windows, which is less
+    if not len(by_words) or names and len(np.unique(by_words[:, 3])) < COVERED * items.by_words[item]:
+        return kept[:0]
+    return kept if _covered(by_words, n) >= COVERED * items.held[item] else kept[:0]
+
+
 SCHEMA = "doc_id long, item_id long, n_windows long, item_windows long, reparameterised boolean, first_word long"
 
 
