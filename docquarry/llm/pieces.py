@@ -89,6 +89,12 @@ class PieceCoder:
     def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 500_000):
         self.encode, self.most, self.known, self.old = encode, most, {}, {}
 
+    def forget(self) -> None:
+        """Gives up the older generation, and the younger one where it is large."""
+        self.old = {}
+        if len(self.known) > self.most // 4:
+            self.known = {}
+
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
         starts, ends, counts = split_pieces(data, offsets)

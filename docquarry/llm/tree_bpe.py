@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import offsets_of, row_slices, text_buffer
+from .arrowtext import offsets_of, release_memory, row_slices, text_buffer
 from .files import file_system
 from .pieces import PieceCoder, split_pieces
 
@@ -179,14 +179,30 @@ def decode(ids: np.ndarray, uri: str, leaf: int = 1 << 16) -> bytes:
     return data[ranges(starts[ids], sizes[ids])].tobytes()
 
 
-def encode_documents(documents: DataFrame, ranks: str, id_column: str = "doc_id", text_column: str = "text", digest: bool = False) -> DataFrame:
-    """Encodes each text and decodes it again: doc_id, n_tokens, ids (array of int), decoded (binary).
+#: What encode_documents() can return of each text besides its id.
+COLUMNS = {"n_tokens": "long", "ids": "array<int>", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
 
-    With digest, ids and decoded are replaced by ids_sha256 (of the ids as little-endian uint32) and decoded_sha256.
-    A null text is the empty text, which has no ids. Rows are kept as they are, repeated ones included; other columns
-    are not looked at, whatever their names. No shuffle: each row is worked on where it is read.
+
+def encode_documents(documents: DataFrame, ranks: str, id_column: str = "doc_id", text_column: str = "text", digest: bool = False, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Encodes each text and, where it is asked for, decodes it again: doc_id and the columns that are named.
+
+    n_tokens, ids, decoded (the bytes of the ids), ids_sha256 (of the ids as little-endian uint32) and decoded_sha256. Only
+    what is named is made; by default the first three, with digest n_tokens and the hashes. A null text is the empty text, which has no ids. Rows are kept as they are, repeated ones
+    included; other columns are not looked at, whatever their names. No shuffle: each row is worked on where it is read,
+    a megabyte of text at once or one text.
     """
-    schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded binary")
+    columns = columns or (("n_tokens", "ids_sha256", "decoded_sha256") if digest else ("n_tokens", "ids", "decoded"))
+
+    def column(name: str, ids: np.ndarray, counts: np.ndarray, own: list[np.ndarray]) -> pa.Array:
+        if name == "n_tokens":
+            return pa.array(counts, pa.int64())
+        if name == "ids":
+            return pa.ListArray.from_arrays(pa.array(offsets_of(counts), pa.int32()), pa.array(ids.view(np.int32)))
+        if name == "ids_sha256":
+            return pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in own], pa.string())
+        if name == "decoded":
+            return pa.array([decode(x, ranks) for x in own], pa.binary())
+        return pa.array([hashlib.sha256(decode(x, ranks)).hexdigest() for x in own], pa.string())
 
     def run(batches):
         for batch in batches:
@@ -194,11 +210,10 @@ def encode_documents(documents: DataFrame, ranks: str, id_column: str = "doc_id"
                 ids, counts = encode_texts(*text_buffer(rows.column("text")), ranks)
                 at = offsets_of(counts).tolist()
                 own = [ids[a:b] for a, b in zip(at, at[1:])]
-                if digest:
-                    hashed = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in own], [hashlib.sha256(decode(x, ranks)).hexdigest() for x in own]
-                    columns = [pa.array(hashed[0], pa.string()), pa.array(hashed[1], pa.string())]
-                else:
-                    columns = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))), pa.array([decode(x, ranks) for x in own], pa.binary())]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(counts, pa.int64()), *columns], names=["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(column(c, ids, counts, own) for c in columns)], names=["doc_id", *columns])
+        # a worker that Spark keeps for later tasks gives up what it knows of pieces
+        rank_coder(ranks)[1].forget()
+        release_memory()
 
+    schema = ", ".join(["doc_id long", *(f"{c} {COLUMNS[c]}" for c in columns)])
     return documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, schema)
