@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 #: Rounds in which each group is compared with one of its members, before all pairs that are left.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 4
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -44,17 +43,18 @@ def _state(edges: DataFrame) -> tuple:
     return r.n, r.h
 
 
-def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, name: str, may_link: Callable[..., Column], pairs: DataFrame | None = None, details: DataFrame | None = None, alike: Callable[[str, str], Column] | None = None) -> DataFrame:
+def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, name: str, may_link: Callable[..., Column], pairs: DataFrame | None = None, details: DataFrame | None = None, alike: Callable[[str, str], Column] | None = None, few: int = 0) -> DataFrame:
     """Components (node, c) of the nodes that verified links join, over all pairs of nodes with a token in common.
 
     postings: tok, node, n (the node's size), pos (the token's place in the node's order), each (tok, node) once. verify:
     pairs (a, b) -> those that are linked. may_link(n, pos, other n, other pos): whether a token that stands there may be
     the first one that two linked nodes have in common. Two nodes of the same component need not be compared any more. So
     each group is first compared with the member in which the token comes first, which differs least from the others,
-    round by round: a group of copies then is one component after as many comparisons as it has members. All pairs that
-    may be linked and are of different components by then are compared in the end; none is left out. Pairs (a, b) that
-    were found in another way are compared before. details (node and more columns) and alike(suffix, suffix), a condition
-    on them, keep pairs that are not alike from being made in the end.
+    round by round: a group of copies then is one component after as many comparisons as it has members. In each round,
+    groups of at most few rows are compared as a whole, so that they are closed. A group is open as long as its rows are
+    of different components. All pairs that may be linked and are of different components after the last round are
+    compared in the end; none is left out. Pairs (a, b) that were found in another way are compared before. details (node
+    and more columns) and alike(suffix, suffix), a condition on them, keep pairs that are not alike from being made then.
     """
     links: list[DataFrame] = []
     tested: list[DataFrame] = []
@@ -74,35 +74,45 @@ def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], s
         if pairs.isEmpty():
             return False
         tested.append(pairs)
-        links.append(scratch.table(verify(pairs), f"{name}-links-{step}", 500, small=True))
-        comp = components(reduce(DataFrame.unionByName, links), scratch, f"{name}-comp-{step}")
+        found = scratch.table(verify(pairs), f"{name}-links-{step}", 500, small=True)
+        if found.isEmpty():
+            return False
+        links.append(found)
+        # earlier links are what their components say
+        edges = found if comp is None else found.unionByName(comp.select(F.col("node").alias("a"), F.col("c").alias("b")))
+        comp = components(edges, scratch, f"{name}-comp-{step}")
         return True
 
+    def all_pairs(j: DataFrame, are_alike: Callable[[str, str], Column] | None = None) -> DataFrame:
+        a, b = (j.select("tok", *(F.col(c).alias(f"{c}_{x}") for c in j.columns if c != "tok")) for x in "ab")
+        may = may_link(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"))
+        return a.join(b, "tok").filter((F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & may & (are_alike("a", "b") if are_alike else F.lit(True))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+    def opened(j: DataFrame) -> DataFrame:
+        return j.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("pos", "n", "node", "c")).alias("lead"), F.count("*").alias("rows")).filter("lo != hi").select("tok", "lead", "rows")
+
     if pairs is not None:
         compare(pairs, "given")
     p = postings
     for k in range(STAR_ROUNDS):
         j = joined(p)
+        groups = opened(j)
+        met = scratch.table(j.join(groups, "tok"), f"{name}-open-{k}", small=True)
         if k:
-            j = scratch.table(j, f"{name}-joined-{k}", small=True)
-        groups = j.groupBy("tok").agg(F.min(F.struct("pos", "n", "node", "c")).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("tok", "lead")
-        met = j.join(groups, "tok").filter("node != lead.node")
-        may = may_link(F.col("lead.n"), F.col("lead.pos"), F.col("n"), F.col("pos"))
-        compare(met.filter((F.col("c") != F.col("lead.c")) & may).select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")), f"star{k}")
-        p = scratch.table(met.select("tok", "node", "n", "pos"), f"{name}-left-{k}", small=True)
-        if k:
-            scratch.drop(f"{name}-left-{k - 1}", f"{name}-joined-{k}")
-        if p.isEmpty():
+            scratch.drop(f"{name}-open-{k - 1}")
+        if met.isEmpty():
             break
+        large = met.filter((F.col("rows") > few) & (F.col("node") != F.col("lead.node")))
+        may = may_link(F.col("lead.n"), F.col("lead.pos"), F.col("n"), F.col("pos"))
+        asked = large.filter((F.col("c") != F.col("lead.c")) & may).select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b"))
+        if few:
+            asked = asked.unionByName(all_pairs(met.filter(F.col("rows") <= few).select("tok", "node", "n", "pos", "c")))
+        compare(asked, f"star{k}")
+        p = large.select("tok", "node", "n", "pos")
     else:
         j = scratch.table(joined(p), f"{name}-joined", small=True)
-        open_groups = j.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("tok")
-        j = j.join(open_groups, "tok", "left_semi")
-        if details is not None:
-            j = j.join(details, "node")
-        a, b = (j.select("tok", *(F.col(c).alias(f"{c}_{x}") for c in j.columns if c != "tok")) for x in "ab")
-        left = a.join(b, "tok").filter((F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & may_link(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b")) & (alike("a", "b") if alike else F.lit(True)))
-        compare(left.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "rest")
+        left = j.join(opened(j).select("tok"), "tok", "left_semi")
+        compare(all_pairs(left if details is None else left.join(details, "node"), alike), "rest")
     if comp is None:
         return postings.sparkSession.createDataFrame([], "node long, c long")
     return comp
