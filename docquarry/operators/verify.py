@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.functions.dates import comparison_form, dates_in, unsupported_dates
+from docquarry.functions.dates import comparison_form, dates_in, quote_passages, unsupported_dates
 from docquarry.functions.text import numbers
+from docquarry.functions.verdict import Source, judge
 from docquarry.operators.context import LEAST_QUOTE, occurs_in_order
 
 ANSWER = "status string, claims array<struct<text: string, sources: array<string>, quotes: array<string>>>, not_in_sources array<string>, abstention_reason string"
@@ -45,10 +48,7 @@ def problems(answers: DataFrame, sources: DataFrame, questions: DataFrame) -> Da
     unknown = cited.filter("text is null").select("answer_id", "claim", F.lit("unknown_source").alias("problem")).distinct()
 
     quoted = claims.select("answer_id", "claim", F.posexplode("quotes").alias("quote", "q"))
-    passages = F.filter(F.transform(F.split(F.regexp_replace("q", "…", "..."), r"[•◦▪]|\.\.\."), F.trim), lambda x: x != "")
-    # one folded text for each passage, so that Python sees a flat column
-    folded = quoted.select("answer_id", "claim", "quote", F.posexplode_outer(passages).alias("at", "p")).withColumn("p", comparison_form("p"))
-    folded = folded.groupBy("answer_id", "claim", "quote").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "p"))), lambda x: x["p"]).alias("passages"))
+    folded = quoted.select("answer_id", "claim", "quote", quote_passages("q").alias("passages"))
     texts = cited.filter("text is not null").select("answer_id", "claim", comparison_form("text").alias("source"))
     found = folded.join(texts, ["answer_id", "claim"], "left").withColumn("in", F.col("source").isNotNull() & (F.size("passages") > 0) & occurs_in_order(F.col("passages"), F.col("source")))
     per = found.groupBy("answer_id", "claim", "quote").agg(F.max("in").alias("in"), F.first("passages").alias("passages"))
@@ -68,3 +68,28 @@ def verdicts(answers: DataFrame, found: DataFrame) -> DataFrame:
     """answer_id, n_problems, accepted: an answer stands if nothing speaks against it."""
     n = found.groupBy("answer_id").agg(F.count("*").alias("n"))
     return answers.select("answer_id").join(n, "answer_id", "left").select("answer_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_problems"), F.col("n").isNull().alias("accepted"))
+
+
+def judged(answers: DataFrame, sources: DataFrame, questions: DataFrame) -> DataFrame:
+    """answer_id, status, accepted, problems and notes (array of claim, code, detail) of answers (answer_id, body).
+
+    sources: answer_id, label, text, meta, doc_id, series_id, effective, superseded: what was shown for an answer, a few for
+    each. questions: answer_id, question, asked (a map of series to the documents that the question selected; may be
+    null). An answer without sources or question is judged without them. All rules of functions/verdict.py apply.
+    """
+    shown = sources.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct(*Source._fields))).alias("sources"))
+    asked = questions.select("answer_id", "question", "asked")
+    rows = answers.select("answer_id", "body").join(shown, "answer_id", "left").join(asked, "answer_id", "left")
+    problem = "array<struct<claim: int, code: string, detail: string>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("claim", pa.int32()), ("code", pa.string()), ("detail", pa.string())]))
+        for batch in batches:
+            made = []
+            for r in batch.to_pylist():
+                own = [Source(**{k: v if v is not None or k in ("series_id", "effective", "superseded") else "" for k, v in s.items()}) for s in r["sources"] or []]
+                made.append(judge(r["body"], own, r["question"] or "", dict(r["asked"] or [])))
+            found = [pa.array([[p._asdict() for p in getattr(v, name)] for v in made], kind) for name in ("problems", "notes")]
+            yield pa.RecordBatch.from_arrays([batch.column("answer_id"), pa.array([v.status for v in made], pa.string()), pa.array([v.accepted for v in made], pa.bool_()), *found], names=["answer_id", "status", "accepted", "problems", "notes"])
+
+    return rows.mapInArrow(run, f"answer_id {answers.schema['answer_id'].dataType.simpleString()}, status string, accepted boolean, problems {problem}, notes {problem}")
