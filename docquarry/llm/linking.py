@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 #: Rounds in which each group is compared with one of its members, before all pairs that are left.
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
