@@ -51,7 +51,7 @@ def token_count(text: Column) -> Column:
 
 def join_thousands(text: Column) -> Column:
     """1,234,567 -> 1234567."""
-    return F.regexp_replace(text, r"(?<=\d),(?=\d{3}\b)", "")
+    return F.regexp_replace(text, r",(?<=\d,)(?=\d{3}\b)", "")
 
 
 def analyzed(text: Column) -> Column:
@@ -126,8 +126,11 @@ def list_marker(text: Column) -> Column:
     return F.when(text.rlike(rest[0]), "bullet").when(text.rlike(rest[1]), "ordered")
 
 
-def clause_number(number: Column) -> Column:
-    """struct(parts, kind) of an enumerator: decimal, integer or prefixed; null for anything else. A trailing .0 goes."""
+def clause_number(number: Column, marker: Column | None = None) -> Column:
+    """struct(parts, kind) of an enumerator: decimal, integer or prefixed; null for anything else, and for what is marked by
+    brackets, which numbers a list. A trailing .0 goes."""
+    if marker is not None:
+        number = F.when(~F.startswith(F.coalesce(marker, F.lit("")), F.lit("(")), number)
     # fixed values: patterns of clause numbers
     n = F.regexp_replace(number, r"\.+$", "")
     parts = F.split(F.regexp_replace(n, r"(\.0)+$", ""), r"\.")

@@ -67,3 +67,41 @@ def occurs_in_order(passages: Column, text: Column) -> Column:
 def ungrounded_numbers(claim: Column, *allowed: Column) -> Column:
     """Numbers of a claim that none of the allowed texts holds."""
     return F.array_except(numbers(claim), F.array_distinct(F.flatten(F.array(*(numbers(a) for a in allowed)))))
+
+
+def differing_series(sources: DataFrame) -> DataFrame:
+    """query_id, series_id, n_versions, differ of a context's sources (query_id, series_id, doc_id, content_hash): whether the
+    versions of a series are there with different sets of texts."""
+    per = sources.filter("series_id IS NOT NULL").groupBy("query_id", "series_id", "doc_id").agg(F.array_join(F.array_sort(F.collect_set("content_hash")), ",").alias("hashes"))
+    return per.groupBy("query_id", "series_id").agg(F.count("*").alias("n_versions"), (F.count_distinct("hashes") > 1).alias("differ"))
+
+
+def eligible(differing: DataFrame, intents: DataFrame) -> DataFrame:
+    """query_id, series_id: the one series that a neutral question (query_id, kind) may be split on; none if its versions
+    agree, or if there are several such series."""
+    one = differing.filter("differ").groupBy("query_id").agg(F.count("*").alias("n"), F.min("series_id").alias("series_id")).filter("n = 1")
+    return one.join(intents.filter("kind = 'neutral'").select("query_id"), "query_id", "left_semi").select("query_id", "series_id")
+
+
+def source_header(label: Column, fields: dict[str, Column]) -> Column:
+    """[label] and "name: value" of the fields that are known, between bars."""
+    return F.concat_ws(" | ", F.concat(F.lit("["), label, F.lit("]")), *(F.concat(F.lit(f"{name}: "), value.cast("string")) for name, value in fields.items()))
+
+
+def rendered(sources: DataFrame) -> DataFrame:
+    """query_id, text: a context as it is shown, of sources (query_id, rank, label, header, text, duplicate_of)."""
+    body = F.when(F.col("duplicate_of").isNotNull(), F.concat(F.lit("(identical text to ["), "duplicate_of", F.lit("]; not repeated)"))).otherwise(F.col("text"))
+    blocks = F.array_sort(F.collect_list(F.struct("rank", F.concat_ws("\n", "header", body).alias("block"))))
+    return sources.groupBy("query_id").agg(F.array_join(F.transform(blocks, lambda x: x["block"]), "\n\n").alias("text"))
+
+
+def version_note(groups: DataFrame) -> DataFrame:
+    """query_id, note of version_groups() with name (of the document), effective, superseded and is_current: a line for each
+    series, and one for each of its versions with the labels that are of it."""
+    dates = F.concat(F.lit("effective "), F.coalesce(F.col("effective").cast("string"), F.lit("unknown")), F.coalesce(F.concat(F.lit(", superseded "), F.col("superseded").cast("string")), F.lit("")), F.when(F.col("is_current"), ", current").otherwise(""))
+    line = F.concat(F.lit("  - version "), dates, F.lit(": "), F.replace("labels", F.lit(","), F.lit(", ")))
+    per = groups.groupBy("query_id", "series_id").agg(F.count("*").alias("n"), F.first("name").alias("name"), F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"))
+    head = F.concat(F.lit("- "), F.coalesce("name", F.col("series_id").cast("string")), F.lit(": "), F.col("n").cast("string"), F.lit(" versions of the same document; rules can differ between them."))
+    text = F.concat_ws("\n", head, F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
+    notes = F.array_sort(F.collect_list(F.struct("series_id", text.alias("text"))))
+    return per.groupBy("query_id").agg(F.concat(F.lit("Document versions:\n"), F.array_join(F.transform(notes, lambda x: x["text"]), "\n")).alias("note"))

@@ -11,15 +11,99 @@ from pyspark.sql import functions as F
 RRF_K, DEPTH, POOL = 60, 100, 20
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, vec_id, score: dot products (double, rounded to 6) of every stated query with every vector.
+#: Bytes of stated queries that are sent to the tasks at most; more are asked in several passes.
+SENT_BYTES = 64 << 20
 
-    queries (query_id, embedding) is a stated set that is looked at in blocks of the vectors as they are read: the
-    caller gives few of them, and they are sent to the tasks.
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score, rank: the best k vectors (vec_id, embedding) of each stated query (query_id, embedding) by
+    cosine of unit vectors, that is their dot product (double, rounded to 6); ties by id.
+
+    Queries are a matrix that each task multiplies with the batches that it reads; it keeps the best k of each query, so
+    that k rows a query and task are shuffled. More queries than SENT_BYTES hold are asked in passes.
     """
-    dot = F.aggregate(F.zip_with("embedding", "wanted", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    asked = F.broadcast(queries.select("query_id", F.col("embedding").alias("wanted")))
-    return vectors.crossJoin(asked).select("query_id", "vec_id", F.round(dot, 6).alias("score"))
+    import numpy as np
+    import pyarrow as pa
+
+    size = queries.select(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    if not size.n:
+        return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank long")
+    passes = -(-size.n * (size.d or 1) * 8 // SENT_BYTES)
+    parts = []
+    for p in range(passes):
+        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p) if passes > 1 else queries
+        rows = own.select(F.col("query_id").cast("long").alias("query_id"), "embedding").toArrow()
+        ids = rows.column("query_id").to_numpy()
+        if not len(ids):
+            continue
+        matrix = queries.sparkSession.sparkContext.broadcast((ids, np.array(rows.column("embedding").to_pylist(), np.float64)))
+
+        def run(batches):
+            asked, wanted = matrix.value
+            best_id = np.full((len(asked), 0), 0, np.int64)
+            best = np.zeros((len(asked), 0))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                held = batch.column("embedding")
+                data = np.asarray(held.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(held), -1)
+                scores = np.round(wanted @ data.T, 6)
+                own = np.broadcast_to(batch.column("vec_id").to_numpy(), scores.shape)
+                best, best_id = np.concatenate([best, scores], 1), np.concatenate([best_id, own], 1)
+                order = np.lexsort((best_id, -best), axis=1)[:, :k]
+                best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
+            n = best.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, n)), pa.array(best_id.ravel()), pa.array(best.ravel())], names=["query_id", "vec_id", "score"])
+
+        parts.append(vectors.filter("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "query_id long, vec_id long, score double"))
+    return ranked(reduce(DataFrame.unionByName, parts), k, "vec_id")
+
+
+def embedded(passages: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], prefix: str = "", batch: int = 16) -> DataFrame:
+    """item_id, embedding (unit vectors, float) of passages (item_id, text). load() makes the model, once for each task;
+    the model turns a list of texts into vectors. prefix: what the model's card puts before a passage or a query."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        model = load()
+        for rows in batches:
+            texts = [prefix + (t or "") for t in rows.column("text").to_pylist()]
+            made = [np.asarray(model(texts[i : i + batch]), np.float32) for i in range(0, len(texts), batch)]
+            if not made:
+                continue
+            vectors = np.concatenate(made)
+            vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+            yield pa.RecordBatch.from_arrays([rows.column("item_id"), pa.array(list(vectors.astype(np.float32)), pa.list_(pa.float32()))], names=["item_id", "embedding"])
+
+    return passages.select("item_id", "text").mapInArrow(run, f"item_id {passages.schema['item_id'].dataType.simpleString()}, embedding array<float>")
+
+
+def pair_scores(pairs: DataFrame, load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], batch: int = 16) -> DataFrame:
+    """query_id, item_id, score of pairs (query_id, item_id, query, text) by a model of pairs, made once for each task."""
+    def run(batches):
+        import pyarrow as pa
+
+        model = load()
+        for rows in batches:
+            both = list(zip(rows.column("query").to_pylist(), rows.column("text").to_pylist()))
+            scores = [float(s) for i in range(0, len(both), batch) for s in model(both[i : i + batch])]
+            yield pa.RecordBatch.from_arrays([rows.column("query_id"), rows.column("item_id"), pa.array(scores, pa.float64())], names=["query_id", "item_id", "score"])
+
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("query_id", "item_id"))
+    return pairs.select("query_id", "item_id", "query", "text").mapInArrow(run, f"{kinds}, score double")
+
+
+# Embedding models that may be used, with what stands before passages and queries.
+MODELS = {
+    "arctic-m": ("", "Represent this sentence for searching relevant passages: "),
+    "bge-base": ("", "Represent this sentence for searching relevant passages: "),
+    "bge-small": ("", "Represent this sentence for searching relevant passages: "),
+    "e5-base": ("passage: ", "query: "),
+    "minilm-l6": ("", ""),
+    "nomic-v1.5": ("search_document: ", "search_query: "),
+    "mxbai-large": ("", "Represent this sentence for searching relevant passages: "),
+}
 
 
 def ranked(scored: DataFrame, k: int, id_column: str) -> DataFrame:
@@ -69,11 +153,11 @@ def round_robin(runs: DataFrame) -> DataFrame:
 
 
 def associated(entries: DataFrame) -> DataFrame:
-    """The intents that an item belongs to, of (query_id, item_id, intent, score): those that score 0 or more, else the
-    best one (the first of equals); all of them if the item has no score at all."""
+    """The intents that an item belongs to, of (query_id, item_id, intent, score): those that score 0 or more; if none does,
+    all that have the best score; all of them if any has no score."""
     w = Window.partitionBy("query_id", "item_id")
-    order = w.orderBy(F.col("score").desc_nulls_last(), "intent")
-    return entries.withColumn("best", F.max("score").over(w)).withColumn("nth", F.row_number().over(order)).filter(F.col("best").isNull() | (F.col("score") >= 0) | ((F.col("best") < 0) & (F.col("nth") == 1))).select("query_id", "item_id", "intent", "score")
+    seen = entries.withColumn("best", F.max("score").over(w)).withColumn("unknown", F.count_if(F.col("score").isNull()).over(w) > 0)
+    return seen.filter(F.col("unknown") | (F.col("score") >= 0) | ((F.col("best") < 0) & (F.col("score") == F.col("best")))).select("query_id", "item_id", "intent", "score")
 
 
 def merge_rounds(rounds: DataFrame, k: int) -> DataFrame:

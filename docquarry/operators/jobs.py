@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,3 +28,45 @@ def violations(events: DataFrame, key: str, order: list[str], status: str, allow
 def last_status(events: DataFrame, key: str, order: list[str], status: str) -> DataFrame:
     """The key, status and n of its events."""
     return events.groupBy(key).agg(F.max_by(status, F.struct(*order)).alias("status"), F.count("*").alias("n"))
+
+
+def work(requests: DataFrame, finished: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, finished, rejected) of a batch of requests (job_id, session_id, question).
+
+    finished: job_id, status, result, error of the jobs that are done: one that is delivered again is not run, and its final
+    event is told again. answer: job_id, session_id, question -> job_id, result, error (null for a job that went well). A
+    request without a job is rejected; one without a question fails. Events (job_id, seq, status, result, error): processing
+    and the final one, or the final one alone.
+    """
+    rejected = requests.filter("job_id IS NULL")
+    once = requests.filter("job_id IS NOT NULL").dropDuplicates(["job_id"])
+    done = once.select("job_id").join(finished, "job_id")
+    new = once.join(finished.select("job_id"), "job_id", "left_anti")
+    bad = F.coalesce(F.trim("question"), F.lit("")) == ""
+    invalid = new.filter(bad).select("job_id", F.lit("failed").alias("status"), F.lit(None).cast("string").alias("result"), F.lit("invalid request").alias("error"))
+    asked = new.filter(~bad)
+    made = answer(asked.select("job_id", "session_id", "question")).select("job_id", F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status"), F.when(F.col("error").isNull(), F.col("result")).alias("result"), "error")
+    final = made.unionByName(invalid)
+    nothing = F.lit(None).cast("string")
+    began = asked.select("job_id", F.lit(0).alias("seq"), F.lit("processing").alias("status"), nothing.alias("result"), nothing.alias("error"))
+    told = final.unionByName(done.select("job_id", "status", "result", "error")).select("job_id", F.lit(1).alias("seq"), "status", "result", "error")
+    return began.unionByName(told), finished.select("job_id", "status", "result", "error").unionByName(final), rejected
+
+
+def deliver(messages: DataFrame, handle: Callable[[dict], str | None], key: str = "queue") -> DataFrame:
+    """queue, seq, outcome, error of messages (queue, seq, body) that a handler is given in order, queue by queue: handled, or
+    rejected where it raises; a rejected message is not delivered again, and the next ones still are."""
+    from docquarry.operators.ordered import scan_documents
+
+    def scan(rows: list[dict]) -> list[dict]:
+        out = []
+        for r in rows:
+            error = None
+            try:
+                handle(r)
+            except Exception as e:  # any failure of a handler is the message's
+                error = f"{type(e).__name__}: {e}"
+            out.append({key: r[key], "seq": r["seq"], "outcome": "rejected" if error else "handled", "error": error})
+        return out
+
+    return scan_documents(messages, scan, f"{key} string, seq long, outcome string, error string", key=key)

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.functions.blocks import Box, reading_order
 from docquarry.functions.text import list_marker
 
 # Bands, zones and thresholds of page furniture.
@@ -115,35 +116,14 @@ def section_parents(headings: DataFrame) -> DataFrame:
 
 
 def xy_cut(items: DataFrame, strong_gap: float = 12.0, least_column_gap: float = 14.0) -> DataFrame:
-    """doc_id, page, item, place: reading order by recursive cuts of each page.
+    """doc_id, page, item, place: reading order by recursive cuts of each page (doc_id, page, item, x0, y0, x1, y1).
 
     A page is cut at white bands: first at the horizontal ones that are wide enough, else at vertical ones that part
-    columns; what can't be cut is read from top to bottom, then left to right. One group is one page.
+    columns; what can't be cut is read from top to bottom (to a tenth of a point), then left to right. One group is one page.
     """
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes = pdf[["item", "x0", "y0", "x1", "y1"]].to_dict("records")
-
-        def bands(rows, low, high):
-            out, reach = [], None
-            for r in sorted(rows, key=lambda r: (r[low], r[high])):
-                if reach is not None and r[low] > reach:
-                    out.append((r[low] - reach, (r[low] + reach) / 2))
-                reach = r[high] if reach is None else max(reach, r[high])
-            return out
-
-        def read(rows):
-            if len(rows) < 2:
-                return [r["item"] for r in rows]
-            for low, high, least in (("y0", "y1", strong_gap), ("x0", "x1", least_column_gap)):
-                cuts = [at for width, at in bands(rows, low, high) if width >= least]
-                if cuts:
-                    parts = [[] for _ in range(len(cuts) + 1)]
-                    for r in rows:
-                        parts[sum(r[low] >= c for c in cuts)].append(r)
-                    return [i for p in parts for i in read(p)]
-            return [r["item"] for r in sorted(rows, key=lambda r: (r["y0"], r["x0"], r["item"]))]
-
-        made = read(boxes)
-        return pd.DataFrame({"doc_id": pdf.doc_id.iloc[0], "page": pdf.page.iloc[0], "item": made, "place": range(1, len(made) + 1)})
+        own = pdf.sort_values("item")
+        places = reading_order([Box(*b) for b in own[["x0", "y0", "x1", "y1"]].itertuples(index=False)], strong_gap, least_column_gap)
+        return pd.DataFrame({"doc_id": own.doc_id.iloc[0], "page": own.page.iloc[0], "item": own.item.to_numpy()[places], "place": range(1, len(places) + 1)})
 
     return items.groupBy("doc_id", "page").applyInPandas(order, "doc_id string, page long, item long, place long")

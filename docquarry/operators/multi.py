@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from docquarry.functions.dates import question_dates
-
-# At most so many parts, of at least so many words.
-MOST_INTENTS, LEAST_WORDS = 3, 3
-# Words that ask, and words that refer back.
-ASKING = "what when how who whom whose which where why whether".split()
-AUXILIARY = "is are was were does do did can could must should will would may has have".split()
-REFERRING = frozenset("it its they them their this that these those such".split())
-
-# Fixed value: how institutions are named.
-_ORGANIZATION = re.compile(r"\b(?:[A-Z][\w&.'’-]*\s+)+(?:University|College|Institute)\b|\b(?:University|College|Institute) of (?:the )?[A-Z][\w&.'’-]*")
-
+from docquarry.functions import intents as I
 
 def mentioned(questions: DataFrame, names: DataFrame) -> DataFrame:
     """query_id, organizations: those of a table of names (name, organization, exact) that a question holds, in the order
@@ -38,64 +26,62 @@ def mentioned(questions: DataFrame, names: DataFrame) -> DataFrame:
 
 def outside(text: str, known: list[str]) -> list[str]:
     """Names of institutions in a text that no known name holds or is held by."""
-    out = []
-    for m in _ORGANIZATION.finditer(text):
-        words = m[0].split()
-        while words and (words[0].lower() in ASKING or words[0].lower() in AUXILIARY or words[0] in ("The", "At", "Under", "For", "In", "On", "Of", "From", "By", "If", "And", "Or", "A", "An")):
-            words.pop(0)
-        name = " ".join(words)
-        if len(words) > 1 and not any(k.lower() in name.lower() or name.lower() in k.lower() for k in known):
-            out.append(name)
-    return list(dict.fromkeys(out))
+    return I.Directory(list(known)).outside(text)
 
 
-def _asks(words: list[str]) -> bool:
-    plain = [w.lower().strip(",;") for w in words]
-    return any(w in ASKING for w in plain) or bool(plain) and plain[0] in AUXILIARY
+def parts_of(question: str, directory: I.Directory | None = None) -> list[str]:
+    """The questions that a question consists of; the question alone if it is one."""
+    return [x.text for x in I.decompose(question, directory or I.Directory([]))[0]]
 
 
-def parts_of(question: str) -> list[str]:
-    """The questions that a question consists of, as far as each stands by itself; else the question alone.
+def decompose(questions: DataFrame, directory: I.Directory | None = None) -> DataFrame:
+    """query_id, intent (from 0), text: the parts of questions (query_id, text)."""
+    return intents(questions, directory or I.Directory([])).select("query_id", "intent", "text")
+
 
-    Sentences that ask are parts. Within one, a part begins after ", and", ";" or "and" where the next word asks (an
-    auxiliary needs the comma), both sides are long enough, what stands before it asks, and it does not refer back. A
-    question that names two dates compares them, and is one.
+def intents(questions: DataFrame, directory: I.Directory) -> DataFrame:
+    """query_id, intent (from 0), text, sub_query, organizations, carried, outside, topic, flags of questions (query_id, text).
+
+    The directory holds the names of a corpus' organizations: some hundreds, which are sent with the task.
     """
-    whole = " ".join(question.split())
-    if len(question_dates(whole)) > 1:
-        return [whole]
-    found: list[str] = []
-    for sentence in re.split(r"(?<=\?)\s+", whole):
-        if not sentence.endswith("?"):
-            if found:
-                found[-1] += " " + sentence
-            continue
-        words, begin, pieces = sentence[:-1].split(), 0, []
-        for i in range(1, len(words)):
-            joined, word = words[i - 1], words[i].lower().strip(",;")
-            comma = joined == "and" and i >= 2 and words[i - 2][-1] in ",;"
-            cut = (joined == "and" and (word in ASKING or comma and word in AUXILIARY)) or (joined.endswith(";") and (word in ASKING or word in AUXILIARY))
-            before = words[begin : i - 1 if joined == "and" else i]
-            rest = words[i:]
-            if cut and len(before) >= LEAST_WORDS and len(rest) >= LEAST_WORDS and _asks(before) and not REFERRING & {w.lower().strip(",;?") for w in rest}:
-                pieces.append(" ".join(before).rstrip(",;"))
-                begin = i
-        pieces.append(" ".join(words[begin:]))
-        own = [p for p in pieces if p]
-        if found and (len(own[0].split()) < LEAST_WORDS or REFERRING & {w.lower() for w in own[0].split()}):
-            found[-1] += f"? {own.pop(0)}"
-        found += own
-    parts = [f"{p}?" for p in found]
-    return parts if 2 <= len(parts) <= MOST_INTENTS else [whole]
-
-
-def decompose(questions: DataFrame) -> DataFrame:
-    """query_id, intent (from 0), text: the parts of questions (query_id, text)."""
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(q, i, p) for q, t in zip(pdf.query_id, pdf.text) for i, p in enumerate(parts_of(t or ""))]
-        return pd.DataFrame(rows, columns=["query_id", "intent", "text"])
+        rows = []
+        for q, t in zip(pdf.query_id, pdf.text):
+            made, _, flags = I.decompose(t or "", directory)
+            rows += [(q, k, x.text, x.sub_query, x.organizations, x.carried, x.outside, x.topic, flags) for k, x in enumerate(made)]
+        return pd.DataFrame(rows, columns=["query_id", "intent", "text", "sub_query", "organizations", "carried", "outside", "topic", "flags"])
 
-    return questions.select("query_id", "text").mapInPandas(lambda it: map(split, it), "query_id long, intent long, text string")
+    names = "array<string>"
+    schema = f"query_id long, intent long, text string, sub_query string, organizations {names}, carried {names}, outside {names}, topic string, flags {names}"
+    return questions.select("query_id", "text").mapInPandas(lambda it: map(split, it), schema)
+
+
+def stripped(directory: I.Directory):
+    """strip(text, names) for iterate.refinements(): a text without these organizations' names."""
+    @F.pandas_udf(StringType())
+    def strip(text: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([directory.strip(t or "", list(n) if n is not None else []) for t, n in zip(text, names)])
+
+    return strip
+
+
+def aligned(rankings: DataFrame, pools: DataFrame, questions: DataFrame, directory: I.Directory, k: int) -> DataFrame:
+    """query_id, item_id, rank of rankings (query_id, item_id, rank, organization, text) that are aligned with the things
+    that their questions (query_id, text) name; pools are the same rankings to a greater depth (a few rows a question)."""
+    row = F.struct("rank", "item_id", "organization", "text")
+    lists = [df.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias(name)) for df, name in ((rankings, "first"), (pools, "pool"))]
+    asked = questions.select("query_id", F.col("text").alias("question")).join(lists[0], "query_id").join(lists[1], "query_id", "left")
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                first, pool = ([(x["item_id"], x["organization"], x["text"] or "") for x in (own if own is not None else [])] for own in (r.first, r.pool))
+                named = I.entities(r.question or "", directory)
+                rows += [(r.query_id, x[0], n) for n, x in enumerate(I.align(named, directory.mentions(r.question or ""), first, pool, k), 1)]
+            yield pd.DataFrame(rows, columns=["query_id", "item_id", "rank"])
+
+    return asked.mapInPandas(run, "query_id long, item_id long, rank long")
 
 
 def carry(intents: DataFrame) -> DataFrame:
@@ -118,7 +104,85 @@ def admissible(runs: DataFrame) -> DataFrame:
     return g.select("query_id", "intent", ((F.col("outside") == 0) & (F.col("n") > 0) & (F.col("best").isNull() | (F.col("best") >= 0))).alias("admissible"))
 
 
+def covered(tops: DataFrame, context: DataFrame) -> DataFrame:
+    """Adds covered to the best items of intents (query_id, intent, item_id, content_hash): whether the question's own
+    context (query_id, item_id, content_hash) holds the item or its text."""
+    by_id = context.select("query_id", "item_id", F.lit(True).alias("_i")).distinct()
+    by_hash = context.select("query_id", "content_hash", F.lit(True).alias("_h")).distinct()
+    seen = tops.join(by_id, ["query_id", "item_id"], "left").join(by_hash, ["query_id", "content_hash"], "left")
+    return seen.withColumn("covered", F.coalesce("_i", "_h", F.lit(False))).drop("_i", "_h")
+
+
 def strategy(flags: DataFrame) -> DataFrame:
-    """query_id, strategy of flags (query_id, intent, admissible, covered)."""
-    g = flags.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if("admissible").alias("ok"), F.count_if(F.col("admissible") & F.col("covered")).alias("covered"))
-    return g.select("query_id", F.when(F.col("n") == 1, "delegate").when(F.col("ok") == 0, "no_supported_intent").when((F.col("ok") == F.col("n")) & (F.col("covered") == F.col("n")), "delegate").when(F.col("ok") == F.col("n"), "fused").otherwise("per_intent").alias("strategy"))
+    """query_id, strategy of flags (query_id, intent, admissible, covered; blocked: it names a foreign institution; same:
+    it selects the versions that the whole question does).
+
+    delegate: one intent, or none that may be used is uncovered and none is blocked. no_supported_intent: none may be
+    used. fused: all that may be used select the same versions as the question. per_intent otherwise.
+    """
+    flags = flags.withColumns({c: F.lit(v) for c, v in (("blocked", False), ("same", True)) if c not in flags.columns})
+    g = flags.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if("admissible").alias("ok"), F.count_if(F.col("admissible") & ~F.col("covered")).alias("open"), F.count_if("blocked").alias("blocked"), F.count_if(F.col("admissible") & ~F.col("same")).alias("other"))
+    return g.select("query_id", F.when(F.col("n") == 1, "delegate").when((F.col("open") == 0) & (F.col("blocked") == 0), "delegate").when(F.col("ok") == 0, "no_supported_intent").when(F.col("other") == 0, "fused").otherwise("per_intent").alias("strategy"))
+
+
+def intents_of(items: DataFrame, runs: DataFrame) -> DataFrame:
+    """query_id, item_id, entries: for each item that was shown (query_id, item_id), the intents whose own lists (query_id,
+    intent, item_id, rank, score) hold it, with its rank and score there."""
+    held = runs.groupBy("query_id", "item_id").agg(F.array_sort(F.collect_list(F.struct("intent", "rank", "score"))).alias("entries"))
+    return items.select("query_id", "item_id").distinct().join(held, ["query_id", "item_id"], "left")
+
+
+def claim_intents(claims: DataFrame, associations: DataFrame) -> DataFrame:
+    """query_id, claim, intents: the intents that the items a claim cites (query_id, claim, item_id) belong to
+    (query_id, item_id, intent)."""
+    found = claims.join(associations.select("query_id", "item_id", "intent"), ["query_id", "item_id"], "left")
+    return found.groupBy("query_id", "claim").agg(F.array_sort(F.collect_set("intent")).alias("intents"))
+
+
+def version_slices(evidence: DataFrame, versions: DataFrame) -> DataFrame:
+    """Evidence (query_id, item_id, series_id, doc_id, rank) once for each version (query_id, split_series, split_doc) of the
+    series that an answer is split on: without the other versions of that series, ranks as they are."""
+    both = evidence.join(versions.select("query_id", "split_series", "split_doc"), "query_id")
+    return both.filter(~F.col("series_id").eqNullSafe(F.col("split_series")) | (F.col("doc_id") == F.col("split_doc")))
+
+
+def split_decision(answers: DataFrame) -> DataFrame:
+    """query_id, strategy of answers (query_id, series: the one to split on or null, abstention, n_problems,
+    n_version_problems): split_by_version only if the one answer was refused for nothing but its versions."""
+    only = (F.col("abstention") == "ungrounded_output") & (F.col("n_version_problems") > 0) & (F.col("n_version_problems") == F.col("n_problems"))
+    return answers.select("query_id", F.when(F.col("series").isNotNull() & F.coalesce(only, F.lit(False)), "split_by_version").otherwise("single").alias("strategy"))
+
+
+def combined(parts: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One answer of several parts: (query_id, status, text; query_id, item_id, number; query_id, gap).
+
+    parts: query_id, part, label, status, reason, gaps (array). claims: query_id, part, claim, text, items (cited, in
+    order). Citations are numbered by their first use over all parts; a part without an answer is a sentence and a gap.
+    """
+    uses = claims.select("query_id", "part", "claim", F.posexplode("items").alias("at", "item_id"))
+    first = uses.groupBy("query_id", "item_id").agg(F.min(F.struct("part", "claim", "at")).alias("first"))
+    numbers = first.select("query_id", "item_id", F.row_number().over(Window.partitionBy("query_id").orderBy("first")).cast("long").alias("number"))
+    marked = uses.join(numbers, ["query_id", "item_id"]).groupBy("query_id", "part", "claim").agg(F.array_sort(F.collect_list(F.struct("at", "number"))).alias("m"))
+    closed = F.when(F.col("text").rlike(r"[.?!]$"), F.col("text")).otherwise(F.concat("text", F.lit(".")))
+    marks = F.array_join(F.transform(F.coalesce("m", F.array().cast("array<struct<at: int, number: bigint>>")), lambda x: F.concat(F.lit("["), x["number"].cast("string"), F.lit("]"))), "")
+    sentences = claims.join(marked, ["query_id", "part", "claim"], "left").select("query_id", "part", "claim", F.concat(closed, marks).alias("s"))
+    said = sentences.groupBy("query_id", "part").agg(F.array_sort(F.collect_list(F.struct("claim", "s"))).alias("ss"))
+    rows = parts.join(said, ["query_id", "part"], "left").withColumn("gaps", F.coalesce("gaps", F.array().cast("array<string>")))
+    answered = F.col("status") == "answered"
+    missing = F.when(F.size("gaps") > 0, F.concat(F.lit(" Not in the sources: "), F.array_join(F.transform("gaps", lambda g: F.regexp_replace(g, r"\.+$", "")), "; "), F.lit("."))).otherwise("")
+    body = F.when(answered, F.concat(F.array_join(F.transform("ss", lambda x: x["s"]), " "), missing)).otherwise("the retrieved sources do not answer this part.")
+    sections = rows.select("query_id", "part", "status", F.concat("label", F.lit(": "), body).alias("section"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "section"))), lambda x: x["section"]), "\n")
+    answers = sections.groupBy("query_id").agg(F.when(F.count_if(answered) > 0, "answered").otherwise("abstained").alias("status"), text.alias("text"))
+    no_answer = F.concat("label", F.lit(": no verified answer ("), F.coalesce("reason", F.lit("unknown")), F.lit(")"))
+    gaps = rows.select("query_id", F.explode(F.when(answered, F.transform("gaps", lambda g: F.concat("label", F.lit(": "), g))).otherwise(F.array(no_answer))).alias("gap"))
+    return answers, numbers, gaps
+
+
+def unsupported(intent_rows: DataFrame) -> DataFrame:
+    """query_id, status, gaps of questions none of whose intents (query_id, intent, text, outside) may be used: they are not
+    answered, and say for each part why."""
+    why = F.when(F.size("outside") > 0, F.concat(F.lit("this part names an organization outside the corpus ("), F.array_join("outside", ", "), F.lit(")"))).otherwise("no relevant evidence was retrieved for this part")
+    gap = F.concat(F.lit("Part "), (F.col("intent") + 1).cast("string"), F.lit(" ("), "text", F.lit("): "), why)
+    rows = intent_rows.select("query_id", "intent", gap.alias("gap"))
+    return rows.groupBy("query_id").agg(F.lit("abstained").alias("status"), F.transform(F.array_sort(F.collect_list(F.struct("intent", "gap"))), lambda x: x["gap"]).alias("gaps"))

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 # Fixed value: the version of stored sessions.
 SESSION_VERSION = 1
 # How dates are written in documents, and as what they are kept.
-DATE_FORMATS = [("MMMM d, yyyy", "yyyy-MM-dd"), ("MMM d, yyyy", "yyyy-MM-dd"), ("yyyy-MM-dd", "yyyy-MM-dd"), ("M/d/yyyy", "yyyy-MM-dd"), ("d MMMM yyyy", "yyyy-MM-dd"), ("MMMM yyyy", "yyyy-MM"), ("MMM yyyy", "yyyy-MM")]
+DATE_FORMATS = [("MMMM d, yyyy", "yyyy-MM-dd"), ("MMMM d yyyy", "yyyy-MM-dd"), ("yyyy-MM-dd", "yyyy-MM-dd"), ("M/d/yyyy", "yyyy-MM-dd"), ("MMMM, yyyy", "yyyy-MM"), ("MMMM yyyy", "yyyy-MM"), ("M/yyyy", "yyyy-MM")]
+# Beside these, ordinal days, short months and days that stand before their month are read.
+MORE_FORMATS = [("MMM d, yyyy", "yyyy-MM-dd"), ("d MMMM yyyy", "yyyy-MM-dd"), ("MMM yyyy", "yyyy-MM")]
 
 
 def normalized_date(text: Column) -> Column:
-    """A written date as yyyy-MM-dd, or as yyyy-MM if it names no day; null for anything else."""
-    plain = F.trim(F.regexp_replace(text, r"(?<=\d)(st|nd|rd|th)\b", ""))
-    return F.coalesce(*(F.date_format(F.try_to_timestamp(plain, F.lit(f)), out) for f, out in DATE_FORMATS))
+    """A written date as yyyy-MM-dd, or as yyyy-MM if it names no day; null for anything else. Spaces are single, and a full
+    stop at the end does not count."""
+    plain = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"\.$", "")
+    plain = F.initcap(F.regexp_replace(plain, r"(?<=\d)(st|nd|rd|th)\b", ""))
+    return F.coalesce(*(F.date_format(F.try_to_timestamp(plain, F.lit(f)), out) for f, out in DATE_FORMATS + MORE_FORMATS))
 
 
 def labelled_fields(blocks: DataFrame, labels: list[str], most_pages: int = 2) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,3 +53,53 @@ def stable_filter(ranking: DataFrame, versions: DataFrame, selected: DataFrame)
 def applicability(day: Column) -> Column:
     """in_force, not_in_force or undetermined: without an effective day nothing can be said."""
     return F.when(F.col("effective").isNull(), "undetermined").when(covers(day), "in_force").otherwise("not_in_force")
+
+
+def select(versions: DataFrame, intents: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What questions select of series: (query_id, series_id, doc_ids; query_id, flag).
+
+    versions: a registry (one row a document). asked: query_id, series_id: the series that are looked at for each
+    question, such as those in its ranking (series_in()). intents: query_id, kind, dates (array of year, month, day) as
+    dates.temporal_intent() gives them. A date selects the version that is in force on its day; a month the versions that
+    it names by their effective date, else the one in force on its first day. No version for any date: an empty
+    selection, which removes the whole series, and requested_version_unavailable. A question for what is current selects
+    the only version that is; else nothing is selected, with current_version_ambiguous. A neutral question selects nothing.
+    """
+    series = versions.groupBy("series_id").agg(F.collect_list(F.struct("doc_id", "effective", "superseded", "is_current")).alias("vs"))
+    asked = asked.distinct().join(intents.filter("kind != 'neutral'"), "query_id").join(series, "series_id")
+
+    def of_date(d: Column) -> Column:
+        first = F.try_to_date(F.format_string("%04d-%02d-%02d", d["year"], d["month"], F.coalesce(d["day"], F.lit(1))), "yyyy-MM-dd")
+        named = F.filter("vs", lambda v: d["day"].isNull() & (F.year(v["effective"]) == d["year"]) & (F.month(v["effective"]) == d["month"]))
+        force = F.filter("vs", lambda v: F.coalesce(covers(first, v["effective"], v["superseded"]), F.lit(False)))
+        return F.transform(F.when(F.size(named) > 0, named).otherwise(force), lambda v: v["doc_id"])
+
+    dated = F.array_sort(F.array_distinct(F.flatten(F.transform("dates", of_date))))
+    now = F.transform(F.filter("vs", lambda v: F.coalesce(v["is_current"], F.lit(False))), lambda v: v["doc_id"])
+    is_now = F.col("kind") == "current"
+    chosen = asked.withColumn("doc_ids", F.when(is_now, F.when(F.size(now) == 1, now)).otherwise(dated))
+    flag = F.when(is_now & F.col("doc_ids").isNull(), F.concat(F.lit("current_version_ambiguous:"), "series_id")).when(~is_now & (F.size("doc_ids") == 0), F.concat(F.lit("requested_version_unavailable:"), "series_id"))
+    return chosen.filter("doc_ids IS NOT NULL").select("query_id", "series_id", "doc_ids"), chosen.select("query_id", flag.alias("flag")).filter("flag IS NOT NULL")
+
+
+def series_in(ranking: DataFrame, versions: DataFrame) -> DataFrame:
+    """query_id, series_id of the series that a ranking (query_id, doc_id) holds documents of."""
+    return ranking.select("query_id", "doc_id").join(versions.select("doc_id", "series_id"), "doc_id").select("query_id", "series_id").distinct()
+
+
+def resolve(ranking: DataFrame, versions: DataFrame, selected: DataFrame) -> DataFrame:
+    """A ranking (query_id, item_id, doc_id, rank) without what each question's selection (query_id, series_id, doc_ids)
+    leaves out of a series; order and ranks stay, kept_rank numbers what is left."""
+    of = versions.select("doc_id", "series_id").dropDuplicates(["doc_id"])
+    known = ranking.join(of, "doc_id", "left").join(selected, ["query_id", "series_id"], "left")
+    w = Window.partitionBy("query_id").orderBy("rank")
+    kept = known.filter(F.col("doc_ids").isNull() | F.array_contains("doc_ids", F.col("doc_id")))
+    return kept.select(*ranking.columns, F.row_number().over(w).cast("long").alias("kept_rank"))
+
+
+def pipelines(hybrid: DataFrame, versions: DataFrame, selected: DataFrame, rerank: Callable[[DataFrame], DataFrame], k: int = 10) -> dict[str, DataFrame]:
+    """The four compositions over a fused ranking (query_id, item_id, doc_id, rank): hybrid, hybrid_temporal, rerank and
+    temporal_rerank. Versions are resolved before a pool is cut; rerank cuts and scores it."""
+    resolved = resolve(hybrid, versions, selected).drop("rank").withColumnRenamed("kept_rank", "rank")
+    made = {"hybrid": hybrid, "hybrid_temporal": resolved, "rerank": rerank(hybrid), "temporal_rerank": rerank(resolved)}
+    return {name: df.filter(F.col("rank") <= k) for name, df in made.items()}

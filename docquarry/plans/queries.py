@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import dates
 from docquarry.functions import text as T
-from docquarry.functions.stemming import stemmed
-from docquarry.operators import catalog, chunking, context, evaluate, fusion, jobs, layout, lexical, multi, session, temporal
+from docquarry.functions.dialogue import CLAIM_STOP
+from docquarry.operators import catalog, chunking, clauses, context, dialogue, evaluate, fusion, iterate, jobs, layout, lexical, multi, pages, session, temporal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -122,7 +122,7 @@ def bm25_topk(spark, d):
 
 @query()
 def bm25_stemmed_topk(spark, d):
-    return bm25_ranking(spark, d, 10, lambda c: stemmed(T.analyzed(c)))
+    return lexical.top_k(lexical.scores(docs_of(spark, d), questions_of(spark, d), stem=True), 10)
 
 
 @query("SELECT doc_id, CAST(strpos(lower(text), 'the of') AS BIGINT) AS at FROM documents WHERE strpos(lower(text), 'the of') > 0")
@@ -130,13 +130,12 @@ def phrase_find(spark, d):
     return lexical.find_phrase(docs_of(spark, d), "the of").select("doc_id", "at")
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS wanted FROM embeddings ORDER BY vec_id LIMIT 20),
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS wanted FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, round(list_inner_product(embedding::DOUBLE[], wanted::DOUBLE[]), 6) AS score FROM embeddings, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10""")
 def dense_topk(spark, d):
     vectors = table(spark, d, "embeddings")
-    asked = vectors.orderBy("vec_id").limit(20).select(F.col("vec_id").alias("query_id"), "embedding")
-    return fusion.ranked(fusion.dense_scores(vectors, asked), 10, "vec_id")
+    return fusion.dense_top_k(vectors, vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
 
 
 @query(f"WITH {_FUSED} SELECT query_id, item_id, score, best_rank, rank FROM fused_ranked WHERE rank <= 20")
@@ -294,19 +293,22 @@ def stable_ids(spark, d):
 # --- lines, blocks and chunks ---------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_LINES}, n AS (SELECT source, count(DISTINCT doc_id) AS n FROM lines GROUP BY source), r AS (SELECT source, lower(text) AS key, count(DISTINCT doc_id) AS on_docs FROM lines GROUP BY source, lower(text)) SELECT source, key, on_docs FROM r JOIN n USING (source) WHERE on_docs >= greatest(3, ceil(0.01 * n)) AND length(regexp_replace(key, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 4")
+@query(f"""WITH {_LINES}, p AS (SELECT *, (seq - 1) * 14.0 AS y0, (seq - 1) * 14.0 + 11.0 AS y1, count(*) OVER (PARTITION BY doc_id) * 14.0 AS height FROM lines), n AS (SELECT source, count(DISTINCT doc_id) AS n FROM lines GROUP BY source),
+z AS (SELECT source, doc_id, seq, lower(text) AS key, CAST(floor(y0 / 4.0) AS BIGINT) AS bucket FROM p WHERE text <> '' AND (y1 <= 0.12 * height OR y0 >= 0.8 * height) AND NOT regexp_matches(text, '(?i)^(page\\s*)?\\d{{1,4}}(\\s*(of|/)\\s*\\d{{1,4}})?$')),
+c AS (SELECT a.source, a.doc_id, a.seq, a.key, count(DISTINCT b.doc_id) AS on_pages FROM z a JOIN z b ON b.source = a.source AND b.key = a.key AND b.bucket BETWEEN a.bucket - 1 AND a.bucket + 1 GROUP BY ALL)
+SELECT source AS doc_id, doc_id AS page, seq FROM c JOIN n USING (source) WHERE n >= 3 AND on_pages >= greatest(3, ceil(0.5 * n)) AND length(regexp_replace(key, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 4""")
 def repeated_boilerplate(spark, d):
-    lines = lines_of(spark, d)
-    n = lines.groupBy("source").agg(F.count_distinct("doc_id").alias("n"))
-    r = lines.groupBy("source", F.lower("text").alias("key")).agg(F.count_distinct("doc_id").alias("on_docs"))
-    return r.join(n, "source").filter((F.col("on_docs") >= F.greatest(F.lit(3), F.ceil(0.01 * F.col("n")))) & (F.length(F.regexp_replace("key", r"[^\p{L}\p{N}]", "")) >= 4)).select("source", "key", "on_docs")
+    y0 = (F.col("seq") - 1) * 14.0
+    lines = lines_of(spark, d).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "seq", "text", y0.alias("y0"), (y0 + 11.0).alias("y1"), F.lit(11.0).alias("size"))
+    height = lines.groupBy("doc_id", "page").agg((F.count("*") * 14.0).alias("height"))
+    return layout.clean_lines(lines, height).filter("removed = 'repeated_boilerplate'").select("doc_id", "page", "seq")
 
 
-@query("WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) - l_linenumber AS off FROM lineitem), n AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, off) AS n FROM c) SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(off AS BIGINT) AS off FROM n WHERE n >= 2")
+@query("WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, CAST(l_quantity AS BIGINT) - l_linenumber AS off FROM lineitem), n AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, off) AS n FROM c) SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS page, q::VARCHAR AS text FROM n WHERE n >= 2")
 def page_number_sequence(spark, d):
-    c = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (long(F.col("l_quantity")) - F.col("l_linenumber")).alias("off"))
-    same = F.count("*").over(Window.partitionBy("l_orderkey", "off"))
-    return c.withColumn("n", same).filter("n >= 2").select("l_orderkey", long(F.col("l_linenumber")).alias("l_linenumber"), "off")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), long(F.col("l_linenumber")).alias("page"), F.lit(1).alias("seq"), long(F.col("l_quantity")).cast("string").alias("text"), F.lit(40.0).alias("y0"), F.lit(51.0).alias("y1"), F.lit(11.0).alias("size"))
+    heights = lines.select("doc_id", "page", F.lit(800.0).alias("height")).distinct()
+    return layout.clean_lines(lines, heights).filter("removed = 'page_number'").select("doc_id", "page", "text")
 
 
 _BLOCKS = f"""{_LINES}, blocks AS (SELECT doc_id, seq, text, CASE WHEN length(text) <= 160 AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) <= 25 AND NOT regexp_matches(text, '[.;,]$') AND length(regexp_replace(text, '\\P{{L}}', '', 'g')) >= 2 THEN 'heading' ELSE 'paragraph' END AS kind FROM lines)"""
@@ -319,9 +321,15 @@ def blocks_of(spark, d) -> DataFrame:
     return b.withColumn("kind", F.when(like, "heading").otherwise("paragraph"))
 
 
-@query(f"WITH {_BLOCKS} SELECT doc_id, count(*) FILTER (kind = 'heading') AS n_heading, count(*) FILTER (kind = 'paragraph') AS n_paragraph FROM blocks GROUP BY doc_id")
+_MARKED = r"""CASE WHEN regexp_matches(text, '^([•◦▪▫●○■□‣⁃∙·*].|[-–]\s)') THEN 'bullet' WHEN regexp_matches(text, '^(\d{1,4}(\.\d{1,3})+\.?\s.|\d{1,3}[.)]\s.|\(\d{1,3}\).|\(?[ivxlc]{1,5}[.)]\s.|\(?[a-z][.)]\s.|[A-Z]{1,3}\d{1,3}(\.\d{1,3})*\.?\s.)') THEN 'ordered' END"""
+
+
+@query(f"""WITH {_LINES}, m AS (SELECT doc_id, seq, text, {_MARKED} AS marker, seq = 1 AS large FROM lines),
+k AS (SELECT doc_id, seq, CASE WHEN length(text) <= 160 AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) <= 25 AND NOT regexp_matches(text, '[.;,]$') AND length(regexp_replace(text, '\\P{{L}}', '', 'g')) >= 2 AND coalesce(marker, '') <> 'bullet' AND (large OR (length(text) <= 120 AND NOT regexp_matches(text, ':$'))) THEN 'heading' WHEN marker IS NOT NULL THEN 'list_item' ELSE 'paragraph' END AS kind, marker FROM m)
+SELECT doc_id, seq, kind, CASE WHEN kind = 'list_item' THEN marker END AS list_type FROM k""")
 def classify_lines(spark, d):
-    return blocks_of(spark, d).groupBy("doc_id").agg(F.count_if(F.col("kind") == "heading").alias("n_heading"), F.count_if(F.col("kind") == "paragraph").alias("n_paragraph"))
+    b = lines_of(spark, d).withColumns({"size": F.when(F.col("seq") == 1, 14.0).otherwise(11.0), "body_size": F.lit(11.0), "bold_ratio": F.lit(1.0), "body_bold": F.lit(False), "line_count": F.lit(1)})
+    return layout.classify(b).select("doc_id", "seq", "kind", "list_type")
 
 
 @query(f"""WITH {_BLOCKS}, r AS (SELECT *, sum(CASE WHEN kind IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY seq) AS prev FROM blocks)),
@@ -352,7 +360,12 @@ def chunk_links(spark, d):
     return chunking.linked(c).select("chunk_id", "prev_id", "next_id")
 
 
-@query()
+_UNITS = f"""{_LINES}, units AS (SELECT doc_id, seq, len(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]')) AS tokens FROM lines)"""
+
+
+@query(f"""WITH RECURSIVE {_UNITS}, walk(doc_id, seq, tokens, total, grp) AS (SELECT doc_id, seq, tokens, tokens, 1::BIGINT FROM units WHERE seq = 1
+  UNION ALL SELECT u.doc_id, u.seq, u.tokens, CASE WHEN w.total + u.tokens <= 256 AND least(w.tokens, u.tokens) < 100 THEN w.total + u.tokens ELSE u.tokens END, CASE WHEN w.total + u.tokens <= 256 AND least(w.tokens, u.tokens) < 100 THEN w.grp ELSE w.grp + 1 END FROM walk w JOIN units u ON u.doc_id = w.doc_id AND u.seq = w.seq + 1)
+SELECT doc_id, grp AS "group", min(seq) AS first_seq, max(seq) AS last_seq, sum(tokens)::BIGINT AS tokens FROM walk GROUP BY doc_id, grp""")
 def chunk_group_greedy(spark, d):
     units = lines_of(spark, d).select("doc_id", "seq", F.lit(0).alias("parent"), long(T.token_count(F.col("text"))).alias("tokens"))
     return chunking.group_units(units).groupBy("doc_id", "group").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.sum("tokens").alias("tokens"))
@@ -368,27 +381,30 @@ def sentence_spans(spark, d):
     return chunking.sentences(docs_of(spark, d))
 
 
-@query(f"WITH {_LINES}, m AS (SELECT doc_id, seq, CASE WHEN length(text) < 30 THEN 'short' WHEN length(text) > 300 THEN 'long' END AS reason FROM lines), i AS (SELECT *, seq - row_number() OVER (PARTITION BY doc_id, reason ORDER BY seq) AS island FROM m WHERE reason IS NOT NULL) SELECT doc_id, reason, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n FROM i GROUP BY doc_id, reason, island")
+@query(f"WITH {_LINES}, m AS (SELECT doc_id, seq, CASE WHEN length(text) < 30 THEN 'short' WHEN length(text) > 300 THEN 'long' END AS reason FROM lines), p AS (SELECT *, seq // 10 AS page FROM m WHERE reason IS NOT NULL), i AS (SELECT *, seq - row_number() OVER (PARTITION BY doc_id, reason, page ORDER BY seq) AS island FROM p) SELECT doc_id, reason, page, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n FROM i GROUP BY doc_id, reason, page, island")
 def excluded_islands(spark, d):
-    m = lines_of(spark, d).withColumn("reason", F.when(F.length("text") < 30, "short").when(F.length("text") > 300, "long"))
+    m = lines_of(spark, d).withColumn("reason", F.when(F.length("text") < 30, "short").when(F.length("text") > 300, "long")).withColumn("page", F.floor(F.col("seq") / 10))
     return chunking.excluded_runs(m)
 
 
-@query("WITH h AS (SELECT sha256(text) AS hash, count(*) AS n, count(DISTINCT source) AS n_sources, min(doc_id) AS first_id FROM documents GROUP BY text) SELECT hash, n, n_sources, first_id FROM h WHERE n > 1")
+@query("SELECT sha256(text) AS content_hash, count(*) AS n, count(DISTINCT source) AS n_docs, count(DISTINCT source) > 1 AS across FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_hashes(spark, d):
-    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources"), F.min("doc_id").alias("first_id")).filter("n > 1")
+    return evaluate.repeated_texts(table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.sha2("text", 256).alias("content_hash")))
 
 
-_BINS = (50, 100, 256, 400, 1000)
+_DOC_TOKENS = "t AS (SELECT len(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_\\s]')) AS tokens FROM documents)"
 
 
-@query(f"WITH t AS (SELECT source, len(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]')) AS n FROM documents) SELECT source, CASE {' '.join(f'WHEN n <= {b} THEN {b}' for b in _BINS)} ELSE 0 END::BIGINT AS upto, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens FROM t GROUP BY ALL")
+@query(f"WITH {_DOC_TOKENS} SELECT CASE {' '.join(f'WHEN tokens <= {b} THEN {b}' for b in evaluate.BINS)} END::BIGINT AS bin, count(*) AS n FROM t GROUP BY ALL")
 def chunk_stats_bins(spark, d):
-    t = table(spark, d, "documents").select("source", long(T.token_count(F.col("text"))).alias("n"))
-    upto = F.lit(0)
-    for b in reversed(_BINS):
-        upto = F.when(F.col("n") <= b, b).otherwise(upto)
-    return t.groupBy("source", long(upto).alias("upto")).agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"))
+    t = table(spark, d, "documents").select(T.token_count(F.col("text")).alias("tokens"))
+    return evaluate.size_bins(t).select(long(F.col("bin")).alias("bin"), "n")
+
+
+@query(f"WITH {_DOC_TOKENS}, p AS (SELECT tokens, row_number() OVER (ORDER BY tokens) - 1 AS place, count(*) OVER () AS n FROM t) SELECT share, tokens FROM p, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 0.95, 1.0])::DOUBLE AS share) WHERE place = round_even(share * (n - 1), 0)")
+def chunk_size_quantiles(spark, d):
+    t = table(spark, d, "documents").select(long(T.token_count(F.col("text"))).alias("tokens"))
+    return evaluate.size_quantiles(t)
 
 
 @query("WITH t AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, n_chars FROM t WHERE place = floor(0.95::DOUBLE * (n - 1))")
@@ -396,16 +412,17 @@ def index_percentile(spark, d):
     return evaluate.index_percentile(table(spark, d, "documents"), "n_chars", 0.95, ["source"])
 
 
-@query(f"""WITH {_BLOCKS}, h AS (SELECT doc_id, seq, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS w FROM blocks WHERE len(regexp_split_to_array(trim(text), '\\s+')) <= 16)
-SELECT DISTINCT a.doc_id, a.seq FROM h a JOIN h b ON a.doc_id = b.doc_id AND b.seq > a.seq WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) >= 0.75""")
+@query(f"""WITH {_BLOCKS}, f AS (SELECT doc_id, seq, kind, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS t, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), ' ')) END AS n FROM cells),
+w AS (SELECT *, list_distinct(string_split(t, ' ')) AS w FROM f),
+hit AS (SELECT DISTINCT a.doc_id, a.seq FROM w a JOIN w h ON h.doc_id = a.doc_id AND h.seq > a.seq AND h.kind = 'heading' AND h.t <> '' WHERE a.kind <> 'heading' AND a.n <= 16 AND length(a.t) >= 3
+  AND (a.t = h.t OR (least(length(a.t), length(h.t)) >= 8 AND least(length(a.t), length(h.t)) >= 0.6 * greatest(length(a.t), length(h.t)) AND (starts_with(a.t, h.t) OR starts_with(h.t, a.t))) OR len(list_intersect(a.w, h.w)) >= 0.75 * len(list_distinct(list_concat(a.w, h.w))))),
+m AS (SELECT w.doc_id, w.seq, hit.seq IS NOT NULL AS e, kind <> 'heading' AND n <= 16 AS short FROM w LEFT JOIN hit ON hit.doc_id = w.doc_id AND hit.seq = w.seq),
+g AS (SELECT *, e OR (short AND coalesce(lag(e) OVER o, false) AND coalesce(lead(e) OVER o, false)) AS inside FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY seq)),
+r AS (SELECT doc_id, seq, e, seq - row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM g WHERE inside), c AS (SELECT *, count(*) FILTER (e) OVER (PARTITION BY doc_id, run) AS hits FROM r)
+SELECT doc_id, seq FROM c WHERE hits >= 3""".replace("FROM cells", "FROM (SELECT doc_id, seq, text, CASE WHEN kind = 'heading' AND seq % 2 = 0 THEN 'heading' ELSE 'paragraph' END AS kind FROM blocks)"))
 def toc_jaccard(spark, d):
-    words = F.array_distinct(F.filter(F.split(T.normal_form(F.col("text")), " "), lambda x: x != ""))
-    h = blocks_of(spark, d).filter(F.size(F.split(F.trim("text"), r"\s+")) <= 16).select("doc_id", "seq", words.alias("w")).filter(F.size("w") > 0)
-    # similar sets have a word in common, so only blocks with the same word meet
-    a = h.select("doc_id", "seq", "w", F.explode("w").alias("word"))
-    b = h.select("doc_id", F.col("seq").alias("later"), F.col("w").alias("v"), F.explode("w").alias("word"))
-    met = a.join(b, ["doc_id", "word"]).filter("later > seq").select("doc_id", "seq", "w", "v").distinct()
-    return met.filter(fusion.jaccard_of(F.col("w"), F.col("v")) >= 0.75).select("doc_id", "seq").distinct()
+    b = blocks_of(spark, d).select("doc_id", "seq", "text", F.when((F.col("kind") == "heading") & (F.col("seq") % 2 == 0), "heading").otherwise("paragraph").alias("kind"))
+    return clauses.navigation_blocks(b)
 
 
 # --- context, claims and intents ------------------------------------------------------------------------------------
@@ -439,14 +456,14 @@ def sufficiency_gate(spark, d):
     return context.gate(evidence_of(spark, d).select("query_id", (F.col("score") - 12).alias("score"))).withColumn("best", F.round("best", 6))
 
 
-_USES = "uses AS (SELECT o_custkey % 100 AS answer_id, o_orderkey AS claim, p AS position, 'S' || ((o_orderkey * (p + 3)) % 7) AS label FROM orders, (SELECT unnest([1, 2]) AS p) WHERE o_orderkey % 10 = 0)"
+_USES = "uses AS (SELECT o_custkey AS answer_id, o_orderkey AS claim, p AS position, 'S' || ((o_orderkey * (p + 3)) % 7) AS label FROM orders, (SELECT unnest([1, 2]) AS p))"
 
 
 @query(f"""WITH {_USES}, f AS (SELECT answer_id, label, min({{'c': claim, 'p': position}}) AS first FROM uses GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY first, label) AS number FROM f)
 SELECT answer_id, label, claim, CAST(position AS BIGINT) AS position, number FROM uses JOIN n USING (answer_id, label)""")
 def citation_numbers(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 10 = 0").withColumn("position", F.explode(F.array(F.lit(1), F.lit(2))))
-    uses = o.select((F.col("o_custkey") % 100).alias("answer_id"), F.col("o_orderkey").alias("claim"), long(F.col("position")).alias("position"), F.concat(F.lit("S"), ((F.col("o_orderkey") * (F.col("position") + 3)) % 7).cast("string")).alias("label"))
+    o = table(spark, d, "orders").withColumn("position", F.explode(F.array(F.lit(1), F.lit(2))))
+    uses = o.select(F.col("o_custkey").alias("answer_id"), F.col("o_orderkey").alias("claim"), long(F.col("position")).alias("position"), F.concat(F.lit("S"), ((F.col("o_orderkey") * (F.col("position") + 3)) % 7).cast("string")).alias("label"))
     return context.number_citations(uses).select("answer_id", "label", "claim", "position", "number")
 
 
@@ -458,18 +475,22 @@ def quote_occurs(spark, d):
     return bm25_ranking(spark, d, 10).join(texts, "doc_id").join(quotes, "query_id").select("query_id", "doc_id", context.occurs_in_order(F.col("passages"), F.col("text")).alias("occurs"))
 
 
-@query(r"WITH n AS (SELECT doc_id, source, list_distinct(regexp_extract_all(text, '\d+')) AS n FROM documents), a AS (SELECT source, list_distinct(flatten(list(n))) AS allowed FROM n WHERE doc_id % 3 = 0 GROUP BY source) SELECT doc_id, len(list_filter(n, lambda x: NOT list_contains(allowed, x))) AS ungrounded FROM n JOIN a USING (source) WHERE doc_id % 3 <> 0")
+_CANONICAL = r"""list_transform(regexp_extract_all({}, '\d+(?:[.,]\d+)*'), lambda x: CASE WHEN regexp_full_match(regexp_replace(replace(x, ',', ''), '^(\d+)\.0+$', '\1'), '\d+')
+  THEN CASE WHEN ltrim(regexp_replace(replace(x, ',', ''), '^(\d+)\.0+$', '\1'), '0') = '' THEN '0' ELSE ltrim(regexp_replace(replace(x, ',', ''), '^(\d+)\.0+$', '\1'), '0') END ELSE replace(x, ',', '') END)"""
+
+
+@query(f"""WITH {_bm25(_ANALYZE, True)}, p AS (SELECT query_id, doc_id, list_distinct({_CANONICAL.format('d.text')}) AS claimed, {_CANONICAL.format('b.text')} AS allowed FROM ranked JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 10)
+SELECT query_id, doc_id, len(list_filter(claimed, lambda x: NOT list_contains(allowed, x))) AS ungrounded FROM p""")
 def number_grounding(spark, d):
-    n = table(spark, d, "documents").select("doc_id", "source", F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d+"), F.lit(0))).alias("n"))
-    a = n.filter("doc_id % 3 = 0").select("source", F.explode_outer("n").alias("x")).groupBy("source").agg(F.collect_set("x").alias("allowed"))
-    return n.filter("doc_id % 3 != 0").join(a, "source").select("doc_id", long(F.size(F.array_except("n", "allowed"))).alias("ungrounded"))
+    pairs = bm25_ranking(spark, d, 10).join(docs_of(spark, d), "doc_id").join(questions_of(spark, d).withColumnRenamed("text", "question"), "query_id")
+    return pairs.select("query_id", "doc_id", long(F.size(context.ungrounded_numbers(F.col("text"), F.col("question")))).alias("ungrounded"))
 
 
-_RUNS = f"""{_bm25(_ANALYZE, True, 'a_')}, {_bm25(_PLAIN, False, 'b_')}, runs AS (SELECT query_id, 0 AS intent, doc_id AS item_id, rank, score FROM a_ranked WHERE rank <= 20 AND doc_id % 3 <> 0 UNION ALL SELECT query_id, 1, doc_id, rank, score FROM b_ranked WHERE rank <= 20)"""
+_RUNS = f"""{_bm25(_ANALYZE, True, 'a_')}, {_bm25(_PLAIN, False, 'b_')}, runs AS (SELECT query_id, 0 AS intent, doc_id AS item_id, rank, score FROM a_ranked WHERE rank <= 20 UNION ALL SELECT query_id, 1, doc_id, rank, score FROM b_ranked WHERE rank <= 20)"""
 
 
 def intent_runs(spark, d) -> DataFrame:
-    a = bm25_ranking(spark, d, 20).filter("doc_id % 3 != 0").withColumn("intent", F.lit(0))
+    a = bm25_ranking(spark, d, 20).withColumn("intent", F.lit(0))
     b = bm25_ranking(spark, d, 20, plain_words).withColumn("intent", F.lit(1))
     return a.unionByName(b).select("query_id", "intent", F.col("doc_id").alias("item_id"), "rank", "score")
 
@@ -480,8 +501,8 @@ def round_robin_fuse(spark, d):
     return fusion.round_robin(intent_runs(spark, d)).withColumn("intent", long(F.col("intent")))
 
 
-@query(f"""WITH {_RUNS}, e AS (SELECT query_id, item_id, intent, round(score - 15, 6) AS score FROM runs), b AS (SELECT *, max(score) OVER (PARTITION BY query_id, item_id) AS best, row_number() OVER (PARTITION BY query_id, item_id ORDER BY score DESC, intent) AS nth FROM e)
-SELECT query_id, item_id, intent::BIGINT AS intent, score FROM b WHERE score >= 0 OR (best < 0 AND nth = 1)""")
+@query(f"""WITH {_RUNS}, e AS (SELECT query_id, item_id, intent, round(score - 15, 6) AS score FROM runs), b AS (SELECT *, max(score) OVER (PARTITION BY query_id, item_id) AS best FROM e)
+SELECT query_id, item_id, intent::BIGINT AS intent, score FROM b WHERE score >= 0 OR (best < 0 AND score = best)""")
 def intent_association(spark, d):
     e = intent_runs(spark, d).select("query_id", "item_id", "intent", F.round(F.col("score") - 15, 6).alias("score"))
     return fusion.associated(e).withColumn("intent", long(F.col("intent")))
@@ -492,14 +513,16 @@ def round_merge(spark, d):
     return fusion.merge_rounds(intent_runs(spark, d).withColumnRenamed("intent", "round"), 6).withColumn("round", long(F.col("round")))
 
 
-@query(f"""WITH {_EVIDENCE}, s AS (SELECT query_id, source, round(max(score) - 12, 6) AS best FROM evidence WHERE rank <= 6 GROUP BY ALL), named AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS source FROM benchmark),
-g AS (SELECT query_id, max(s.best) AS best, max(CASE WHEN s.source = named.source THEN s.best END) AS own FROM named LEFT JOIN s USING (query_id) GROUP BY query_id)
-SELECT query_id, CASE WHEN best IS NULL OR best < 0 THEN 'insufficient' WHEN own IS NULL OR own < 0 THEN 'gap' ELSE 'sufficient' END AS decision FROM g""")
+@query(f"""WITH {_EVIDENCE}, s AS (SELECT query_id, source, round(score - 12, 6) AS score FROM evidence WHERE rank <= 6), named AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS source, item_id % 7 = 0 AS unavailable, item_id % 13 = 0 AS foreign_only FROM benchmark),
+g AS (SELECT n.query_id, unavailable, foreign_only, count(s.score) AS n, max(s.score) AS best, coalesce(bool_or(s.source = n.source AND s.score >= 0), false) AS own FROM named n LEFT JOIN s ON s.query_id = n.query_id GROUP BY ALL),
+r AS (SELECT query_id, best, CASE WHEN foreign_only THEN 'outside_only' WHEN n = 0 THEN 'nothing_retrieved' WHEN best < 0 AND unavailable THEN 'version_unavailable' WHEN best < 0 THEN 'nothing_relevant' WHEN NOT own THEN 'organization_gap' ELSE 'relevant' END AS reason FROM g)
+SELECT query_id, best, reason, CASE WHEN reason IN ('outside_only', 'version_unavailable') THEN 'structural' WHEN reason = 'relevant' THEN 'sufficient' ELSE 'insufficient' END AS decision FROM r""")
 def coverage_decision(spark, d):
-    s = evidence_of(spark, d).filter("rank <= 6").groupBy("query_id", "source").agg(F.round(F.max("score") - 12, 6).alias("best"))
-    named = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("named"))
-    g = named.join(s, "query_id", "left").groupBy("query_id").agg(F.max("best").alias("best"), F.max(F.when(F.col("source") == F.col("named"), F.col("best"))).alias("own"))
-    return g.select("query_id", F.when(F.col("best").isNull() | (F.col("best") < 0), "insufficient").when(F.col("own").isNull() | (F.col("own") < 0), "gap").otherwise("sufficient").alias("decision"))
+    shown = evidence_of(spark, d).filter("rank <= 6").select("query_id", F.col("source").alias("organization"), F.round(F.col("score") - 12, 6).alias("score"))
+    item, none = F.col("item_id"), F.array().cast("array<string>")
+    foreign = item % 13 == 0
+    asked = table(spark, d, "benchmark").select(item.alias("query_id"), F.when(foreign, none).otherwise(F.array(F.concat(F.lit("src"), (item % 20).cast("string")))).alias("organizations"), F.when(foreign, F.array(F.lit("elsewhere"))).otherwise(none).alias("outside"), (item % 7 == 0).alias("unavailable"))
+    return iterate.assess(shown, asked).select("query_id", "best", "reason", "decision")
 
 
 # --- conversations --------------------------------------------------------------------------------------------------
@@ -537,14 +560,16 @@ def fragments_joined(spark, d):
     return session.fragments_joined(turns).select("conv_id", "turn", "kind", T.content_hash(F.col("utterance")).alias("hash"))
 
 
-_WORDSET = f"list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9'']+'), lambda x: x NOT IN ({_LEFT_OUT}) AND NOT regexp_full_match(x, '\\d+')))"
+_CLAIM_STOP = ", ".join(f"'{w}'" for w in sorted(CLAIM_STOP))
+_WORDSET = rf"list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+(?:[.,]\d+)*'), lambda x: x NOT IN ({_CLAIM_STOP})))"
 
 
-@query(f"WITH w AS (SELECT conv_id, turn, {_WORDSET} AS w FROM conversations) SELECT a.conv_id, a.turn, b.turn AS other, len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) >= 0.5 AS same FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE len(list_concat(a.w, b.w)) > 0")
+@query(f"WITH w AS (SELECT conv_id, turn, {_WORDSET} AS w FROM conversations) SELECT a.conv_id, a.turn, b.turn AS other, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 6) END AS similarity FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
 def statement_jaccard(spark, d):
-    w = table(spark, d, "conversations").select("conv_id", "turn", F.array_distinct(session.content_words(F.col("text"), _LEAVE_OUT)).alias("w"))
-    after = w.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
-    return w.join(after, ["conv_id", "turn"]).filter(F.size("w") + F.size("v") > 0).select("conv_id", "turn", (F.col("turn") + 1).alias("other"), (fusion.jaccard_of(F.col("w"), F.col("v")) >= 0.5).alias("same"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    both = t.join(after, ["conv_id", "turn"])
+    return both.select("conv_id", "turn", (F.col("turn") + 1).alias("other"), F.round(dialogue.statement_similarity(F.col("text"), F.col("next")), 6).alias("similarity"))
 
 
 # --- events ---------------------------------------------------------------------------------------------------------
@@ -662,40 +687,46 @@ def keyword_queries(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.keyword_query(F.col("text")).alias("keywords"))
 
 
-@query("SELECT doc_id, sha256(replace(text, chr(10), chr(10) || chr(10))) AS content_hash, len(string_split(text, chr(10))) AS n_blocks, CASE WHEN trim(text) = '' THEN 'blank' WHEN length(text) < 40 THEN 'near_empty' END AS warning FROM documents")
+@query(f"""WITH {_BLOCKS}, k AS (SELECT doc_id, seq, text, CASE WHEN kind = 'heading' AND seq % 3 = 0 THEN 'list_item' ELSE kind END AS kind FROM blocks), p AS (SELECT *, kind = 'list_item' AND lag(kind) OVER (PARTITION BY doc_id ORDER BY seq) IS DISTINCT FROM 'list_item' AS begins FROM k)
+SELECT doc_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY seq)) AS content_hash, count(*) AS n_blocks, count(*) FILTER (kind = 'heading') AS n_heading, count(*) FILTER (kind = 'list_item') AS n_list_item, count(*) FILTER (begins) AS n_lists, sum(length(text))::BIGINT AS chars FROM p GROUP BY doc_id""")
 def document_hashes(spark, d):
-    blocks = F.split("text", "\n", -1)
-    warning = F.when(F.trim("text") == "", "blank").when(F.length("text") < 40, "near_empty")
-    return docs_of(spark, d).select("doc_id", T.content_hash(F.array_join(blocks, "\n\n")).alias("content_hash"), long(F.size(blocks)).alias("n_blocks"), warning.alias("warning"))
+    b = blocks_of(spark, d).withColumn("kind", F.when((F.col("kind") == "heading") & (F.col("seq") % 3 == 0), "list_item").otherwise(F.col("kind")))
+    return pages.document_hashes(b).select("doc_id", "content_hash", "n_blocks", "n_heading", "n_list_item", "n_lists", "chars")
+
+
+@query("SELECT doc_id, doc_id AS page, CASE WHEN trim(text, ' ') = '' THEN CASE WHEN doc_id % 2 = 0 THEN 'no_text_layer' ELSE 'blank_page' END WHEN trim(substr(text, 1, 60), ' ') = '' THEN 'empty_after_cleaning' ELSE 'near_empty_page' END AS code FROM documents WHERE trim(text, ' ') = '' OR length(substr(text, 1, 60)) < 40 OR trim(substr(text, 1, 60), ' ') = ''")
+def page_warnings(spark, d):
+    p = docs_of(spark, d).select("doc_id", F.col("doc_id").alias("page"), F.col("text").alias("raw_text"), F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0).alias("image_count"), F.substring("text", 1, 60).alias("kept"))
+    return pages.document_warnings(p)
 
 
-@query("SELECT count(*) AS n_documents, count(DISTINCT source) AS n_organizations, count(DISTINCT lang) AS n_kinds, sum(n_chars)::BIGINT AS n_chars FROM documents")
+@query("SELECT source AS value, count(*) AS documents FROM documents GROUP BY source")
 def corpus_info(spark, d):
-    return table(spark, d, "documents").agg(F.count("*").alias("n_documents"), F.count_distinct("source").alias("n_organizations"), F.count_distinct("lang").alias("n_kinds"), F.sum("n_chars").alias("n_chars"))
+    return catalog.corpus_info(table(spark, d, "documents"), "source")
 
 
 @query("""WITH s AS (SELECT o_custkey AS series_id, o_orderkey AS doc_id, string_agg(DISTINCT l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS hashes FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
 SELECT series_id, count(*) AS n_versions, count(DISTINCT hashes) > 1 AS differ FROM s GROUP BY series_id""")
 def version_eligibility(spark, d):
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat("l_returnflag", "l_linestatus").alias("h"))
-    per = table(spark, d, "orders").join(lines, "o_orderkey").groupBy("o_custkey", "o_orderkey").agg(F.array_join(F.array_sort(F.collect_set("h")), ",").alias("hashes"))
-    return per.groupBy(F.col("o_custkey").alias("series_id")).agg(F.count("*").alias("n_versions"), (F.count_distinct("hashes") > 1).alias("differ"))
+    sources = table(spark, d, "orders").join(lines, "o_orderkey").select(F.lit(0).alias("query_id"), F.col("o_custkey").alias("series_id"), F.col("o_orderkey").alias("doc_id"), F.col("h").alias("content_hash"))
+    return context.differing_series(sources).select("series_id", "n_versions", "differ")
 
 
-@query("""WITH o AS (SELECT o_custkey % 500 AS query_id, o_orderkey AS intent, CASE WHEN o_orderkey % 3 = 0 THEN 'org' || (o_custkey % 2) ELSE NULL END AS org FROM orders WHERE o_orderkey % 5 = 0),
+@query("""WITH o AS (SELECT o_custkey AS query_id, o_orderkey AS intent, CASE WHEN o_orderkey % 3 = 0 THEN 'org' || (o_orderkey % 2) ELSE NULL END AS org FROM orders),
 n AS (SELECT query_id, count(DISTINCT org) AS n, min(org) AS sole FROM o GROUP BY query_id) SELECT query_id, intent, CASE WHEN org IS NULL AND n = 1 THEN sole ELSE '' END AS carried, org IS NULL AND n > 1 AS ambiguous FROM o JOIN n USING (query_id)""")
 def organization_carry(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 5 = 0")
-    named = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.concat(F.lit("org"), (F.col("o_custkey") % 2).cast("string")))).otherwise(F.array().cast("array<string>"))
-    i = o.select((F.col("o_custkey") % 500).alias("query_id"), F.col("o_orderkey").alias("intent"), named.alias("organizations"))
+    o = table(spark, d, "orders")
+    named = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.concat(F.lit("org"), (F.col("o_orderkey") % 2).cast("string")))).otherwise(F.array().cast("array<string>"))
+    i = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("intent"), named.alias("organizations"))
     return multi.carry(i).select("query_id", "intent", F.array_join("carried", ",").alias("carried"), "ambiguous")
 
 
-@query("""WITH f AS (SELECT o_custkey % 300 AS query_id, o_orderkey AS intent, o_totalprice > 150000 AS admissible, o_orderstatus = 'F' AS covered FROM orders WHERE o_orderkey % 20 = 0),
-g AS (SELECT query_id, count(*) AS n, count(*) FILTER (admissible) AS ok, count(*) FILTER (admissible AND covered) AS covered FROM f GROUP BY query_id)
-SELECT query_id, CASE WHEN n = 1 THEN 'delegate' WHEN ok = 0 THEN 'no_supported_intent' WHEN ok = n AND covered = n THEN 'delegate' WHEN ok = n THEN 'fused' ELSE 'per_intent' END AS strategy FROM g""")
+@query("""WITH f AS (SELECT o_custkey AS query_id, o_orderkey AS intent, o_totalprice > 50000 AS admissible, o_orderstatus = 'F' AS covered, o_orderkey % 11 = 0 AS blocked, o_orderpriority <> '1-URGENT' AS same FROM orders),
+g AS (SELECT query_id, count(*) AS n, count(*) FILTER (admissible) AS ok, count(*) FILTER (admissible AND NOT covered) AS uncovered, count(*) FILTER (blocked) AS blocked, count(*) FILTER (admissible AND NOT same) AS other FROM f GROUP BY query_id)
+SELECT query_id, CASE WHEN n = 1 OR (uncovered = 0 AND blocked = 0) THEN 'delegate' WHEN ok = 0 THEN 'no_supported_intent' WHEN other = 0 THEN 'fused' ELSE 'per_intent' END AS strategy FROM g""")
 def intent_strategy(spark, d):
-    f = table(spark, d, "orders").filter("o_orderkey % 20 = 0").select((F.col("o_custkey") % 300).alias("query_id"), F.col("o_orderkey").alias("intent"), (F.col("o_totalprice") > 150000).alias("admissible"), (F.col("o_orderstatus") == "F").alias("covered"))
+    f = table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("intent"), (F.col("o_totalprice") > 50000).alias("admissible"), (F.col("o_orderstatus") == "F").alias("covered"), (F.col("o_orderkey") % 11 == 0).alias("blocked"), (F.col("o_orderpriority") != "1-URGENT").alias("same"))
     return multi.strategy(f)
 
 

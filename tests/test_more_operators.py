@@ -95,8 +95,9 @@ def test_carry_and_strategy(spark):
     i = spark.createDataFrame([(1, 0, ["A"]), (1, 1, []), (2, 0, ["A"]), (2, 1, ["B"]), (2, 2, [])], "query_id long, intent long, organizations array<string>")
     got = {(r.query_id, r.intent): (r.carried, r.ambiguous) for r in multi.carry(i).collect()}
     assert got[1, 1] == (["A"], False) and got[2, 2] == ([], True) and got[1, 0] == ([], False)
-    f = spark.createDataFrame([(1, 0, True, True), (2, 0, True, False), (2, 1, True, True), (3, 0, True, False), (3, 1, False, False), (4, 0, False, False), (4, 1, False, False)], "query_id long, intent long, admissible boolean, covered boolean")
-    assert {r.query_id: r.strategy for r in multi.strategy(f).collect()} == {1: "delegate", 2: "fused", 3: "per_intent", 4: "no_supported_intent"}
+    rows = [(1, 0, True, True, False, True), (2, 0, True, False, False, True), (2, 1, True, True, False, True), (3, 0, True, False, False, True), (3, 1, False, False, False, True), (4, 0, False, False, False, True), (4, 1, False, False, False, True), (5, 0, False, False, True, True), (5, 1, False, False, False, True), (6, 0, True, False, False, False), (6, 1, True, True, False, True)]
+    f = spark.createDataFrame(rows, "query_id long, intent long, admissible boolean, covered boolean, blocked boolean, same boolean")
+    assert {r.query_id: r.strategy for r in multi.strategy(f).collect()} == {1: "delegate", 2: "fused", 3: "fused", 4: "delegate", 5: "no_supported_intent", 6: "per_intent"}
 
 
 def test_decompose_frame(spark):
