@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Rounds in which each group is compared with one of its members, before all pairs that are left.
-STAR_ROUNDS = 3
+#: Members with which each group is compared in the rounds before all pairs that are left.
+LEADS = (1, 8, 24)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -49,10 +49,11 @@ def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     postings: tok, node, n (the node's size), pos (the token's place in the node's order), each (tok, node) once. verify:
     pairs (a, b) -> those that are linked. may_link(n, pos, other n, other pos): whether a token that stands there may be
     the first one that two linked nodes have in common. Two nodes of the same component need not be compared any more. So
-    each group is first compared with the member in which the token comes first, which differs least from the others,
-    round by round: a group of copies then is one component after as many comparisons as it has members. In each round,
-    groups of at most few rows are compared as a whole, so that they are closed. A group is open as long as its rows are
-    of different components. All pairs that may be linked and are of different components after the last round are
+    each group is first compared with the member in which the token comes first, which differs least from the others:
+    a group of copies then is one component after as many comparisons as it has members. Then it is compared with a few
+    members of different components, and with some more, which are the same ones in all groups that hold them; what is
+    not linked to one of the copies of a text is so to another. In each round, groups of at most few rows are compared as a
+    whole, so that they are closed. A group is open as long as its rows are of different components. All pairs that may be linked and are of different components after the last round are
     compared in the end; none is left out. Pairs (a, b) that were found in another way are compared before. details (node
     and more columns) and alike(suffix, suffix), a condition on them, keep pairs that are not alike from being made then.
     """
@@ -94,17 +95,24 @@ def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     if pairs is not None:
         compare(pairs, "given")
     p = postings
-    for k in range(STAR_ROUNDS):
+    for k, most in enumerate(LEADS):
         j = joined(p)
-        groups = opened(j)
-        met = scratch.table(j.join(groups, "tok"), f"{name}-open-{k}", small=True)
+        met = scratch.table(j.join(opened(j), "tok"), f"{name}-open-{k}", small=True)
         if k:
             scratch.drop(f"{name}-open-{k - 1}")
         if met.isEmpty():
             break
-        large = met.filter((F.col("rows") > few) & (F.col("node") != F.col("lead.node")))
-        may = may_link(F.col("lead.n"), F.col("lead.pos"), F.col("n"), F.col("pos"))
-        asked = large.filter((F.col("c") != F.col("lead.c")) & may).select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b"))
+        large = met.filter(F.col("rows") > few)
+        if most == 1:
+            leads = large.select("tok", "lead.*").distinct()
+        else:
+            # one member of each component, and of these the ones with the smallest hashes
+            of_each = large.groupBy("tok", "c").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "pos", "n", "node", "c")).alias("m"))
+            nth = F.row_number().over(Window.partitionBy("tok").orderBy("m"))
+            leads = of_each.withColumn("nth", nth).filter(F.col("nth") <= most).select("tok", "m.pos", "m.n", "m.node", "m.c")
+        leads = leads.select("tok", *(F.col(x).alias(f"lead_{x}") for x in ("pos", "n", "node", "c")))
+        may = may_link(F.col("lead_n"), F.col("lead_pos"), F.col("n"), F.col("pos"))
+        asked = large.join(leads, "tok").filter((F.col("c") != F.col("lead_c")) & may).select(F.least("lead_node", "node").alias("a"), F.greatest("lead_node", "node").alias("b"))
         if few:
             asked = asked.unionByName(all_pairs(met.filter(F.col("rows") <= few).select("tok", "node", "n", "pos", "c")))
         compare(asked, f"star{k}")
