@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -35,15 +36,80 @@ _WORD = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
 
 
+@dataclass(eq=False)
+class Scope:
+    """What an open element adds to those around it: block tags and attribute words that none of them has. Blocks share
+    scopes, so that a page takes memory by its length, however deep it is nested."""
+
+    above: Scope | None = None
+    tags: tuple[str, ...] = ()
+    words: tuple[str, ...] = ()
+    block: str = ""
+    main: bool = False
+
+    def line(self) -> list[Scope]:
+        """From the outermost scope to this one."""
+        out, scope = [], self
+        while scope is not None:
+            out.append(scope)
+            scope = scope.above
+        return out[::-1]
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
-    words: tuple[str, ...]
+    scope: Scope
     linked: int = 0
-    tag: str = ""
     label: int = field(default=0)
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """The different block tags around the text."""
+        return tuple(t for s in self.scope.line() for t in s.tags)
+
+    @property
+    def words(self) -> tuple[str, ...]:
+        """The different attribute words around the text."""
+        return tuple(w for s in self.scope.line() for w in s.words)
+
+
+class _Open:
+    """The elements that are open, and how often each tag and word is among them."""
+
+    def __init__(self):
+        self.frames: list[tuple[str, tuple[str, ...], Scope]] = []
+        self.tags: Counter[str] = Counter()
+        self.words: Counter[str] = Counter()
+        self.root = Scope()
+
+    @property
+    def scope(self) -> Scope:
+        return self.frames[-1][2] if self.frames else self.root
+
+    def push(self, tag: str, words: tuple[str, ...]) -> None:
+        above, block = self.scope, tag in BLOCKS
+        new_tags = (tag,) if block and not self.tags[tag] else ()
+        new_words = tuple(w for w in dict.fromkeys(words) if not self.words[w])
+        same = not new_tags and not new_words and (not block or above.block == tag)
+        self.frames.append((tag, words, above if same else Scope(above, new_tags, new_words, tag if block else above.block, above.main or tag in ("article", "main"))))
+        self.tags[tag] += 1
+        self.words.update(words)
+
+    def pop(self) -> str:
+        tag, words, _ = self.frames.pop()
+        self.tags[tag] -= 1
+        self.words.subtract(words)
+        return tag
+
+    def remove(self, place: int) -> None:
+        """Takes out an element from between the others."""
+        above = [(t, w) for t, w, _ in self.frames[place + 1 :]]
+        for _ in range(len(above) + 1):
+            self.pop()
+        for tag, words in above:
+            self.push(tag, words)
+
 
 @lru_cache(maxsize=4096)
 def _attribute_words(attributes: str) -> tuple[str, ...]:
@@ -60,7 +126,7 @@ def _attribute_words(attributes: str) -> tuple[str, ...]:
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page, in order. Character references are decoded; white space becomes one space each."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Open()
     pending: list[str] = []
     linked, dropped, links = 0, 0, 0
     at, n = 0, len(page)
@@ -70,16 +136,14 @@ def blocks_of(page: str) -> list[Block]:
         if pending:
             text = _SPACES.sub(" ", html.unescape("".join(pending))).strip()
             if text:
-                words = tuple(dict.fromkeys(w for _, ws in stack for w in ws))
-                block = next((t for t, _ in reversed(stack) if t in BLOCKS), "")
-                out.append(Block(text, tuple(t for t, _ in stack if t in BLOCKS), words, linked, block))
+                out.append(Block(text, stack.scope, linked))
             pending.clear()
         linked = 0
 
     def close(upto: int):
         nonlocal dropped, links
-        while len(stack) > upto:
-            tag, _ = stack.pop()
+        while len(stack.frames) > upto:
+            tag = stack.pop()
             dropped -= tag in DROPPED
             links -= tag == "a"
 
@@ -104,16 +168,16 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if place is None:
+            if not stack.tags[tag]:
                 if tag in ("p", "br"):
                     flush()
                 continue
-            if tag not in BLOCKS and any(t in BLOCKS for t, _ in stack[place:]):
+            place = next(i for i in range(len(stack.frames) - 1, -1, -1) if stack.frames[i][0] == tag)
+            if tag not in BLOCKS and any(t in BLOCKS for t, *_ in stack.frames[place:]):
                 # an inline element that was left open around blocks ends by itself
                 links -= tag == "a"
                 dropped -= tag in DROPPED
-                del stack[place]
+                stack.remove(place)
                 continue
             if tag in BLOCKS:
                 flush()
@@ -121,15 +185,15 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in BLOCKS:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if tag in CLOSED_BY.get(stack[i][0], ()):
+            for i in range(len(stack.frames) - 1, -1, -1):
+                if tag in CLOSED_BY.get(stack.frames[i][0], ()):
                     close(i)
                     break
-                if stack[i][0] in SCOPE:
+                if stack.frames[i][0] in SCOPE:
                     break
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
-        stack.append((tag, _attribute_words(m[3])))
+        stack.push(tag, _attribute_words(m[3]))
         dropped += tag in DROPPED
         links += tag == "a"
         if tag in RAW:
@@ -139,22 +203,29 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def features_of(blocks: list[Block]) -> list[list[str]]:
-    """Names of the binary features of each block."""
+def own_features(blocks: list[Block]) -> list[list[str]]:
+    """Names of the binary features that each block has of its own text, place and nearest elements."""
     out = []
     n = len(blocks)
     for i, b in enumerate(blocks):
         length, link = len(b.text), b.linked / max(1, len(b.text))
         words = b.text.count(" ") + 1
-        f = ["bias", f"tag={b.tag}", f"words={min(8, words.bit_length())}", f"links={0 if link < 0.05 else 1 if link < 0.5 else 2}", f"end={b.text[-1] if b.text[-1] in '.!?:;,' else 'x'}", f"first={i == 0}", f"last={i == n - 1}"]
-        f += [f"in={t}" for t in set(b.path)]
-        f += [f"word={w}" for w in b.words]
-        f += ["main=no"] * (not {"article", "main"} & set(b.path))
+        f = ["bias", f"tag={b.scope.block}", f"words={min(8, words.bit_length())}", f"links={0 if link < 0.05 else 1 if link < 0.5 else 2}", f"end={b.text[-1] if b.text[-1] in '.!?:;,' else 'x'}", f"first={i == 0}", f"last={i == n - 1}"]
+        f += ["main=no"] * (not b.scope.main)
         f += ["sign"] * any(c in b.text for c in "©®→»|·") + ["long"] * (length > 200) + ["short"] * (length < 25)
         out.append(f)
     return out
 
 
+def scope_features(scope: Scope) -> list[str]:
+    return [f"in={t}" for t in scope.tags] + [f"word={w}" for w in scope.words]
+
+
+def features_of(blocks: list[Block]) -> list[list[str]]:
+    """Names of all binary features of each block, those of the elements around it included."""
+    return [own + [f for s in b.scope.line() for f in scope_features(s)] for own, b in zip(own_features(blocks), blocks)]
+
+
 class Field:
     """A linear chain of two labels (1: main text): weights of features for label 1, and of transitions."""
 
@@ -165,11 +236,31 @@ class Field:
         names, weights = self.names, self.weights
         return np.array([sum(weights[names[x]] for x in f if x in names) for f in features])
 
+    def block_scores(self, blocks: list[Block]) -> np.ndarray:
+        """The scores of blocks: what elements around them add is made once for each scope."""
+        held: dict[int, float] = {}
+
+        def of(scope: Scope | None) -> float:
+            todo = []
+            while scope is not None and id(scope) not in held:
+                todo.append(scope)
+                scope = scope.above
+            total = held[id(scope)] if scope is not None else 0.0
+            for s in reversed(todo):
+                total += sum(self.weights[self.names[x]] for x in scope_features(s) if x in self.names)
+                held[id(s)] = total
+            return total
+
+        return self.scores(own_features(blocks)) + np.array([of(b.scope) for b in blocks])
+
     def viterbi(self, features: list[list[str]]) -> list[int]:
         """The labels that are likeliest together; 0 before 1 where two paths are as likely."""
-        if not features:
+        return self.decode(self.scores(features))
+
+    def decode(self, scores: np.ndarray) -> list[int]:
+        if not len(scores):
             return []
-        s, t = self.scores(features).tolist(), self.transitions.tolist()
+        s, t = scores.tolist(), self.transitions.tolist()
         best, back = [0.0, s[0]], []
         for x in s[1:]:
             came, now = [], []
@@ -231,7 +322,7 @@ class Field:
 
 def main_text(page: str, model: Field) -> str:
     blocks = blocks_of(page)
-    return "\n".join(b.text for b, label in zip(blocks, model.viterbi(features_of(blocks))) if label)
+    return "\n".join(b.text for b, label in zip(blocks, model.decode(model.block_scores(blocks))) if label)
 
 
 # --- labelled pages -------------------------------------------------------------------------------------------------
@@ -244,6 +335,7 @@ class PageWriter:
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.nesting = random.Random(seed + 1)
 
     def words(self, a: int, b: int) -> str:
         return " ".join("".join(self.r.choices(_SYLLABLES, k=self.r.randint(1, 4))) for _ in range(self.r.randint(a, b)))
@@ -336,6 +428,9 @@ class PageWriter:
         opened, closed = (f"<{shell}>", f"</{shell}>") if shell in ("article", "main") else (shell, "</div>" if shell else "")
         parts.append((opened, 0))
         body = self.article() if before or after or r.random() < 0.5 else f"<p>{self.prose()}</p>"
+        if self.nesting.random() < 0.08:  # paragraphs whose elements are never closed
+            body = body.replace("</p>", "").replace("<p>", self.nesting.choice(["<div>", "<div class=\"p\">", "<section>"]) * self.nesting.choice([1, 1, 4]))
+            body = "".join(f"<div>{self.words(1, 4)}" for _ in range(self.nesting.choice([0, 0, 30]))) + body
         if r.random() < 0.25:  # noise inside the article
             halves = body.split("<p>", 2)
             parts.append((halves[0], 1))
