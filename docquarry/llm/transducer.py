@@ -182,34 +182,48 @@ class Transducer:
         padded[:n] = symbols
         by_place = np.ascontiguousarray(padded.reshape(chunks, CHUNK).T)
         out = np.zeros((CHUNK, chunks), np.int8)
-        state = np.zeros(chunks, np.int32)
+        path = np.zeros((CHUNK + 1, chunks), np.int32)
         for t in range(CHUNK):
-            state, out[t] = self.step(state, by_place[t])
-        ends = by_place >= END
-        constant = ends.any(0)
-        head = np.where(constant, ends.argmax(0) + 1, CHUNK)
-        self._heads(by_place, out, state, constant, head)
+            path[t + 1], out[t] = self.step(path[t], by_place[t])
+        self._compose(by_place, out, path)
         return out.T.reshape(-1)[:n]
 
-    def _heads(self, by_place: np.ndarray, out: np.ndarray, after: np.ndarray, constant: np.ndarray, head: np.ndarray) -> None:
-        """The prefix scan over the chunks' maps, and the second reading of heads that did not begin at a word's begin."""
-        chunks = len(constant)
-        last = np.maximum.accumulate(np.where(constant, np.arange(chunks), -1))  # the last constant map up to each chunk
-        before = np.concatenate([[-1], last[:-1]])
-        # chunks whose map before is constant can be read at once; those behind whole-word chunks wait for these
-        distance = np.arange(chunks) - before
-        entry = np.zeros(chunks, np.int32)
-        for d in range(1, int(distance.max(initial=0)) + 1):
-            now = np.flatnonzero(distance == d)
-            entry[now] = np.where(now > 0, after[now - 1], 0)
-            again = now[entry[now] != 0]
-            state, t = entry[again], 0
-            while len(again):
+    def _compose(self, by_place: np.ndarray, out: np.ndarray, path: np.ndarray) -> None:
+        """The prefix scan over the chunks' maps, each of which was read from state 0.
+
+        Composing two neighbouring maps asks the second one for the state that the first one ends in. All neighbours are
+        composed at once. A chunk that is asked for another state is read again up to the place at which the paths from
+        both states meet, as they do soon: from there on its map is the same, so that its own end and all that was
+        composed after it stand. Only where paths do not meet within a chunk, its neighbour is composed again; what such a
+        map gives for a state is kept, as chunks of a text that repeats itself are alike. It ends when no end changes.
+        """
+        entry = np.zeros(path.shape[1], np.int32)
+        known: dict[tuple[bytes, int], tuple[np.ndarray, np.ndarray]] = {}
+        while True:
+            wanted = np.concatenate([[0], path[-1, :-1]]).astype(np.int32)
+            again = np.flatnonzero(wanted != entry)
+            if not len(again):
+                return
+            entry[again] = wanted[again]
+            if known:
+                fresh = []
+                for c in again.tolist():
+                    if (made := known.get((by_place[:, c].tobytes(), int(entry[c])))) is None:
+                        fresh.append(c)
+                    else:
+                        out[:, c], path[:, c] = made
+                again = np.array(fresh, np.int64)
+            state = entry[again]
+            path[0, again] = state
+            for t in range(CHUNK):
+                if not len(again):
+                    break
                 state, out[t, again] = self.step(state, by_place[t, again])
-                t += 1
-                done = head[again] == t
-                after[again[done & ~constant[again]]] = state[done & ~constant[again]]
-                again, state = again[~done], state[~done]
+                apart = path[t + 1, again] != state
+                path[t + 1, again] = state
+                again, state = again[apart], state[apart]
+            for c in again.tolist():
+                known[by_place[:, c].tobytes(), int(entry[c])] = out[:, c].copy(), path[:, c].copy()
 
 
 def normalized(text: str) -> str:
@@ -276,7 +290,7 @@ def count_tokens(texts: list[str], uri: str) -> np.ndarray:
     transducer, special = compiled_tokenizer(uri)
     parts, owner, extra = [], [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
-        found = special.split(text) if special is not None and "<|" in text else [text]
+        found = special.split(text) if special is not None and special.search(text) else [text]
         extra[i] = len(found) - 1
         parts += map(normalized, found)
         owner += [i] * len(found)
