@@ -32,6 +32,8 @@ MOST_COMMON = 400
 COUNTED = 200_000
 LEAST_CHARS_COMPARED, LEAST_WORDS_COMPARED = 200, 50
 CHAR_LIMIT, WORD_LIMIT = 0.30, 0.47
+#: Texts that a language must have to be a reference.
+LEAST_REFERENCE = 30
 _U = np.uint64
 
 
@@ -96,6 +98,13 @@ def base_counts(s: Spans) -> dict[str, np.ndarray]:
     }
 
 
+def base_failed(s: Spans, repeated: np.ndarray | None = None) -> np.ndarray:
+    """Whether texts have too few words, or too many that are in repeated windows."""
+    if repeated is None:
+        repeated = _repeated_words(span_hashes(s.data, s.starts, s.ends), s.counts) if len(s.counts) else s.counts
+    return (s.counts < LEAST_WORDS) | (100 * repeated > MOST_REPEATED * s.counts)
+
+
 def _repeated_lines(s: Spans) -> np.ndarray:
     n = len(s.counts)
     cut = s.data == 10
@@ -154,29 +163,38 @@ def _shares(counts: np.ndarray) -> np.ndarray:
     return counts / np.maximum(counts.sum(1, keepdims=True), 1)
 
 
-def distances(p: np.ndarray, references: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance of each row to its nearest reference; 0 if there is none."""
+def distances(p: np.ndarray, references: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """Jensen-Shannon distance of each row to its own reference (its place, or -1 if it has none), or to the nearest one; 0
+    if there are no references."""
     def divergence(a, m):
         return np.where(a > 0, a * np.log2(np.where(a > 0, a, 1) / np.where(m > 0, m, 1)), 0).sum(-1)
 
     if not len(references):
         return np.zeros(len(p))
+    own = np.full(len(p), -1) if own is None else own
     nearest = np.full(len(p), np.inf)
-    for r in references:
-        m = (p + r) / 2
-        nearest = np.minimum(nearest, divergence(p, m) / 2 + divergence(r[None, :], m) / 2)
+    for k, r in enumerate(references):
+        rows = np.flatnonzero((own == k) | (own < 0))
+        m = (p[rows] + r) / 2
+        nearest[rows] = np.minimum(nearest[rows], divergence(p[rows], m) / 2 + divergence(r[None, :], m) / 2)
     return np.sqrt(np.clip(nearest, 0, 1))
 
 
 @dataclass
 class References:
+    """Common words, and of each language that has a reference its histograms; langs names their rows."""
+
     common: np.ndarray
     chars: np.ndarray
     words: np.ndarray
+    char_langs: list[str]
+    word_langs: list[str]
 
 
 def learn(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> References:
-    """References of each language, over all its texts; a null language is one of its own.
+    """References of each language: means over all its texts that are long enough and pass the base rules; a null language
+    is one of its own. A language of fewer than LEAST_REFERENCE such texts has none, as a few texts would be their own.
+    Null and empty texts add nothing; repeated rows count as often as they are there.
 
     Two passes. Each task counts some words of a language, hands on those that are half of COMMON_SHARE of them, and
     begins anew. What it does not hand on of a word is less than half the share of all words; so each common word's
@@ -223,7 +241,8 @@ def learn(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 for lang, at in by_language(rows):
                     s = Spans.of(rows.column("text").take(pa.array(at)))
                     words, chars = word_histograms(s, candidates), char_histograms(s)
-                    long_words, long_chars = s.counts >= LEAST_WORDS_COMPARED, chars.sum(1) >= LEAST_CHARS_COMPARED
+                    good = ~base_failed(s)
+                    long_words, long_chars = good & (s.counts >= LEAST_WORDS_COMPARED), good & (chars.sum(1) >= LEAST_CHARS_COMPARED)
                     made = [words.sum(0).astype(float), _shares(words[long_words]).sum(0), np.array([long_words.sum()], float), _shares(chars[long_chars]).sum(0), np.array([long_chars.sum()], float)]
                     held[lang] = [a + b for a, b in zip(held[lang], made)] if lang in held else made
         for lang, made in held.items():
@@ -232,26 +251,32 @@ def learn(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
     width = len(candidates) + 1
     # the languages' rows of each task are summed by element: one array of a fixed width for each language comes back
     total = own.mapInArrow(sums, "lang string, sums array<double>").select("lang", F.posexplode("sums").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("xs"))
-    languages = [np.array([x.x for x in r.xs]) for r in total.orderBy("lang").collect()]
+    # a row for each language with enough texts; the others add no reference and do not come back
+    enough = F.greatest(F.element_at("xs", -1)["x"], F.element_at("xs", 2 * width + 1)["x"]) >= LEAST_REFERENCE
+    rows = total.filter(enough).orderBy("lang").collect()
+    languages = [np.array([x.x for x in r.xs]) for r in rows]
     common = np.zeros(width - 1, bool)
     for x in languages:
         share = x[: width - 1] / max(1.0, x[:width].sum())
         top = np.argsort(-share, kind="stable")[:MOST_COMMON]
         common[top[share[top] >= COMMON_SHARE]] = True
-    chars, words = [], []
-    for x in languages:
+    chars, words, char_langs, word_langs = [], [], [], []
+    for lang, x in zip((r.lang for r in rows), languages):
         w, n, c, m = x[width : 2 * width], x[2 * width], x[2 * width + 1 : 2 * width + 1 + CLASSES], x[-1]
-        if n:
+        if n >= LEAST_REFERENCE:
+            word_langs.append(lang)
             words.append(np.append(w[:-1][common], w[:-1][~common].sum() + w[-1]) / n)
-        if m:
+        if m >= LEAST_REFERENCE:
+            char_langs.append(lang)
             chars.append(c / m)
-    return References(candidates[common], np.array(chars), np.array(words))
+    return References(candidates[common], np.array(chars), np.array(words), char_langs, word_langs)
 
 
-def judge(documents: DataFrame, references: References, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def judge(documents: DataFrame, references: References, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance.
 
-    A null text has no words and fails. Distances are null where the text is too short for them. Rows are kept as they
+    A text is compared with its own language; with the nearest of all references if that has none, or if there is no such
+    column. A null text has no words and fails. Distances are null where the text is too short for them. Rows are kept as they
     are, repeated ones included. No shuffle; references are of a bounded size.
     """
     sent = documents.sparkSession.sparkContext.broadcast(references)
@@ -263,12 +288,15 @@ def judge(documents: DataFrame, references: References, id_column: str = "doc_id
             for rows in row_slices(batch, "text"):
                 s = Spans.of(rows.column("text"))
                 base, chars = base_counts(s), char_histograms(s)
-                by_char, by_word = distances(_shares(chars), r.chars), distances(_shares(word_histograms(s, r.common)), r.words)
+                langs = rows.column("lang").to_pylist()
+                own_chars, own_words = (np.array([at.get(x, -1) for x in langs], np.int64) for at in ({x: k for k, x in enumerate(names)} for names in (r.char_langs, r.word_langs)))
+                by_char, by_word = distances(_shares(chars), r.chars, own_chars), distances(_shares(word_histograms(s, r.common)), r.words, own_words)
                 compared_chars, compared_words = chars.sum(1) >= LEAST_CHARS_COMPARED, s.counts >= LEAST_WORDS_COMPARED
-                failed = (s.counts < LEAST_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED * s.counts)
+                failed = base_failed(s, base["n_repeat_words"])
                 kept = ~failed & ~(compared_chars & (by_char > CHAR_LIMIT)) & ~(compared_words & (by_word > WORD_LIMIT))
                 columns = [rows.column("doc_id"), *(pa.array(base[k].astype(np.int64), t) for k, t in kinds.items()), pa.array(failed), pa.array(kept), pa.array(by_char, mask=~compared_chars), pa.array(by_word, mask=~compared_words)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *kinds, "base_failed", "kept", "char_distance", "word_distance"])
 
     schema = "doc_id long, " + ", ".join(f"{k} long" for k in kinds) + ", base_failed boolean, kept boolean, char_distance double, word_distance double"
-    return documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, schema)
+    lang = F.coalesce(F.col(lang_column).cast("string"), F.lit("")) if lang_column in documents.columns else F.lit(None).cast("string")
+    return documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), lang.alias("lang")).mapInArrow(run, schema)
