@@ -13,8 +13,9 @@ Files of the model, in the shared folder. Each task writes one range of hash val
 after the other, are one sorted array:
 
     words-<range>    sorted hashes of tokens (uint64), counts (uint64)
-    pairs-<range>    sorted hashes of bigrams (uint64), counts (uint32)
-    stats-<range>    of each token of the range of that number: c(u), N1, N2, N3 as a history, n(w) (uint32 or uint64 each)
+    pairs-<range>    sorted hashes of bigrams (uint64), counts (uint8; 255: it is among the large ones)
+    large-<range>    of the bigrams of a count of 255 or more: their places in the range (uint64), then their counts (uint64)
+    stats-<range>    of each token of the range of that number: c(u), N1, N2, N3 as a history, n(w) (uint64 each)
 
 A token's number is its place in the sorted array; the hash of a bigram mixes the two numbers and can be turned back.
 """
@@ -36,6 +37,8 @@ _U = np.uint64
 END_TOKEN = np.uint64(0x5BD1E995C0FFEE01)
 #: Entries that a task holds before it sorts them, sums equal ones and hands them on.
 HELD = 1 << 21
+#: Ranges of hashes for each shuffle partition.
+RANGES = 2
 _BLOBS = "part int, hashes binary, counts binary"
 
 
@@ -149,6 +152,15 @@ def _mapped(uri: str, kind: str, at: int, n: int) -> np.ndarray:
         return np.frombuffer(f.read_at(n * np.dtype(kind).itemsize, at), np.dtype(kind))
 
 
+@lru_cache(maxsize=512)
+def _large(uri: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places and counts of the bigrams of large counts."""
+    fs, path = file_system(uri)
+    with fs.open_input_file(path) as f:
+        data = np.frombuffer(f.read(), "<u8").astype(np.int64)
+    return data[: len(data) // 2], data[len(data) // 2 :]
+
+
 class Sorted:
     """The sorted array that files of ranges make: finds hashes, and gives what stands beside them."""
 
@@ -159,9 +171,17 @@ class Sorted:
     def hashes(self, part: int) -> np.ndarray:
         return _mapped(f"{self.folder}/{self.kind}-{part:06d}", "<u8", 0, self.sizes[part])
 
-    def counts(self, part: int) -> np.ndarray:
-        n = self.sizes[part]
-        return _mapped(f"{self.folder}/{self.kind}-{part:06d}", "<u8" if self.kind == "words" else "<u4", 8 * n, n)
+    def counts(self, part: int, at: np.ndarray) -> np.ndarray:
+        """The counts that stand at places of a range."""
+        n, name = self.sizes[part], f"{self.folder}/{self.kind}-{part:06d}"
+        if self.kind == "words":
+            return _mapped(name, "<u8", 8 * n, n)[at].astype(np.int64)
+        out = _mapped(name, "u1", 8 * n, n)[at].astype(np.int64)
+        large = np.flatnonzero(out == 255)
+        if len(large):
+            places, counts = _large(f"{self.folder}/large-{part:06d}")
+            out[large] = counts[np.searchsorted(places, at[large])]
+        return out
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of each sorted hash or -1, its count or 0)."""
@@ -174,7 +194,7 @@ class Sorted:
             at = np.minimum(np.searchsorted(held, wanted[a:b]), len(held) - 1)
             good = held[at] == wanted[a:b]
             number[a:b][good] = at[good] + self.base[p]
-            counts[a:b][good] = self.counts(p)[at[good]]
+            counts[a:b][good] = self.counts(p, at[good])
         return number, counts
 
     def stats(self, numbers: np.ndarray) -> np.ndarray:
@@ -241,12 +261,16 @@ def pair_hashes(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return mix((before.astype(np.uint64) << _U(32)) | after.astype(np.uint64))
 
 
-def _write_part(folder: str, kind: str, table: pa.Table, count_type: str) -> tuple[int, np.ndarray, np.ndarray]:
+def _write_part(folder: str, kind: str, table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
     part = table.column("part")[0].as_py()
     hashes, counts = _merged(table)
     with written(f"{folder}/{kind}-{part:06d}") as out:
         out.write(hashes.astype("<u8").tobytes())
-        out.write(counts.astype(count_type).tobytes())
+        out.write(counts.astype("<u8").tobytes() if kind == "words" else np.minimum(counts, 255).astype(np.uint8).tobytes())
+    if kind == "pairs":
+        places = np.flatnonzero(counts >= 255)
+        with written(f"{folder}/large-{part:06d}") as out:
+            out.write(np.concatenate([places, counts[places]]).astype("<u8").tobytes())
     return part, hashes, counts
 
 
@@ -257,7 +281,8 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
     task, and ranges of hash values are even. Only sizes and sums of ranges come to the driver.
     """
     spark = texts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a range is one task's: there are more of them than shuffle partitions, so that each is small
+    parts = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = scratch.root
     texts = texts.select("text")
 
@@ -269,7 +294,7 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
         yield from counter.blobs()
 
     def write_words(table: pa.Table) -> pa.Table:
-        part, hashes, counts = _write_part(folder, "words", table, "<u8")
+        part, hashes, counts = _write_part(folder, "words", table)
         return pa.table({"part": pa.array([part], pa.int32()), "n": pa.array([len(hashes)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
 
     made = texts.mapInArrow(count_words, _BLOBS).groupBy("part").applyInArrow(write_words, "part int, n long, total long").collect()
@@ -294,7 +319,7 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
         yield from counter.blobs()
 
     def write_pairs(table: pa.Table) -> pa.Table:
-        part, hashes, counts = _write_part(folder, "pairs", table, "<u4")
+        part, hashes, counts = _write_part(folder, "pairs", table)
         keys = _unmix(hashes)
         before, after = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64)
         seen = np.bincount(np.minimum(counts, 5), minlength=6)
@@ -309,7 +334,7 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
         for p in range(parts):
             a, b, x, y = cut_u[p], cut_u[p + 1], cut_w[p], cut_w[p + 1]
             if a < b or x < y:
-                rows.append((p, part, int(b - a), 0, 0, 0, 0, (u[a:b] - base[p]).astype("<u4").tobytes() + sums[a:b].astype("<u4").tobytes(), (w[x:y] - base[p]).astype("<u4").tobytes() + preceding[x:y].astype("<u4").tobytes()))
+                rows.append((p, part, int(b - a), 0, 0, 0, 0, (u[a:b] - base[p]).astype("<u4").tobytes() + sums[a:b].astype("<u8").tobytes(), (w[x:y] - base[p]).astype("<u4").tobytes() + preceding[x:y].astype("<u8").tobytes()))
         names = ["part", "source", "n", "n1", "n2", "n3", "n4", "histories", "preceded"]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.binary()))], names=names)
 
@@ -324,10 +349,11 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
         part = table.column("part")[0].as_py()
         out = np.zeros((sizes[part], 5), np.int64)
         for n, histories, preceded in zip(table.column("n").to_pylist(), table.column("histories"), table.column("preceded")):
-            data = np.frombuffer(histories.as_py(), "<u4")
-            out[data[:n], :4] += data[n:].reshape(n, 4)
-            data = np.frombuffer(preceded.as_py(), "<u4")
-            out[data[: len(data) // 2], 4] += data[len(data) // 2 :]
+            data = histories.as_py()
+            out[np.frombuffer(data, "<u4", n), :4] += np.frombuffer(data, "<u8", offset=4 * n).astype(np.int64).reshape(n, 4)
+            data = preceded.as_py()
+            m = len(data) // 12
+            out[np.frombuffer(data, "<u4", m), 4] += np.frombuffer(data, "<u8", offset=4 * m).astype(np.int64)
         with written(f"{folder}/stats-{part:06d}") as f:
             f.write(out.astype("<i8").tobytes())
         preceding = np.bincount(np.minimum(out[:, 4], 5), minlength=6)
