@@ -198,19 +198,24 @@ def link_documents(documents: DataFrame, n: int, percent: int, scratch: Scratch,
 
 
 def one_of_each(documents: DataFrame, n: int, percent: int, scratch: Scratch, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of documents, with all their columns, of which one stays for each component: the first by id.
+    """The rows of documents, with all their columns, of which one stays for each component: the first by id, ties by a hash
+    of the text.
 
-    A row without id goes by a hash of its text. Rows with the same id are one document, of which one row stays.
+    A row without id comes last. Rows of the same id and text are one document, of which one row stays; rows of the same id
+    and different texts are different documents. A null text, an empty one and one without words have no near copies:
+    they all stay but for rows that are repeated.
     """
     # a row is one value, so that its columns may have any names
     whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("whole")
-    text = F.col(text_column).cast("string")
-    keyed = documents.select(whole, F.coalesce(F.col(id_column).cast("long"), F.xxhash64(text)).alias("key"), text.alias("text"))
-    linked = link_documents(keyed, n, percent, scratch, "key", "text")
-    first = linked.filter("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
-    kept = keyed.join(first, "key", "left_semi")
+    text, own = F.col(text_column).cast("string"), F.col(id_column).cast("long")
+    keyed = documents.select(whole, F.xxhash64(own, text, F.lit(n)).alias("key"), own.isNull().alias("last"), own.alias("id"), text.alias("text"))
+    linked = link_documents(keyed.select("key", "text"), n, percent, scratch, "key", "text").select(F.col("doc_id").alias("key"), "component_id").distinct()
+    places = keyed.select("key", F.struct("last", "id", "key").alias("place")).distinct()
+    first = linked.join(places, "key").groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first.key").alias("key"))
+    kept = keyed.join(first, "key", "left_semi").select("key", "whole")
     if not keyed.groupBy("key").count().filter("count > 1").isEmpty():
-        order = Window.partitionBy("key").orderBy(F.xxhash64("text"))
+        # rows of one id and text differ in other columns at most
+        order = Window.partitionBy("key").orderBy(F.xxhash64("whole"))
         kept = kept.withColumn("nth", F.row_number().over(order)).filter("nth = 1")
     return kept.select(*(F.col("whole").getField(c).alias(c) for c in documents.columns))
 
