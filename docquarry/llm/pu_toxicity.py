@@ -72,8 +72,8 @@ _PUNCTUATION[[ord(c) for c in ".,;:!?\"'()[]{}*#%&$|<>-_~"]] = True
 
 
 def least_texts(n: int) -> float:
-    """Of n toxic texts, those that must have a feature."""
-    return max(LEAST_TEXTS, LEAST_SHARE * n)
+    """Of n toxic texts, those that must have a feature: fewer where there are but a few toxic texts."""
+    return max(min(LEAST_TEXTS, max(2, -(-n // 2))), LEAST_SHARE * n)
 
 
 def _sigmoid(x):
@@ -142,7 +142,10 @@ def train(documents: DataFrame, labels: DataFrame, may_learn, most_positive: int
     """Fits the classifier on rows for which may_learn (a function of the id column) holds.
 
     The sample is the rows with the smallest hashes of their ids, toxic ones and any others apart; a null id or label is
-    not learned from, and an id with both labels counts as toxic. Without toxic rows every text gets the prior.
+    not learned from, and an id with both labels counts as toxic. Without toxic rows every text gets the prior. Repeated
+    rows of a sampled id are taken by a hash of id and text, as far as the sample goes, so that a fit can be repeated. A
+    null or empty text has no features; of a very long one the different features are held, those of the other texts only
+    as far as toxic texts have them.
     """
     ids = labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(toxic_column).cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & may_learn(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(17))
@@ -166,9 +169,12 @@ def train(documents: DataFrame, labels: DataFrame, may_learn, most_positive: int
                         parts = [x[np.isin(x, wanted, assume_unique=True)] for x in parts]
                     yield pa.RecordBatch.from_arrays([pa.array([x.astype("<u8").tobytes() for x in parts], pa.binary())], names=["words"])
 
-        # there may be more rows than ids
         release_memory()
-        rows = own.join(F.broadcast(sample), "doc_id", "left_semi").select("text").mapInArrow(words, "words binary").limit(most).collect()
+        # there may be more rows than ids: the ones with the smallest hashes, each once, so that the same texts are taken each time
+        hashed = own.withColumn("h", F.xxhash64("doc_id", "text", F.lit(17)))
+        keys = hashed.join(F.broadcast(sample), "doc_id", "left_semi").select("doc_id", "h").distinct().orderBy("h", "doc_id").limit(most)
+        chosen = hashed.join(F.broadcast(keys), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+        rows = chosen.select("text").mapInArrow(words, "words binary").collect()
         return [np.frombuffer(r.words, "<u8").astype(np.uint64) for r in rows]
 
     toxic = features(positive, most_positive, None)
