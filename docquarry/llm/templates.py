@@ -8,13 +8,17 @@ may be inserted, deleted or changed. Windows whose slots are not consistent with
 value stands for the same value in the text, and different names for different names; different numbers may become equal. A
 value that is unchanged in one place is only misspelt in another. An alignment whose windows cover enough of the item's
 words marks the text; so does a run of VERBATIM words of the item, whatever share of it they are.
+
+A capitalised word that opens a sentence may be a name or not. So texts are looked at twice: with these words as literals,
+and with them as <name>, for items that have such words. An item of fewer than LEAST_WORDS words is found where it is a
+whole line of a text.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +34,9 @@ LEAST_LITERAL = 4
 COVERED = 0.5
 #: Words of an item, one after the other, that mark a text by themselves.
 VERBATIM = 13
-#: An item of fewer template tokens than this is one window by itself; of fewer than this many words, it is not looked for.
+#: An item of fewer words is found as a whole line only; one of fewer words than a window is one window by itself.
 LEAST_WORDS = 5
-#: Benchmark text up to this size is held by each task; larger benchmarks are joined by their windows' hashes.
+#: Benchmark text up to this size is held by each task; a larger benchmark is joined with texts by their windows' hashes.
 SENT_BYTES = 16 << 20
 
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years mph kph hz khz mhz ghz w kw mw v kv a ma pa kpa psi bar j kj cal kcal k c f % percent meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres mile miles foot feet inch inches yard yards dollar dollars euro euros cent cents usd eur gbp $ € £ °c °f".split())
@@ -45,12 +49,19 @@ _U = np.uint64
 
 @dataclass
 class Templates:
-    """Template tokens of texts: hashes, whether they are placeholders, hashes of their slots, and how many each text has."""
+    """Template tokens of texts: hashes, hashes of their slots, whether they are placeholders, and how many each text has;
+    whether they are capitalised words that open a sentence, and whether they begin a line (or text)."""
 
     tokens: np.ndarray
     slots: np.ndarray
     is_slot: np.ndarray
     counts: np.ndarray
+    opener: np.ndarray
+    begins: np.ndarray
+
+    def with_names(self) -> Templates:
+        """With the words that open sentences as names."""
+        return replace(self, tokens=np.where(self.opener, _NAME, self.tokens), is_slot=self.is_slot | self.opener)
 
 
 _TRIM = np.zeros(256, bool)
@@ -67,13 +78,16 @@ def canonical(column: pa.Array) -> Templates:
     starts, ends, counts = find_words(data, offsets)
     n = len(starts)
     if not n:
-        return Templates(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), counts)
+        none = np.zeros(0, bool)
+        return Templates(np.zeros(0, np.uint64), np.zeros(0, np.uint64), none, counts, none, none)
     first = np.zeros(n + 1, bool)
     first[offsets_of(counts)] = True
     # a sentence begins with a text, after an ending mark, or on a new line
     line = offsets_of(data == 10)
-    opens = first[:n].copy()
-    opens[1:] |= _STOP[data[ends[:-1] - 1]] | (line[starts[1:]] > line[ends[:-1]])
+    begins = first[:n].copy()
+    begins[1:] |= line[starts[1:]] > line[ends[:-1]]
+    opens = begins.copy()
+    opens[1:] |= _STOP[data[ends[:-1] - 1]]
     low, high = starts.copy(), ends.copy()
     for _ in range(4):
         high -= (high - low > 1) & _TRIM[data[high - 1]]
@@ -101,6 +115,7 @@ def canonical(column: pa.Array) -> Templates:
     names &= ~single
     tokens[names] = _NAME
     is_slot |= names
+    opener = capital & opens & ~single & ~numbers
     merged = np.zeros(n, bool)
     number_at = np.flatnonzero(numbers)
     for i in number_at.tolist():
@@ -112,7 +127,7 @@ def canonical(column: pa.Array) -> Templates:
         word = whole[low[i] : high[i]].decode().lower().strip(_EDGES)
         if word in UNITS:
             tokens[i], is_slot[i] = _UNIT, True
-    return Templates(tokens, slots, is_slot, counts)
+    return Templates(tokens, slots, is_slot, counts, opener & ~is_slot, begins)
 
 
 def windows(t: Templates, size: int, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -137,13 +152,27 @@ def windows(t: Templates, size: int, plain: bool = False) -> tuple[np.ndarray, n
 
 
 class Items:
-    """A benchmark's templates, and its windows by hash."""
+    """A benchmark's templates, and its windows by hash. named: the items with words that open sentences, as names."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], as_names: bool = False):
         self.ids = ids
         self.templates = canonical(pa.array(texts, pa.string()))
+        opened = np.add.reduceat(np.append(self.templates.opener, False), offsets_of(self.templates.counts)[:-1]) * (self.templates.counts > 0) if len(ids) else np.zeros(0)
+        self.named, self.places = None, np.flatnonzero(opened)
+        if as_names:
+            self.templates = self.templates.with_names()
+        elif len(self.places):
+            self.named = Items([ids[i] for i in self.places], [texts[i] for i in self.places], True)
         self.at = offsets_of(self.templates.counts)
         self.sizes = np.where(self.templates.counts < LEAST_WORDS, 0, np.minimum(self.templates.counts, WINDOW))
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in range(1, LEAST_WORDS) if not as_names else ():
+            place, hashes = windows(self.templates, size, True)
+            item = np.searchsorted(self.at, place, side="right") - 1
+            own = np.flatnonzero(self.templates.counts[item] == size)
+            order = own[np.argsort(hashes[own], kind="stable")]
+            if len(order):
+                self.short[size] = hashes[order], item[order]
         self.windows: dict[tuple[int, bool], tuple] = {}
         self.total = np.zeros(len(ids), np.int64)
         self.by_words = np.zeros(len(ids), np.int64)
@@ -168,7 +197,32 @@ class Items:
 
 
 def leaks(t: Templates, items: Items) -> list[tuple[int, int, int, int, bool, int]]:
-    """(text, item, windows that meet, windows of the item, whether slots differ, first token) of the alignments that count."""
+    """(text, item, windows that meet, windows of the item, whether slots differ, first token) of the alignments that count,
+    and of the short items that are lines; what is found with opening words as they are comes before what is found with
+    them as names."""
+    found = {v[:2]: v for v in [*_short_leaks(t, items), *_aligned(t, items)]}
+    if items.named is not None:
+        for text, item, *rest in _aligned(t.with_names(), items.named):
+            found.setdefault((text, int(items.places[item])), (text, int(items.places[item]), *rest))
+    return [found[k] for k in sorted(found)]
+
+
+def _short_leaks(t: Templates, items: Items) -> list[tuple[int, int, int, int, bool, int]]:
+    """The lines that are a short item, word by word."""
+    out, at, n = [], offsets_of(t.counts), len(t.tokens)
+    ends = np.append(t.begins, True)
+    for size, (known, item) in items.short.items():
+        place, hashes = windows(t, size, True)
+        line = np.flatnonzero(t.begins[place] & ends[np.minimum(place + size, n)])
+        low, high = np.searchsorted(known, hashes[line]), np.searchsorted(known, hashes[line], side="right")
+        for i, a, b in zip(line[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
+            text = int(np.searchsorted(at, place[i], side="right") - 1)
+            out += [(text, int(k), 1, 1, False, int(place[i] - at[text])) for k in item[a:b]]
+    return sorted(set(out), reverse=True)
+
+
+def _aligned(t: Templates, items: Items) -> list[tuple[int, int, int, int, bool, int]]:
+    """The alignments that count."""
     at = offsets_of(t.counts)
     met = []
     for (size, plain), (known, item, place) in items.windows.items():
@@ -286,26 +340,18 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_column: str = "doc
     """A row for each text and benchmark item that it holds: doc_id, item_id, n_windows (of the best alignment that count),
     item_windows, reparameterised (whether slots have other values), first_word (the place of the item in the text).
 
-    Null texts hold nothing; an item without words, or of fewer than five, is not looked for. Repeated rows of documents
-    give repeated rows; of items with the same id each is looked for. Other columns are not looked at. The benchmark's size
-    is looked at first: up to SENT_BYTES it is sent to the tasks, and documents are read once without a shuffle; beyond,
-    it is split, and each part is looked for in a pass of its own.
+    Null texts hold nothing; an item without words is not looked for. Repeated rows of documents give repeated rows; of items
+    with the same id each is looked for. Other columns are not looked at. The benchmark's size is looked at first: up to
+    SENT_BYTES it is sent to the tasks, and documents are read once without a shuffle; beyond, windows of both sides are
+    joined by their hashes, and each text is compared with the items that it has a window in common with.
     """
     own = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_column).cast("long").alias("item_id"), F.col(item_text_column).cast("string").alias("item_text")).filter("item_text is not null")
-    size = items.agg(F.sum(F.octet_length("item_text")).alias("n")).first().n or 0
-    parts = 1 + size // SENT_BYTES
-    out = None
-    for part in range(parts):
-        some = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_text"), F.lit(parts)) == part)
-        made = _find(own, some.collect())
-        out = made if out is None else out.unionByName(made)
-    return out
-
-
-def _find(own: DataFrame, rows: list) -> DataFrame:
-    rows = sorted(rows, key=lambda r: (r.item_id is None, r.item_id or 0, r.item_text))
-    sent = own.sparkSession.sparkContext.broadcast(Items([r.item_id for r in rows], [r.item_text for r in rows]))
+    items = _items(benchmark, item_column, item_text_column)
+    if not _is_small(items):
+        keyed = own.withColumn("key", F.xxhash64("text"))
+        found = _joined(keyed.select("key", "text").filter("text IS NOT NULL"), items)
+        return keyed.select("doc_id", "key").join(found, "key").select(*(x.split()[0] for x in SCHEMA.split(", ")))
+    sent = _sent(own.sparkSession, items)
 
     def run(batches):
         for batch in batches:
@@ -319,26 +365,81 @@ def _find(own: DataFrame, rows: list) -> DataFrame:
     return own.mapInArrow(run, SCHEMA)
 
 
+def _items(benchmark: DataFrame, item_column: str, item_text_column: str) -> DataFrame:
+    return benchmark.select(F.col(item_column).cast("long").alias("item_id"), F.col(item_text_column).cast("string").alias("item_text")).filter("item_text is not null")
+
+
+def _is_small(items: DataFrame) -> bool:
+    return (items.agg(F.sum(F.octet_length("item_text")).alias("n")).first().n or 0) <= SENT_BYTES
+
+
+def _sent(spark, items: DataFrame):
+    rows = sorted(items.collect(), key=lambda r: (r.item_id is None, r.item_id or 0, r.item_text))
+    return spark.sparkContext.broadcast(Items([r.item_id for r in rows], [r.item_text for r in rows]))
+
+
+def _window_rows(texts: DataFrame, sizes: list[int], of_items: bool) -> DataFrame:
+    """key, hash: the different windows of each text (key, text): templates, words, and templates with opening words as
+    names. Of an item, those of its own size only."""
+    def run(batches):
+        for batch in batches:
+            for rows in row_slices(batch, "text"):
+                t = canonical(rows.column("text"))
+                at, keys = offsets_of(t.counts), rows.column("key").to_numpy()
+                for size in sizes:
+                    for kind, (made, plain) in enumerate(((t, False), (t, True), (t.with_names(), False))):
+                        place, hashes = windows(made, size, plain)
+                        text = np.searchsorted(at, place, side="right") - 1
+                        if of_items:
+                            fits = np.minimum(t.counts[text], WINDOW) == size
+                            text, hashes = text[fits], hashes[fits]
+                        pairs = np.unique(np.stack([keys[text].astype(np.int64), mix(hashes + _U(7 * size + kind)).astype(np.int64)], 1), axis=0)
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["key", "hash"])
+
+    return texts.mapInArrow(run, "key long, hash long").distinct()
+
+
+def _joined(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """key and the columns of what is found, of different texts (key, text): texts and items meet by the hashes of windows;
+    each pair that has met is compared as a whole."""
+    texts, items = texts.dropDuplicates(["key"]), items.withColumn("key", F.xxhash64("item_id", "item_text"))
+    words = F.size(F.regexp_extract_all("item_text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    sizes = sorted(r.n for r in items.select(F.least(words, F.lit(WINDOW)).alias("n")).distinct().collect() if r.n)
+    known = _window_rows(items.select("key", F.col("item_text").alias("text")), sizes, True).withColumnRenamed("key", "item")
+    met = _window_rows(texts, sizes, False).join(known, "hash").select("key", "item").distinct()
+    pairs = met.join(items.withColumnRenamed("key", "item").dropDuplicates(["item"]), "item").join(texts, "key").select("key", "text", "item_id", "item_text")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, text, item_id, item_text in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "item_id", "item_text"))):
+                out += [(key, item_id, *f[2:]) for f in leaks(canonical(pa.array([text], pa.string())), Items([item_id], [item_text]))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 4 + [pa.bool_(), pa.int64()])], names=["key", *(x.split()[0] for x in SCHEMA.split(", ")[1:])])
+
+    return pairs.mapInArrow(run, SCHEMA.replace("doc_id", "key"))
+
+
 def without_leaks(documents: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
-    """The rows of documents, with all their columns, whose text holds no benchmark item."""
-    items = benchmark.select(F.col(item_column).cast("long").alias("item_id"), F.col(item_text_column).cast("string").alias("item_text")).filter("item_text is not null")
-    size = items.agg(F.sum(F.octet_length("item_text")).alias("n")).first().n or 0
-    parts = 1 + size // SENT_BYTES
+    """The rows of documents, with all their columns, whose text holds no benchmark item. A null text holds none."""
+    items = _items(benchmark, item_column, item_text_column)
+    if not _is_small(items):
+        text = F.col(text_column).cast("string")
+        found = _joined(documents.select(F.xxhash64(text).alias("key"), text.alias("text")).filter("text IS NOT NULL"), items).select("key").distinct()
+        whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("whole")
+        kept = documents.select(whole, F.xxhash64(text).alias("key")).join(found, "key", "left_anti")
+        return kept.select(*(F.col("whole").getField(c).alias(c) for c in documents.columns))
     at = documents.columns.index(text_column)
-    for part in range(parts):
-        some = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_text"), F.lit(parts)) == part)
-        rows = some.collect()
-        sent = documents.sparkSession.sparkContext.broadcast(Items([r.item_id for r in rows], [r.item_text for r in rows]))
-
-        def run(batches, sent=sent):
-            for batch in batches:
-                named = batch.rename_columns([f"c{i}" if i != at else "text" for i in range(batch.num_columns)])
-                for piece in row_slices(named, "text"):
-                    clean = np.ones(piece.num_rows, bool)
-                    clean[[f[0] for f in leaks(canonical(piece.column("text")), sent.value)]] = False
-                    kept = piece.filter(pa.array(clean))
-                    if kept.num_rows:
-                        yield kept.rename_columns(batch.schema.names)
-
-        documents = documents.mapInArrow(run, documents.schema)
-    return documents
+    sent = _sent(documents.sparkSession, items)
+
+    def run(batches):
+        for batch in batches:
+            named = batch.rename_columns([f"c{i}" if i != at else "text" for i in range(batch.num_columns)])
+            for piece in row_slices(named, "text"):
+                clean = np.ones(piece.num_rows, bool)
+                clean[[f[0] for f in leaks(canonical(piece.column("text")), sent.value)]] = False
+                kept = piece.filter(pa.array(clean))
+                if kept.num_rows:
+                    yield kept.rename_columns(batch.schema.names)
+
+    return documents.mapInArrow(run, documents.schema)
