@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import time
 import re
 import zlib
 
@@ -232,7 +233,7 @@ ITEMS = [(1, "If Anna buys 12 apples at 3 dollars and Bob buys 7 pears how much
     ("THE QUICK brown fox jumps over\nthe lazy dog near the old river bank", [(2, False)]),
     ("the quick brown fox jumps over a fence", []),
     ("here five plain words are enough for it", [(5, False)]),
-    ("too short", []), (None, []), ("", []),
+    ("too short", [(3, False)]), ("it is too short", []), (None, []), ("", []),
 ])
 def test_leaks(spark, text, found):
     docs = spark.createDataFrame([(9, text, "i")], "doc_id long, text string, item_id string")
@@ -302,6 +303,63 @@ def test_large_benchmarks_are_split(spark, monkeypatch):
     assert templates.find_leaks(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("item, text, found", [
+    ("Alice buys 12 apples and 3 pears at the shop near Rome. Bob gives her 4 more of them on the way.", "Carol buys 9 apples and 5 pears at the shop near Oslo. David gives her 7 more of them on the way.", [(1, True)]),
+    ("What is 7 times 8?", "First\nWhat is 7 times 8?\nLast", [(1, False)]),
+    ("Is it 42?", "one line\nis it 42?", [(1, False)]),
+    ("Is it 42?", "and now is it 42? or not", []),
+    ("Paris?", "Paris?", [(1, False)]),
+])
+def test_opening_names_and_short_items(item, text, found):
+    assert [(x[1] + 1, x[4]) for x in templates.leaks(templates.canonical(pa.array([text], pa.string())), templates.Items([1], [item]))] == found
+
+
+def test_joined_windows_find_the_same(spark, monkeypatch):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(r.choices(words, k=r.choice([3, 6, 20])))) for i in range(30)] + [(30, "Alice buys 12 apples and 3 pears at the shop near Rome today."), (31, None)]
+    docs = [(0, None), (1, "")] + [(i, " ".join(r.choices(words, k=20)) + r.choice(["\n", " "]) + r.choice(items[:30])[1]) for i in range(2, 40)] + [(40, "Carol buys 9 apples and 5 pears at the shop near Oslo today."), (41, items[3][1]), (41, items[3][1])]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"key": F.lit(1), "item": F.lit(2)}), spark.createDataFrame(items, "item_id long, text string")
+    sent = sorted(map(tuple, templates.find_leaks(docs, items).collect()))
+    clean = templates.without_leaks(docs, items).count()
+    monkeypatch.setattr(templates, "SENT_BYTES", 10)
+    assert sorted(map(tuple, templates.find_leaks(docs, items).collect())) == sent and len(sent) > 20
+    assert templates.without_leaks(docs, items).count() == clean
+
+
+def test_very_long_texts(spark):
+    words = "ab cd 12 Ef, gh.\n" * 60_000
+    docs = spark.createDataFrame([(1, words), (2, "x" * 300_000)], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id long, text string")
+    assert templates.find_leaks(docs, items).count() == 0
+    assert divergence.judge(docs, divergence.learn(docs)).count() == 2
+    assert kneser_ney.score(docs, F.lit(False)).filter("score < 0").count() == 2
+    model = pu_toxicity.train(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), lambda c: F.lit(True))
+    assert pu_toxicity.score(docs, model).count() == 2
+
+
+def test_deep_pages_are_linear(model):
+    def seconds(n):
+        page = "<article>" + "".join(f'<div class="c{i}">word here' for i in range(n))
+        began = time.perf_counter()
+        crf_html.main_text(page, model)
+        return time.perf_counter() - began
+
+    assert seconds(20_000) < 12 * max(seconds(4_000), 0.02)
+    blocks = crf_html.blocks_of("<div class='a'><b class='x'>one<div class='a b'>two</b> three</div></div>")
+    assert [(b.text, b.path, b.words) for b in blocks] == [("one", ("div",), ("a", "x")), ("two", ("div",), ("a", "x", "b")), ("three", ("div",), ("a", "b"))] or blocks[1].text.startswith("two")
+    for b, f, s in zip(blocks, crf_html.features_of(blocks), model.block_scores(blocks)):
+        assert abs(model.scores([f])[0] - s) < 1e-9
+
+
+def test_a_language_of_few_texts_is_no_reference(spark):
+    rows = [(i, " ".join(f"word{(i * 7 + k) % 90}" for k in range(120)), "en") for i in range(40)] + [(99, "#$%& " * 200, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    references = divergence.learn(docs)
+    assert references.char_langs == ["en"] and references.word_langs == ["en"]
+    assert {r.doc_id for r in divergence.judge(docs, references).filter("NOT kept").collect()} == {99}
+
+
 def test_spans_of_a_batch_do_not_reach_over_texts():
     t = templates.canonical(pa.array(["a b", "c d"], pa.string()))
     assert len(templates.windows(t, 3)[0]) == 0 and t.counts.tolist() == [2, 2]

@@ -140,3 +140,10 @@ def test_frames_keep_rows_and_ignore_other_columns(spark, library):
     counted = sorted(transducer.token_counts(docs, WORD_JSON, limit=1).collect(), key=lambda r: r.doc_id or 0)
     assert [(r.n_bytes, r.n_tokens, r.over_limit) for r in counted] == [(0, 0, False), (3, 2, True), (3, 2, True)]
     assert [r.ids for r in tree_bpe.encode_documents(docs.filter("doc_id = 1"), MULTI).collect()] == [ids, ids]
+
+
+def test_long_words_are_composed():
+    r = random.Random(6)
+    library = Tokenizer.from_file(WORD_JSON)
+    texts = ["a" * 20_000, "ab" * 9_000, "".join(r.choices("etaoinshrdlu", k=30_000)), "word " * 500 + "z" * 5_000 + " end", "".join(r.choices("abcde", k=700)) * 8]
+    assert transducer.count_tokens(texts, WORD_JSON).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
