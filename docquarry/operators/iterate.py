@@ -118,13 +118,14 @@ def merged(found: DataFrame, k: int) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("query_id", "item_id", "organization", "score", "rank")
 
 
-def iterate(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, str], DataFrame], k: int = 10, rounds: int = MOST_ROUNDS, least: float = LEAST_SCORE, strip: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def iterate(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, str], DataFrame], k: int = 10, rounds: int = MOST_ROUNDS, least: float = LEAST_SCORE, strip: Callable[[Column, Column], Column] | None = None, rescore: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(merged evidence, trace). retrieve: questions (query_id, text) -> query_id, item_id, rank, score (and organization);
     write: writes a table and returns what is read again, so that no round's plan holds the former ones.
 
     questions: query_id, text, and organizations, outside, unavailable where they are known. A question that the first
     round answers keeps that round's evidence as it is. The others are asked again, narrowed to the organizations that
-    have a gap or by their keywords, as long as that is a new query for the same time; all their rounds are merged. The
+    have a gap or by their keywords, as long as that is a new query for the same time; all their rounds are merged. rescore
+    (query_id, item_id -> with score) scores what later rounds find against the question itself. The
     trace has a row for each round of a question: round, strategy, target, decision, reason, best, and stop (sufficient,
     structural, max_rounds or no_refinement) in the last one.
     """
@@ -136,6 +137,8 @@ def iterate(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], wr
     for number in range(rounds):
         got = retrieve(asked.select("query_id", "text"))
         got = got if "organization" in got.columns else got.withColumn("organization", F.lit(None).cast("string"))
+        if number and rescore is not None:
+            got = got.drop("score").join(rescore(got.select("query_id", "item_id").distinct()), ["query_id", "item_id"], "left")
         got = write(got.select("query_id", "item_id", "rank", "score", "organization").withColumn("round", F.lit(number)), f"round-{number}")
         found = got if found is None else found.unionByName(got)
         open_questions = whole.join(asked.select("query_id"), "query_id", "left_semi")

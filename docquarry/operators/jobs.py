@@ -70,3 +70,16 @@ def deliver(messages: DataFrame, handle: Callable[[dict], str | None], key: str
         return out
 
     return scan_documents(messages, scan, f"{key} string, seq long, outcome string, error string", key=key)
+
+
+def wait(read: Callable[[], DataFrame], job_id: str, seconds: float, pause: float = 0.2) -> str | None:
+    """The final status of a job, read again and again from the table of last statuses (job_id, status) that read() gives,
+    for so many seconds at most; None if it has none by then."""
+    import time
+
+    until = time.monotonic() + seconds
+    while True:
+        row = read().filter(F.col("job_id") == job_id).filter(F.col("status").isin("completed", "failed")).select("status").first()
+        if row is not None or time.monotonic() >= until:
+            return None if row is None else row.status
+        time.sleep(min(pause, max(0.0, until - time.monotonic())))

@@ -132,3 +132,25 @@ def document_hashes(blocks: DataFrame) -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n\n")
     kinds = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("heading", "paragraph", "list_item", "table")]
     return seen.groupBy("doc_id").agg(F.sha2(text, 256).alias("content_hash"), F.count("*").alias("n_blocks"), *kinds, F.count_if("_begins").alias("n_lists"), F.sum(F.length("text")).alias("chars"))
+
+
+def removal_counts(lines: DataFrame) -> DataFrame:
+    """doc_id, removed, n of cleaned lines (doc_id, removed): how many went for each reason."""
+    return lines.filter("removed IS NOT NULL").groupBy("doc_id", "removed").agg(F.count("*").alias("n"))
+
+
+def repair_warnings(lines: DataFrame) -> DataFrame:
+    """doc_id, code, n of lines (doc_id, repairs: a map of counts, notes: an array, removed): text_repaired, duplicate_render
+    and icon_glyphs, as far as they are there."""
+    repaired = F.aggregate(F.map_values(F.coalesce("repairs", F.create_map().cast("map<string, int>"))), F.lit(0), lambda a, x: a + x)
+    counts = {"text_repaired": F.sum(repaired), "duplicate_render": F.count_if(F.col("removed") == "duplicate_render"), "icon_glyphs": F.count_if(F.array_contains(F.coalesce("notes", F.array().cast("array<string>")), "private_use_glyphs_removed"))}
+    codes = F.explode(F.array(*(F.struct(F.lit(code).alias("code"), n.cast("long").alias("n")) for code, n in ((c, F.col(c)) for c in counts)))).alias("c")
+    return lines.groupBy("doc_id").agg(*(v.alias(k) for k, v in counts.items())).select("doc_id", codes).select("doc_id", "c.code", "c.n").filter("n > 0")
+
+
+def document_stats(blocks: DataFrame, lines: DataFrame) -> DataFrame:
+    """Counters of documents: those of document_hashes(), sections, flagged and excluded blocks, lines and lines kept."""
+    flagged = F.exists("flags", lambda f: F.startswith(f, F.lit("suspected_chrome")))
+    more = blocks.groupBy("doc_id").agg(F.count_distinct("section_id").alias("sections"), F.count_if(flagged).alias("chrome_flagged"), F.count_if(~retrievable(F.col("flags"))).alias("excluded"))
+    of_lines = lines.groupBy("doc_id").agg(F.count("*").alias("lines_total"), F.count_if(F.col("removed").isNull()).alias("lines_kept"))
+    return document_hashes(blocks).join(more, "doc_id").join(of_lines, "doc_id", "left")

