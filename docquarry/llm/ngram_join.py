@@ -28,13 +28,15 @@ from .arrowtext import distinct_sorted, find_words, mix, offsets_of, row_slices,
 from .linking import link_groups
 from .scratch import Scratch
 
-BUCKETS = 1 << 20
+#: Bits of the hashes that name a bucket of counts, and bits of the map below, for an input of up to SMALL_BYTES; for larger
+#: ones up to MORE_BITS more, so that what is sent stays below 32 MB.
+BUCKET_BITS, SMALL_BYTES, MORE_BITS = 20, 10 << 30, 3
 #: N-grams that two linked sets must have in common among their first ones.
 IN_COMMON = 3
 #: Rows of a column whose pairs are all counted.
 FEW_ROWS = 24
-#: Bits of the map of the ids whose sets are needed; a foreign id that falls on one costs time only.
-MAP_BITS = 1 << 24
+#: The map of the ids whose sets are needed has two to the power of so many bits; a foreign id that falls on one costs time only.
+MAP_BITS = 24
 _SLICES = 16
 _U = np.uint64
 
@@ -86,6 +88,17 @@ class SetReader:
         return flat, sizes, mix(sums[at[1:]] - sums[at[:-1]] + mix(sizes.astype(np.uint64)))
 
 
+def _more_bits(df: DataFrame) -> int:
+    """Bits that are added for large inputs, by the size of the files that are read."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(MORE_BITS, max(0, (size // SMALL_BYTES).bit_length()))
+
+
+def _rarity(counts: np.ndarray) -> np.ndarray:
+    """Counts on a scale of 16 bits that keeps their order at any size: their logarithms."""
+    return np.minimum(np.floor(np.log2(counts.astype(np.float64) + 1) * 2047), 0xFFFF).astype(np.uint64)
+
+
 def _ceil_share(n: np.ndarray, above: int, below: int) -> np.ndarray:
     return -(-(n * above) // below)
 
@@ -101,26 +114,28 @@ def link_documents(documents: DataFrame, n: int, percent: int, scratch: Scratch,
     read_sets = SetReader(n)
     own = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     low, high = percent, 100
+    more = _more_bits(documents)
+    buckets, shift = 1 << BUCKET_BITS + more, _U(64 - BUCKET_BITS - more)
 
     def first_pass(batches):
-        counts = np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(buckets, np.int64)
         for batch in batches:
             for rows in row_slices(batch, "text"):
                 flat, sizes, names = read_sets(rows.column("text"))
-                counts += np.bincount((flat >> _U(44)).astype(np.int64), minlength=BUCKETS)
+                counts += np.bincount((flat >> shift).astype(np.int64), minlength=buckets)
                 m = len(sizes)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names.astype(np.int64), mask=sizes == 0), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["doc_id", "n_shingles", "node", "slice", "part"])
-        width = BUCKETS // _SLICES
+        width = buckets // _SLICES
         for k in range(_SLICES):
             b = _slice_batch(k, np.minimum(counts[k * width : (k + 1) * width], 0xFFFFFFFF))
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), b.column("slice"), b.column("part")], names=["doc_id", "n_shingles", "node", "slice", "part"])
 
     made = scratch.table(own.mapInArrow(first_pass, "doc_id long, n_shingles long, node long, slice int, part binary"), "sets", 2000)
-    order = own.sparkSession.sparkContext.broadcast(fixed_sums(made.filter("part is not null").select("slice", "part"), BUCKETS))
+    order = own.sparkSession.sparkContext.broadcast(fixed_sums(made.filter("part is not null").select("slice", "part"), buckets))
     sets = made.filter("part is null").select("doc_id", "n_shingles", "node")
 
     def second_pass(batches):
-        counts = np.minimum(order.value, 0xFFFF).astype(np.uint64)
+        counts = _rarity(order.value)
         for batch in batches:
             for rows in row_slices(batch, "text"):
                 flat, sizes, names = read_sets(rows.column("text"))
@@ -128,7 +143,7 @@ def link_documents(documents: DataFrame, n: int, percent: int, scratch: Scratch,
                 _, once = np.unique(names, return_index=True)
                 once = np.sort(once[sizes[once] > 0])
                 at = offsets_of(sizes)
-                key = (counts[(flat >> _U(44)).astype(np.int64)] << _U(48)) | (flat >> _U(16))
+                key = (counts[(flat >> shift).astype(np.int64)] << _U(48)) | (flat >> _U(16))
                 size = sizes[once]
                 probe = np.minimum(size, size - _ceil_share(size, low, high) + IN_COMMON)
                 index = size - _ceil_share(size, 2 * low, low + high) + IN_COMMON
@@ -171,7 +186,7 @@ def link_documents(documents: DataFrame, n: int, percent: int, scratch: Scratch,
     names = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(many.select("node")).distinct()
     needed = names.join(wanted, "node", "left_semi").select("first_id")
-    rows = scratch.table(_needed_sets(own, needed, read_sets, scratch), "rows", 2000, small=True)
+    rows = scratch.table(_needed_sets(own, needed, read_sets, scratch, 1 << MAP_BITS + more), "rows", 2000, small=True)
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = rows.select(F.col("node").alias("a"), F.col("members").alias("ma"))
@@ -220,24 +235,24 @@ def one_of_each(documents: DataFrame, n: int, percent: int, scratch: Scratch, id
     return kept.select(*(F.col("whole").getField(c).alias(c) for c in documents.columns))
 
 
-def _needed_sets(own: DataFrame, needed: DataFrame, read_sets: SetReader, scratch: Scratch) -> DataFrame:
+def _needed_sets(own: DataFrame, needed: DataFrame, read_sets: SetReader, scratch: Scratch, size: int) -> DataFrame:
     """node, members of the rows whose id is needed: they are found by a map of bits, so that texts are not shuffled."""
 
     def bits(batches):
-        held = np.zeros(MAP_BITS // 32, np.uint32)
+        held = np.zeros(size // 32, np.uint32)
         for batch in batches:
-            at = _bit(batch.column("first_id").fill_null(-1).to_numpy())
+            at = _bit(batch.column("first_id").fill_null(-1).to_numpy(), size)
             np.bitwise_or.at(held, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(held.tobytes(), 1)], pa.binary())], names=["part"])
 
     def either(batches):
-        held = np.zeros(MAP_BITS // 32, np.uint32)
+        held = np.zeros(size // 32, np.uint32)
         for batch in batches:
             for part in batch.column("part"):
                 held |= np.frombuffer(zlib.decompress(part.as_py()), np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(held.tobytes(), 1)], pa.binary())], names=["part"])
 
-    total = np.zeros(MAP_BITS // 32, np.uint32)
+    total = np.zeros(size // 32, np.uint32)
     # written between, so that no task holds two Python workers
     made = scratch.table(needed.mapInArrow(bits, "part binary"), "bits", small=True)
     for r in made.coalesce(4).mapInArrow(either, "part binary").collect():
@@ -246,7 +261,7 @@ def _needed_sets(own: DataFrame, needed: DataFrame, read_sets: SetReader, scratc
 
     def run(batches):
         for batch in batches:
-            at = _bit(batch.column("doc_id").fill_null(-1).to_numpy())
+            at = _bit(batch.column("doc_id").fill_null(-1).to_numpy(), size)
             batch = batch.filter(pa.array((sent.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
             for rows in row_slices(batch, "text"):
                 flat, sizes, names = read_sets(rows.column("text"))
@@ -258,5 +273,5 @@ def _needed_sets(own: DataFrame, needed: DataFrame, read_sets: SetReader, scratc
     return own.mapInArrow(run, "node long, members binary").dropDuplicates(["node"])
 
 
-def _bit(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).astype(np.uint64)) % _U(MAP_BITS)).astype(np.int64)
+def _bit(ids: np.ndarray, size: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).astype(np.uint64)) % _U(size)).astype(np.int64)
