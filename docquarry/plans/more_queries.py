@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.intents import Directory
 from docquarry.operators import catalog, chunking, clauses, context, dialogue, evaluate, iterate, jobs, multi, pages, session, temporal, verify
-from docquarry.plans.queries import _BLOCKS, _EVIDENCE, _LINES, _VERSIONS, blocks_of, evidence_of, lines_of, long, price_ranking, query, table, versions_of
+from docquarry.plans.queries import _EVIDENCE, _LINES, _VERSIONS, blocks_of, evidence_of, lines_of, long, price_ranking, query, table, versions_of
 from docquarry.sources import files
 
 
