@@ -368,7 +368,7 @@ def version_counterparts(spark, d):
 def changed_rankings(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     a = table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("item_id"), F.row_number().over(w).alias("rank"))
-    return evaluate.changed_rankings(a, a.withColumn("item_id", F.when(F.col("item_id") % 97 == 0, -F.col("item_id")).otherwise(F.col("item_id"))))
+    return evaluate.changed_rankings(a, a.withColumn("item_id", F.when(F.col("item_id") % 97 == 0, -F.col("item_id") - 1).otherwise(F.col("item_id"))))
 
 
 @query("""WITH q AS (SELECT item_id AS case_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS quote FROM benchmark), c AS (SELECT doc_id AS chunk_id, source, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS text FROM documents),
