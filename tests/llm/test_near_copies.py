@@ -159,6 +159,62 @@ def test_scattered_edits_of_long_lines_are_found(spark):
     assert got <= want and len(want - got) <= 0.01 * pairs
 
 
+def letters(r, n):
+    return "".join(r.choices("abcdefghijklmnopqrstuvwxyz     ", k=n)).strip()
+
+
+def test_lines_with_a_common_passage_make_no_pairs(spark, monkeypatch):
+    r = random.Random(5)
+    passage = letters(r, 200)
+    rows = [(i, f"{letters(r, 300)} {passage}") for i in range(60)]
+    compared = []
+
+    def counted(postings, verify, *args, **kwargs):
+        def run(pairs):
+            compared.append(pairs.count())
+            return verify(pairs)
+
+        return linking.link_groups(postings, run, *args, **kwargs)
+
+    monkeypatch.setattr(line_dedup, "link_groups", counted)
+    assert line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).count() == 0
+    assert sum(compared) == 0
+
+
+def test_open_groups_make_links_only(spark, monkeypatch):
+    r = random.Random(6)
+    base, lines = r.choices(WORDS, k=90), []
+    for _ in range(80):
+        lines.append(" ".join(edited(r, base, r.randrange(14))))
+    lines += ["ab" * 400, "ab" * 400 + "c", letters(r, 150) * 8]
+    lines.append(lines[-1] + "!")
+    given = []
+
+    def counted(*args, rest, **kwargs):
+        def run(left):
+            made = rest(left)
+            given.extend(tuple(x) for x in made.distinct().collect())
+            return made
+
+        return linking.link_groups(*args, rest=run, **kwargs)
+
+    monkeypatch.setattr(line_dedup, "link_groups", counted)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {x.doc_id: x.kept_doc_id for x in line_dedup.duplicate_lines(docs, Scratch(spark, "t")).collect()}
+    sets, parent = [char_set(line) for line in lines], list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= line_dedup.SIMILARITY * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(parent, i), find(parent, j)
+                parent[max(a, b)] = min(a, b)
+    assert got == {i: find(parent, i) for i in range(len(lines)) if find(parent, i) != i}
+    of_node = {r.node: r.doc_id for r in docs.selectExpr("doc_id", "xxhash64(lower(text)) AS node").collect()}
+    for a, b in given:
+        x, y = sets[of_node[a]], sets[of_node[b]]
+        assert len(x & y) >= line_dedup.SIMILARITY * len(x | y)
+
+
 def test_dedup_keeps_first_lines_and_every_row(spark):
     long = "this is a line that is long enough to be looked at"
     rows = [(2, f"{long}\nonly here, and it is long enough too", "b"), (1, f"head\n{long}", "a"), (3, None, "c"), (4, f"{long}!", "d"), (5, "head\nhead", "e"), (6, "", "f")]
