@@ -80,41 +80,32 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 3000, rate: float = 0.02, decay: float = 1e-6) -> Classifier:
-    """From the sorted distinct word hashes of sampled texts."""
+def choose(words: np.ndarray, in_positive: np.ndarray, in_unlabelled: np.ndarray, positive: int, unlabelled: int, prior: float) -> tuple[np.ndarray, float]:
+    """Sorted words that are features, and the prior, by how many of so many positive and unlabelled texts have each word."""
     prior = min(max(prior, 1e-3), 0.9)
-    bias = float(np.log(prior / (1 - prior)))
-    empty = Classifier(np.zeros(0, np.uint64), np.zeros(0), bias)
-    if not positive or not unlabelled:
-        return empty
-    words, in_positive = np.unique(np.concatenate(positive), return_counts=True)
-    enough = in_positive >= least_texts(len(positive))
-    words, in_positive = words[enough], in_positive[enough]
-    if not len(words):
-        return empty
-    some, times = np.unique(np.concatenate(unlabelled), return_counts=True)
-    in_unlabelled = np.zeros(len(words), np.int64)
-    if len(some):
-        at = np.minimum(np.searchsorted(some, words), len(some) - 1)
-        in_unlabelled = np.where(some[at] == words, times[at], 0)
-    p, u = in_positive / len(positive), in_unlabelled / len(unlabelled)
-    pooled = (in_positive + in_unlabelled) / (len(positive) + len(unlabelled))
-    z = (p - u) / np.sqrt(pooled * (1 - pooled) * (1 / len(positive) + 1 / len(unlabelled)) + 1e-12)
-    least_z = min(max(Z_PER_ROOT * np.sqrt(len(positive)), LEAST_Z), MOST_Z)
+    enough = in_positive >= least_texts(positive)
+    words, in_positive, in_unlabelled = words[enough], in_positive[enough], in_unlabelled[enough]
+    if not positive or not unlabelled or not len(words):
+        return words[:0], prior
+    p, u = in_positive / positive, in_unlabelled / unlabelled
+    pooled = (in_positive + in_unlabelled) / (positive + unlabelled)
+    z = (p - u) / np.sqrt(pooled * (1 - pooled) * (1 / positive + 1 / unlabelled) + 1e-12)
+    least_z = min(max(Z_PER_ROOT * np.sqrt(positive), LEAST_Z), MOST_Z)
     # the words that tell most are in any texts as often as toxic texts are; what labels say bounds the prior from above
     best = np.argsort(-z)[:10]
-    prior = min(prior, max(1e-3, u[best].sum() / p[best].sum()))
+    chosen = words[z >= least_z]
+    return chosen, min(prior, max(1e-3, u[best].sum() / p[best].sum())) if len(chosen) else prior
+
+
+def fit(words: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 3000, rate: float = 0.02, decay: float = 1e-6) -> Classifier:
+    """Weights of the words, from those that each of the sampled texts has."""
     bias = float(np.log(prior / (1 - prior)))
-    words = words[z >= least_z]
     if not len(words):
-        return empty
+        return Classifier(np.zeros(0, np.uint64), np.zeros(0), bias)
 
     def incidence(texts):
         row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        flat = np.concatenate(texts)
-        at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
-        hit = words[at] == flat
-        return row[hit], at[hit], len(texts)
+        return row, np.searchsorted(words, np.concatenate(texts)), len(texts)
 
     def apply(x, w):
         return np.bincount(x[0], w[x[1]], x[2])
@@ -144,8 +135,8 @@ def train(documents: DataFrame, labels: DataFrame, may_learn, most_positive: int
     The sample is the rows with the smallest hashes of their ids, toxic ones and any others apart; a null id or label is
     not learned from, and an id with both labels counts as toxic. Without toxic rows every text gets the prior. Repeated
     rows of a sampled id are taken by a hash of id and text, as far as the sample goes, so that a fit can be repeated. A
-    null or empty text has no features; of a very long one the different features are held, those of the other texts only
-    as far as toxic texts have them.
+    null or empty text has no features. Features are counted in the tasks; the driver gets those that enough toxic texts
+    have, and of each sampled text the ones that are learned from.
     """
     ids = labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(toxic_column).cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & may_learn(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(17))
@@ -157,31 +148,53 @@ def train(documents: DataFrame, labels: DataFrame, may_learn, most_positive: int
     positive = ids.filter("toxic = 1").orderBy(order, "doc_id").limit(most_positive).select("doc_id")
     others = own.filter(F.col("doc_id").isNotNull() & may_learn(F.col("doc_id"))).select("doc_id").orderBy(order, "doc_id").limit(most_unlabelled).distinct()
 
-    def features(sample: DataFrame, most: int, wanted: np.ndarray | None) -> list[np.ndarray]:
-        """The features of the sampled texts, or those of them that are wanted."""
+    # there may be more rows than ids: the ones with the smallest hashes, each once, so that the same texts are taken each time
+    hashed = own.withColumn("h", F.xxhash64("doc_id", "text", F.lit(17)))
+
+    def sampled(sample: DataFrame, most: int) -> tuple[DataFrame, int]:
+        """The sampled texts, and how many they are."""
+        keys = hashed.join(F.broadcast(sample), "doc_id", "left_semi").select("doc_id", "h").distinct().orderBy("h", "doc_id").limit(most).toArrow()
+        known = documents.sparkSession.createDataFrame(keys, "doc_id long, h long")
+        return hashed.join(F.broadcast(known), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).select("text"), keys.num_rows
+
+    def counted(texts: DataFrame, least: float, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted features, or those that are wanted, and how many texts have each, from the least number of texts on.
+        They are counted in the tasks, so that the driver holds no texts' features."""
+        def words(batches):
+            for batch in batches:
+                for rows in row_slices(batch, "text"):
+                    flat, _ = distinct_sorted(*text_features(rows))
+                    found, times = np.unique(flat, return_counts=True)
+                    if wanted is not None:
+                        kept = np.isin(found, wanted, assume_unique=True)
+                        found, times = found[kept], times[kept]
+                    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.uint64).view(np.int64)), pa.array(times.astype(np.int64))], names=["word", "n"])
+
+        got = texts.mapInArrow(words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+        found, times = got.column("word").to_numpy().view(np.uint64), got.column("n").to_numpy()
+        order = np.argsort(found)
+        return found[order], times[order]
+
+    def features(texts: DataFrame, wanted: np.ndarray) -> list[np.ndarray]:
+        """Those of the wanted features that each text has."""
         def words(batches):
             for batch in batches:
                 for rows in row_slices(batch, "text"):
                     flat, sizes = distinct_sorted(*text_features(rows))
                     at = np.concatenate([[0], np.cumsum(sizes)]).tolist()
                     parts = [flat[a:b] for a, b in zip(at, at[1:])]
-                    if wanted is not None:
-                        parts = [x[np.isin(x, wanted, assume_unique=True)] for x in parts]
-                    yield pa.RecordBatch.from_arrays([pa.array([x.astype("<u8").tobytes() for x in parts], pa.binary())], names=["words"])
-
-        release_memory()
-        # there may be more rows than ids: the ones with the smallest hashes, each once, so that the same texts are taken each time
-        hashed = own.withColumn("h", F.xxhash64("doc_id", "text", F.lit(17)))
-        keys = hashed.join(F.broadcast(sample), "doc_id", "left_semi").select("doc_id", "h").distinct().orderBy("h", "doc_id").limit(most)
-        chosen = hashed.join(F.broadcast(keys), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
-        rows = chosen.select("text").mapInArrow(words, "words binary").collect()
-        return [np.frombuffer(r.words, "<u8").astype(np.uint64) for r in rows]
-
-    toxic = features(positive, most_positive, None)
-    found, times = np.unique(np.concatenate(toxic), return_counts=True) if toxic else (np.zeros(0, np.uint64), np.zeros(0))
-    any_kind = features(others, most_unlabelled, found[times >= least_texts(len(toxic))])
-    model = fit(toxic, any_kind, counts.k / counts.n)
-    del toxic, any_kind
+                    yield pa.RecordBatch.from_arrays([pa.array([x[np.isin(x, wanted, assume_unique=True)].astype("<u8").tobytes() for x in parts], pa.binary())], names=["words"])
+
+        return [np.frombuffer(x.as_buffer(), "<u8").astype(np.uint64) for x in texts.mapInArrow(words, "words binary").toArrow().column("words")]
+
+    toxic, n_toxic = sampled(positive, most_positive)
+    any_kind, n_any = sampled(others, most_unlabelled)
+    found, in_toxic = counted(toxic, least_texts(n_toxic), None)
+    some, times = counted(any_kind, 1, found)
+    in_any = np.zeros(len(found), np.int64)
+    in_any[np.searchsorted(found, some)] = times
+    chosen, prior = choose(found, in_toxic, in_any, n_toxic, n_any, counts.k / counts.n)
+    model = fit(chosen, features(toxic, chosen), features(any_kind, chosen), prior) if len(chosen) else fit(chosen, [], [], prior)
     release_memory()
     return model
 

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import tracemalloc
 import time
 import re
 import zlib
@@ -52,6 +53,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert clean.columns == docs.columns and clean.filter("truth = 0").count() >= 0.98 * sum(t == 0 for *_, t in rows)
 
 
+def test_toxicity_training_holds_no_texts_on_the_driver(spark):
+    r = random.Random(6)
+    words = [f"w{i:05d}" for i in range(40_000)]
+    rows = [(i, " ".join(r.sample(words, 1_500) + ["vile"] * (i % 4 == 0))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    assert docs.count() == 400
+    tracemalloc.start()
+    model = pu_toxicity.train(docs, known, lambda c: F.lit(True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    docs.unpersist()
+    assert peak < 5_000_000  # the features of the toxic texts alone are more
+    assert {x.doc_id for x in pu_toxicity.score(spark.createDataFrame(rows, docs.schema), model).filter("predicted = 1").collect()} == set(range(0, 400, 4))
+
+
 def test_toxicity_without_toxic_rows_or_texts(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "x y", "c"), (2, "", "b")], "doc_id long, text string, toxic string")
     none = spark.createDataFrame([(None, 1), (1, None)], "doc_id long, toxic int")
