@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from docquarry.llm import line_dedup, linking, ngram_join
 from docquarry.llm.scratch import Scratch
@@ -227,3 +228,42 @@ def test_line_dedup_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "a line that is long enough to be looked at")], "doc_id long, text string")
     plan = line_dedup.dedup_lines(docs, Scratch(spark, "t"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_pairs_of_a_group_are_looked_at_by_bits_first(spark, monkeypatch):
+    r = random.Random(8)
+    passage = letters(r, 120)
+    lines = [f"{letters(r, 300)} {passage}" for _ in range(60)]
+    lines += [lines[0][:200] + "7" + lines[0][201:], lines[1] + "!"]
+    seen, left = [], []
+
+    def linked(postings, *args, details, alike, narrow, **kwargs):
+        seen.append(dict(details.dtypes))
+
+        def narrowed(pairs):
+            left.append(pairs.count())
+            return narrow(pairs)
+
+        return linking.link_groups(postings, *args, details=details, alike=alike, narrow=narrowed, **kwargs)
+
+    monkeypatch.setattr(line_dedup, "link_groups", linked)
+    scratch = Scratch(spark, "t")
+    got = {(x.kept_doc_id, x.doc_id) for x in line_dedup.duplicate_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), scratch).collect()}
+    assert got == {(0, 60), (1, 61)}
+    assert seen == [{"node": "bigint", "low": "bigint", "high": "bigint"}]  # not the sketches
+    assert sum(left) <= 10  # of the 1891 pairs of the passage's groups
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch.root)
+    kept = {x.getPath().getName() for x in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)}
+    assert all(name == "places" or name.startswith("lines-comp-") for name in kept)
+
+
+def test_bits_lose_no_similar_lines(spark):
+    r, rows = random.Random(9), []
+    for n in (100, 300, 1000):
+        for k in range(100):
+            one = r.sample(range(-(2**31), 2**31), n)
+            other = one[: -(-8 * n // 10)] if k % 2 else one[: -(-8 * n // 9)] + r.sample(range(-(2**31), 2**31), n - -(-8 * n // 9))
+            rows.append((sorted(one)[: line_dedup.SKETCH], sorted(other)[: line_dedup.SKETCH]))
+    df = spark.createDataFrame(rows, "x array<int>, y array<int>")
+    df = df.select(*(c.alias(f"{c2}_{x}") for x in "xy" for c, c2 in zip(line_dedup._marks(F.col(x)), ("low", "high"))))
+    assert df.filter(line_dedup._close(lambda c: F.col(f"{c}_x"), lambda c: F.col(f"{c}_y"))).count() >= 299
