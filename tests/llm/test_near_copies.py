@@ -267,3 +267,21 @@ def test_bits_lose_no_similar_lines(spark):
     df = spark.createDataFrame(rows, "x array<int>, y array<int>")
     df = df.select(*(c.alias(f"{c2}_{x}") for x in "xy" for c, c2 in zip(line_dedup._marks(F.col(x)), ("low", "high"))))
     assert df.filter(line_dedup._close(lambda c: F.col(f"{c}_x"), lambda c: F.col(f"{c}_y"))).count() >= 299
+
+
+def test_few_edges_make_no_shuffles(spark, monkeypatch):
+    edges = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (7, 9), (20, 21)]
+    want = {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7, 20: 20, 21: 20}
+    plans, table = [], Scratch.table
+
+    def planned(self, df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return table(self, df, *args, **kwargs)
+
+    monkeypatch.setattr(Scratch, "table", planned)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    for few in (linking.FEW_EDGES, 3):
+        monkeypatch.setattr(linking, "FEW_EDGES", few)
+        plans.clear()
+        assert {r.node: r.c for r in linking.components(df, Scratch(spark, "t"), "c").collect()} == want
+        assert few == 3 or plans and not any("Exchange hashpartitioning" in p for p in plans)
