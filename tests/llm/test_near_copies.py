@@ -285,3 +285,37 @@ def test_few_edges_make_no_shuffles(spark, monkeypatch):
         plans.clear()
         assert {r.node: r.c for r in linking.components(df, Scratch(spark, "t"), "c").collect()} == want
         assert few == 3 or plans and not any("Exchange hashpartitioning" in p for p in plans)
+
+
+def test_lines_of_other_sizes_are_not_compared(spark, monkeypatch):
+    r = random.Random(12)
+    passage = letters(r, 200)
+    lines = [f"{letters(r, 300 + 15 * i)} {passage}" for i in range(40)]
+    lines.append(lines[7] + "!")
+    seen = []
+
+    def linked(postings, verify, scratch, name, may_link, **kwargs):
+        seen.append(({x.node: x.n for x in postings.collect()}, may_link))
+        return linking.link_groups(postings, verify, scratch, name, may_link, **kwargs)
+
+    monkeypatch.setattr(line_dedup, "link_groups", linked)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = [(x.kept_doc_id, x.doc_id) for x in line_dedup.duplicate_lines(docs, Scratch(spark, "t")).collect()]
+    assert got == [(7, 40)]
+    [(sizes, may_link)] = seen
+    want = {x.node: len(char_set(lines[x.doc_id])) for x in docs.selectExpr("doc_id", "xxhash64(text) AS node").collect()}
+    assert sizes and sizes.items() <= want.items()
+    pairs = spark.createDataFrame([(100, 125), (125, 100), (100, 126), (126, 100), (None, 9)], "n int, m int")
+    assert [x.may for x in pairs.select(may_link(F.col("n"), F.lit(0), F.col("m"), F.lit(0)).alias("may")).collect()] == [True, True, False, False, True]
+
+
+def test_copies_of_very_long_lines_are_found(spark, monkeypatch):
+    r = random.Random(13)
+    monkeypatch.setattr(line_dedup, "VERY_LONG", 2000)
+    monkeypatch.setattr(line_dedup, "FEW_HASHES", 600)
+    lines = [letters(r, n) for n in (300, 580, 900, 1800, 2500, 4000)]
+    lines += [line[: len(line) // 2] + "7" + line[len(line) // 2 :] for line in lines] + [lines[4][:1990].strip()]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {x.doc_id: x.kept_doc_id for x in line_dedup.duplicate_lines(docs, Scratch(spark, "t")).collect()}
+    similar = len(char_set(lines[12]) & char_set(lines[4])) >= 0.8 * len(char_set(lines[12]) | char_set(lines[4]))
+    assert got == {6 + i: i for i in range(6)} | ({12: 4} if similar else {})
