@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.operators.contained import contained
+
 # Cut-offs of the metrics.
 CUTS = (1, 3, 5, 10)
 
@@ -72,26 +74,28 @@ def gold_failures(units: DataFrame, expected: DataFrame) -> DataFrame:
     return lost.unionByName(refused).unionByName(wrong)
 
 
+def holders(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """case_id, unit, own, quote, chunk_id, doc_id: each chunk (chunk_id, doc_id, text) that holds a quote (case_id, unit,
+    doc_id, which becomes own, and quote), whatever the spaces of both. Quotes may be of any length, and stand within words."""
+    plain = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    asked = quotes.select("case_id", "unit", F.col("doc_id").alias("own"), plain("quote").alias("quote"))
+    return contained(asked, chunks.select("chunk_id", "doc_id", plain("text").alias("text")))
+
+
 def benchmark(quotes: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(gold, errors, notices) of a benchmark's quotes (case_id, unit, doc_id, quote) and chunks (chunk_id, doc_id, text).
 
     gold: case_id, unit, chunk_id: the only chunk of the document that holds the quote, whatever its spaces. errors: quotes
-    that none holds, or several (n). notices: chunks of other documents that hold the quote too. Quotes meet chunks of other
-    documents by the hash of their first words, so that they are not compared with all of them.
+    that none holds, or several (n). notices: chunks of other documents that hold the quote too, short ones as well.
     """
     plain = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    own = chunks.select("chunk_id", "doc_id", plain("text").alias("text"))
     asked = quotes.withColumn("quote", plain("quote"))
-    met = asked.join(own, "doc_id").filter(F.contains("text", F.col("quote")))
-    hits = met.groupBy("case_id", "unit", "doc_id", "quote").agg(F.count("*").alias("n"), F.min("chunk_id").alias("chunk_id"))
+    found = holders(quotes, chunks)
+    hits = found.filter("doc_id = own").groupBy("case_id", "unit", "doc_id", "quote").agg(F.count("*").alias("n"), F.min("chunk_id").alias("chunk_id"))
     known = asked.join(hits.select("case_id", "unit", "doc_id", "quote", "n", "chunk_id"), ["case_id", "unit", "doc_id", "quote"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     gold = known.filter("n = 1").select("case_id", "unit", "chunk_id").distinct()
     errors = known.filter("n != 1").select("case_id", "unit", "doc_id", "quote", "n")
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(F.split(c, " ")) - 3, F.lit(0))), lambda i: F.xxhash64(F.slice(F.split(c, " "), i + 1, 3))))
-    # a quote begins within a word of the text, so that its second to fourth words are looked for
-    key = F.xxhash64(F.slice(F.split("quote", " "), 2, 3))
-    other = asked.filter(F.size(F.split("quote", " ")) > 4).withColumn("key", key).withColumnRenamed("doc_id", "own").join(own.withColumn("key", F.explode(grams("text"))), "key").filter((F.col("doc_id") != F.col("own")) & F.contains("text", F.col("quote")))
-    return gold, errors, other.select("case_id", "unit", "chunk_id").distinct()
+    return gold, errors, found.filter("doc_id != own").select("case_id", "unit", "chunk_id").distinct()
 
 
 def temporal_effect(cases: DataFrame, rankings: DataFrame, top: int = 10) -> DataFrame:
