@@ -42,6 +42,11 @@ def agreement(runs: DataFrame, facets: tuple[str, ...] = ("value",)) -> DataFram
 def rank_movement(before: DataFrame, after: DataFrame) -> DataFrame:
     """query_id, up, down, unchanged: items by how their ranks changed."""
     both = before.select("query_id", "item_id", F.col("rank").alias("r0")).join(after.select("query_id", "item_id", F.col("rank").alias("r1")), ["query_id", "item_id"])
+    return movement(both)
+
+
+def movement(both: DataFrame) -> DataFrame:
+    """query_id, up, down, unchanged of items (query_id; r0 and r1, their ranks before and after)."""
     return both.groupBy("query_id").agg(F.count_if(F.col("r1") < F.col("r0")).alias("up"), F.count_if(F.col("r1") > F.col("r0")).alias("down"), F.count_if(F.col("r1") == F.col("r0")).alias("unchanged"))
 
 

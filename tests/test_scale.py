@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docquarry.operators import contained, evaluate
+from docquarry.operators import contained, evaluate, lexical
 
 
 def rows(df, *columns):
@@ -38,3 +39,32 @@ def test_equal_hashes_are_compared():
     finder = contained.Finder([quote, quote.replace(b"x", b"y")])
     data = np.frombuffer(quote + quote[5:], np.uint8)
     assert finder.find(data, np.array([len(quote), len(data)])).tolist() == [0]
+
+
+@pytest.mark.parametrize("stem, sent, block", [(False, lexical.SENT_BYTES, lexical.BLOCK), (False, 30, 7), (True, lexical.SENT_BYTES, 7)])
+def test_best_texts_are_those_of_all_scores(spark, monkeypatch, stem, sent, block):
+    monkeypatch.setattr(lexical, "SENT_BYTES", sent)
+    monkeypatch.setattr(lexical, "BLOCK", block)
+    rng = random.Random(5)
+    words = "travel travels traveling limit limits fee the 1,000 a.b per".split()
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(12)))) for i in range(60)]
+    docs = spark.createDataFrame([*texts, *((100 + i, t) for i, t in texts), (300, None), (None, "travel")], "doc_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(1, "travel limits"), (2, "fees and a fee of 1000"), (3, ""), (4, "a.b per per travel")], "query_id long, text string")
+    index, stats = lexical.build_index(docs)
+    index = lexical.stemmed_postings(index) if stem else index
+    # an id of null counts as a text, and has no score
+    every = lexical.search(index, stats, asked, stem=stem).filter("doc_id IS NOT NULL")
+    assert rows(lexical.scores(docs, asked, stem=stem), "query_id", "doc_id", "score") == rows(every, "query_id", "doc_id", "score")
+    kept = []
+    best = lexical.best(docs, asked, 3, stem=stem, kept=kept)
+    assert rows(lexical.top_k(best, 3), "query_id", "doc_id", "score", "rank") == rows(lexical.top_k(every, 3), "query_id", "doc_id", "score", "rank")
+    back = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").desc()))
+    assert rows(best.withColumn("r", back).filter("r <= 3"), "query_id", "doc_id", "r") == rows(every.withColumn("r", back).filter("r <= 3"), "query_id", "doc_id", "r")
+    [df.unpersist() for df in kept]
+
+
+def test_texts_of_one_id_are_one_text(spark):
+    docs = spark.createDataFrame([(1, "fee"), (1, "limit limit"), (2, "fee limit limit")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "fee limit")], "query_id long, text string")
+    got = rows(lexical.scores(docs, asked), "doc_id", "score")
+    assert [x[0] for x in got] == [1, 2] and got[0][1] == got[1][1]
