@@ -13,50 +13,67 @@ RRF_K, DEPTH, POOL = 60, 100, 20
 
 #: Bytes of stated queries that are sent to the tasks at most; more are asked in several passes.
 SENT_BYTES = 64 << 20
+#: Scores that a task makes at once.
+BLOCK = 1 << 21
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, score, rank: the best k vectors (vec_id, embedding) of each stated query (query_id, embedding) by
     cosine of unit vectors, that is their dot product (double, rounded to 6); ties by id.
 
-    Queries are a matrix that each task multiplies with the batches that it reads; it keeps the best k of each query, so
-    that k rows a query and task are shuffled. More queries than SENT_BYTES hold are asked in passes.
+    Queries are a matrix that each task multiplies with the batches that it reads, so many queries at once that there
+    are BLOCK scores; it keeps the best k of each query, so that k rows a query and task are shuffled. More queries than SENT_BYTES hold are asked in passes.
     """
     import numpy as np
     import pyarrow as pa
 
     size = queries.select(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    if not size.n:
-        return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank long")
+    none = queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
     passes = -(-size.n * (size.d or 1) * 8 // SENT_BYTES)
     parts = []
     for p in range(passes):
         own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p) if passes > 1 else queries
-        rows = own.select(F.col("query_id").cast("long").alias("query_id"), "embedding").toArrow()
+        rows = own.filter("embedding IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), "embedding").toArrow().combine_chunks()
         ids = rows.column("query_id").to_numpy()
         if not len(ids):
             continue
-        matrix = queries.sparkSession.sparkContext.broadcast((ids, np.array(rows.column("embedding").to_pylist(), np.float64)))
+        wanted = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+        matrix = queries.sparkSession.sparkContext.broadcast((ids, wanted))
 
-        def run(batches):
+        def run(batches, matrix=matrix):
             asked, wanted = matrix.value
-            best_id = np.full((len(asked), 0), 0, np.int64)
-            best = np.zeros((len(asked), 0))
+            # places that are not taken come after all that may be
+            best_id = np.full((len(asked), k), np.iinfo(np.int64).max)
+            best = np.full((len(asked), k), -np.inf)
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                held = batch.column("embedding")
-                data = np.asarray(held.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(held), -1)
-                scores = np.round(wanted @ data.T, 6)
-                own = np.broadcast_to(batch.column("vec_id").to_numpy(), scores.shape)
-                best, best_id = np.concatenate([best, scores], 1), np.concatenate([best_id, own], 1)
-                order = np.lexsort((best_id, -best), axis=1)[:, :k]
-                best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
-            n = best.shape[1]
+                rows = batch.column("embedding")
+                data = np.asarray(rows.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), -1)
+                own = batch.column("vec_id").to_numpy()
+                some = max(1, BLOCK // len(own))
+                for i in range(0, len(asked), some):
+                    scores = np.round(wanted[i : i + some] @ data.T, 6)
+                    if np.isnan(scores.sum()):
+                        scores[np.isnan(scores)] = np.inf
+                    limit = best[i : i + some, -1:]
+                    if len(own) > k and np.count_nonzero(scores >= limit) > 2 * k * len(scores):
+                        limit = np.maximum(limit, np.partition(scores, len(own) - k, axis=1)[:, [len(own) - k]])
+                    q, at = np.nonzero(scores >= limit)
+                    changed, which = np.unique(q, return_inverse=True)
+                    flat = np.concatenate([np.repeat(np.arange(len(changed)), k), which])
+                    value = np.concatenate([best[i + changed].ravel(), scores[q, at]])
+                    name = np.concatenate([best_id[i + changed].ravel(), own[at]])
+                    order = np.lexsort((name, -value, flat))
+                    first = np.searchsorted(flat[order], np.arange(len(changed)))
+                    chosen = order[first[:, None] + np.arange(k)]
+                    best[i + changed], best_id[i + changed] = value[chosen], name[chosen]
+            n = int((best > -np.inf).any(axis=0).sum())
+            best, best_id = np.where(best[:, :n] == np.inf, np.nan, best[:, :n]), best_id[:, :n]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, n)), pa.array(best_id.ravel()), pa.array(best.ravel())], names=["query_id", "vec_id", "score"])
 
         parts.append(vectors.filter("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "query_id long, vec_id long, score double"))
-    return ranked(reduce(DataFrame.unionByName, parts), k, "vec_id")
+    return ranked(reduce(DataFrame.unionByName, parts) if parts else none, k, "vec_id")
 
 
 def embedded(passages: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], prefix: str = "", batch: int = 16) -> DataFrame:

@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docquarry.operators import contained, evaluate, lexical
+from docquarry.operators import contained, evaluate, fusion, lexical
 
 
 def rows(df, *columns):
@@ -68,3 +69,25 @@ def test_texts_of_one_id_are_one_text(spark):
     asked = spark.createDataFrame([(1, "fee limit")], "query_id long, text string")
     got = rows(lexical.scores(docs, asked), "doc_id", "score")
     assert [x[0] for x in got] == [1, 2] and got[0][1] == got[1][1]
+
+
+@pytest.mark.parametrize("block, sent", [(fusion.BLOCK, fusion.SENT_BYTES), (10, 64)])
+def test_dense_search_in_blocks_is_the_whole_search(spark, monkeypatch, block, sent):
+    monkeypatch.setattr(fusion, "BLOCK", block)
+    monkeypatch.setattr(fusion, "SENT_BYTES", sent)
+    rng = np.random.default_rng(1)
+    data = rng.integers(-2, 3, (80, 3)).astype(float)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)] + [(90, None)], "vec_id long, embedding array<float>").repartition(3)
+    queries = vectors.filter("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    want = [(q, i, float(s), r) for q in range(0, 80, 10) for r, (s, i) in enumerate(sorted(((data[q] @ data[i], i) for i in range(80)), key=lambda x: (-x[0], x[1]))[:7], 1)]
+    assert rows(fusion.dense_top_k(vectors, queries, 7), "query_id", "vec_id", "score", "rank") == sorted(want)
+    assert fusion.dense_top_k(vectors.filter("vec_id < 3"), queries, 7).count() == 24 and fusion.dense_top_k(vectors, queries.filter("query_id < 0"), 7).count() == 0
+
+
+def test_a_task_makes_few_scores_at_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(fusion, "BLOCK", 100)
+    monkeypatch.setattr(np, "round", lambda x, n, was=np.round: (made.append(x.size), was(x, n))[1])
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(type(vectors), "mapInArrow", lambda df, run, kind: df.sparkSession.createDataFrame(pa.Table.from_batches(run(df.toArrow().to_batches()))))
+    assert fusion.dense_top_k(vectors, vectors.withColumnRenamed("vec_id", "query_id"), 2).count() == 100 and max(made) <= 100
