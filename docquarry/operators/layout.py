@@ -37,14 +37,19 @@ def clean_lines(lines: DataFrame, pages: DataFrame, browser_chrome: Column | boo
     numbered = F.col("r2").isNull() & F.col("text").rlike(PAGE_NUMBER) & ((F.col("y1") <= margin) | (F.col("y0") >= F.col("height") - margin))
     offset = F.when(numbered, F.regexp_extract("text", r"\d+", 0).try_cast("int") - F.col("page"))
     w = w.withColumn("offset", offset)
-    same = F.count("offset").over(Window.partitionBy("doc_id", "offset"))
+    # lines without a number are spread by their pages
+    same = F.count("offset").over(Window.partitionBy("doc_id", "offset", F.when(F.col("offset").isNull(), F.hash("page"))))
     w = w.withColumn("r3", F.coalesce("r2", F.when(F.col("offset").isNotNull() & (same >= 2), "page_number")))
     zone = F.col("r3").isNull() & ((F.col("y1") <= REPEAT_TOP * F.col("height")) | (F.col("y0") >= (1 - REPEAT_BOTTOM) * F.col("height")))
+    # only what may be boilerplate is counted: texts of four letters or digits, in documents of enough pages
+    plain = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]", "")
+    zone = zone & (F.col("n_pages") >= REPEAT_PAGES) & (F.length(plain) >= 4)
     w = w.withColumn("key", F.when(zone, F.lower("text"))).withColumn("bucket", F.when(zone, F.floor(F.col("y0") / REPEAT_BUCKET)))
+    w = w.withColumn("spread", F.when(F.col("key").isNull(), F.hash("page")).otherwise(0))
     seen = w.filter("key is not null").select("doc_id", "key", "bucket", "page").distinct()
     near = seen.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
     counts = near.groupBy("doc_id", "key", "bucket").agg(F.count_distinct("page").alias("on_pages"))
-    w = w.join(counts, ["doc_id", "key", "bucket"], "left")
+    w = w.join(counts.withColumn("spread", F.lit(0)), ["doc_id", "key", "bucket", "spread"], "left")
     need = F.greatest(F.lit(REPEAT_PAGES), F.ceil(REPEAT_SHARE * F.col("n_pages")))
     alnum = F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", ""))
     w = w.withColumn("r4", F.coalesce("r3", F.when((F.col("n_pages") >= REPEAT_PAGES) & (F.col("on_pages") >= need) & (alnum >= 4), "repeated_boilerplate")))

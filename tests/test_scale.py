@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docquarry.operators import contained, evaluate, fusion, lexical
+from docquarry.operators import contained, evaluate, fusion, layout, lexical
 
 
 def rows(df, *columns):
@@ -91,3 +91,13 @@ def test_a_task_makes_few_scores_at_once(spark, monkeypatch):
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "vec_id long, embedding array<float>")
     monkeypatch.setattr(type(vectors), "mapInArrow", lambda df, run, kind: df.sparkSession.createDataFrame(pa.Table.from_batches(run(df.toArrow().to_batches()))))
     assert fusion.dense_top_k(vectors, vectors.withColumnRenamed("vec_id", "query_id"), 2).count() == 100 and max(made) <= 100
+
+
+def test_only_texts_that_may_be_boilerplate_are_counted(spark):
+    lines = spark.createDataFrame([("d", p, s, y, y + 10, 11.0, t) for p in range(1, 5) for s, y, t in ((1, 20.0, "Report of Ö"), (2, 40.0, str(10 + p)), (3, 60.0, "ab!"), (4, 400.0, "Report of Ö"))], "doc_id string, page long, seq int, y0 double, y1 double, size double, text string")
+    heights = lines.select("doc_id", "page", F.lit(800.0).alias("height")).distinct()
+    cleaned = layout.clean_lines(lines, heights)
+    assert rows(cleaned.groupBy("seq").agg(F.max("removed").alias("r"), F.count("removed").alias("n")), "seq", "r", "n") == [(1, "repeated_boilerplate", 4), (2, "page_number", 4), (3, None, 0), (4, None, 0)]
+    # a line that can't be boilerplate has no key that it would be counted or joined by
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert "spread" in plan
