@@ -1,6 +1,7 @@
 """Whole results of the searches that are made in the tasks: short quotes, ties, several passes."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docquarry.functions import outline, passages
 from docquarry.operators import contained, evaluate, fusion, layout, lexical
 
 
@@ -101,3 +103,14 @@ def test_only_texts_that_may_be_boilerplate_are_counted(spark):
     # a line that can't be boilerplate has no key that it would be counted or joined by
     plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
     assert "spread" in plan
+
+
+def test_blocks_of_a_document_are_counted_once(monkeypatch):
+    counted = []
+    monkeypatch.setattr(passages, "TOKEN", type("Token", (), {"findall": staticmethod(lambda t, was=passages.TOKEN: (counted.append(len(t)), was.findall(t))[1])}))
+    passages._counted.cache_clear()
+    rng = random.Random(2)
+    blocks = [outline.Block(block_id=str(i), kind="list_item" if i % 5 == 0 else "paragraph", text=" ".join(rng.choice(["fee", "ñ,", "(x)", "limits."]) for _ in range(rng.randrange(1, 90))), number=f"1.{i}" if i % 5 == 0 else None) for i in range(200)]
+    chunks, _ = passages.chunk_document("d", blocks, "Title", "Org")
+    assert sum(counted) < 4 * sum(len(b.text) for b in blocks)
+    assert all(c["tokens"] == len(re.findall(r"\w+|[^\w\s]", c["text"])) and c["retrieval_tokens"] == len(re.findall(r"\w+|[^\w\s]", c["retrieval_text"])) for c in chunks)
